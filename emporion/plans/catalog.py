@@ -10,7 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from emporion.functions import round_money
 from emporion.operators import analytics as A
+from emporion.operators import rfm as R
 from emporion.sources.adapter import StarSchema
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,15 +49,29 @@ ANALYTICS: dict[str, Query] = {
 }
 
 
+def _rfm_customers(star: StarSchema) -> DataFrame:
+    """Per-person recency / frequency / monetary (monetary as DOUBLE)."""
+    return R.rfm_customers(star).withColumn("monetary", round_money("monetary"))
+
+
+RFM: dict[str, Query] = {
+    "e7_rfm_customers": _q(_rfm_customers),
+    "e8_rfm_segments": _q(R.rfm_segments),
+    "e9_rfm_segment_summary": _q(R.segment_summary),
+}
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(ANALYTICS)
+    out.update(RFM)
     return out
 
 
 def oracle_sql() -> dict[str, str]:
-    from emporion.plans.oracle import ANALYTICS_SQL
+    from emporion.plans.oracle import ANALYTICS_SQL, RFM_SQL
 
     out: dict[str, str] = {}
     out.update(ANALYTICS_SQL)
+    out.update(RFM_SQL)
     return out
