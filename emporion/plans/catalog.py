@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from emporion.functions import round_money
 from emporion.operators import analytics as A
+from emporion.operators import features as H
+from emporion.operators import quality as C
 from emporion.operators import rfm as R
 from emporion.sources.adapter import StarSchema
 
@@ -61,17 +63,57 @@ RFM: dict[str, Query] = {
 }
 
 
+def _geolocation(star: StarSchema) -> DataFrame:
+    """A5: the reduced geolocation table (coordinates exposed as DOUBLE)."""
+    g = star.geolocation
+    return g.select(
+        "geolocation_zip_code_prefix",
+        g.geolocation_lat.cast("double").alias("geolocation_lat"),
+        g.geolocation_lng.cast("double").alias("geolocation_lng"),
+        "geolocation_city", "geolocation_state",
+    )
+
+
+SOURCES: dict[str, Query] = {
+    "a4_category_patch": _q(lambda star: star.categories),
+    "a5_geolocation_reduce": _q(_geolocation),
+}
+
+
+QUALITY: dict[str, Query] = {
+    "c1_row_counts": _q(C.row_count_reconciliation),
+    "c2_null_thresholds": _q(C.null_thresholds),
+    "c3_status_dependent_nulls": _q(C.status_dependent_nulls),
+    "c4_duplicates": _q(C.duplicates),
+    "c4c_people_vs_records": _q(C.people_vs_records),
+    "c5_declared_constraints": _q(C.declared_constraints),
+    "c6_orphans": _q(C.orphans),
+    "c7_value_ranges": _q(C.value_ranges),
+    "c8_delivered_without_date": _q(C.delivered_without_date),
+    "c9_null_profile_v2": _q(lambda star: C.null_profile(H.training_table_v2_raw(star))),
+    "c10_describe_rfm": _q(
+        lambda star: C.describe(R.rfm_customers(star, materialize=True), ["recency", "frequency", "monetary"])
+    ),
+    "c11_late_share_v1": _q(lambda star: C.value_counts(H.training_table_v1(star), H.LABEL)),
+}
+
+FEATURES: dict[str, Query] = {
+    "h1_training_table_v1": _q(H.training_table_v1),
+    "h2_training_table_v2": _q(H.training_table_v2),
+}
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
-    out.update(ANALYTICS)
-    out.update(RFM)
+    for part in (ANALYTICS, RFM, SOURCES, QUALITY, FEATURES):
+        out.update(part)
     return out
 
 
 def oracle_sql() -> dict[str, str]:
-    from emporion.plans.oracle import ANALYTICS_SQL, RFM_SQL
+    from emporion.plans.oracle import ANALYTICS_SQL, FEATURES_SQL, QUALITY_SQL, RFM_SQL, SOURCES_SQL
 
     out: dict[str, str] = {}
-    out.update(ANALYTICS_SQL)
-    out.update(RFM_SQL)
+    for part in (ANALYTICS_SQL, RFM_SQL, SOURCES_SQL, QUALITY_SQL, FEATURES_SQL):
+        out.update(part)
     return out
