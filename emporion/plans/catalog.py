@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from emporion.functions import round_money
 from emporion.operators import analytics as A
 from emporion.operators import features as H
+from emporion.operators import model as M
 from emporion.operators import quality as C
 from emporion.operators import rfm as R
 from emporion.sources.adapter import StarSchema
@@ -74,9 +75,52 @@ def _geolocation(star: StarSchema) -> DataFrame:
     )
 
 
+def _warehouse_load_counts(star: StarSchema) -> DataFrame:
+    """A1-A3, A7, A9 end to end: the adapter's tables are exported as raw CSV files (A7),
+    loaded by the ingest plan (A1 typed read, A4 patch, A5 reduce, A2 overwrite) into a
+    Parquet warehouse under the shared checkpoint folder, then raw records (A9) are
+    reconciled with loaded rows."""
+    from functools import reduce
+
+    from pyspark.sql import functions as F
+
+    from emporion.schemas import LOAD_ORDER, TABLES
+    from emporion.session import scratch_dir
+    from emporion.sources import csv_io
+    from emporion.sources.adapter import ADAPTER_MISSING_CATEGORIES
+
+    spark = star.spark
+    root = scratch_dir(spark, "warehouse")
+    raw_dir, out_dir = f"{root}/raw", f"{root}/tables"
+    tables = star.tables()
+    tables["dim_geolocation"] = star.geolocation_raw
+    csv_io.export_raw_files(tables, raw_dir)
+    written = csv_io.load_warehouse(spark, raw_dir, out_dir, patch=ADAPTER_MISSING_CATEGORIES)
+    parts = []
+    for name in LOAD_ORDER:
+        raw = csv_io.read_raw_text(spark, f"{raw_dir}/{TABLES[name].raw_file}").agg(
+            F.count(F.lit(1)).cast("bigint").alias("raw_records"))
+        loaded = spark.read.parquet(written[name]).agg(F.count(F.lit(1)).cast("bigint").alias("loaded_rows"))
+        parts.append(raw.crossJoin(loaded).select(F.lit(name).alias("table_name"), "raw_records", "loaded_rows"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _rfm_summary_roundtrip(star: StarSchema) -> DataFrame:
+    """A7 + A8: the segment summary exported as CSV and read back with its schema."""
+    from emporion.session import scratch_dir
+    from emporion.sources import csv_io
+
+    path = csv_io.write_csv(R.segment_summary(star), scratch_dir(star.spark, "rfm_summary"), single_file=True)
+    schema = ("segment string, customer_count bigint, avg_recency_days double, avg_frequency double, "
+              "avg_monetary double, total_monetary double")
+    return csv_io.read_result_csv(star.spark, path, schema)
+
+
 SOURCES: dict[str, Query] = {
+    "a3_warehouse_load_counts": _q(_warehouse_load_counts),
     "a4_category_patch": _q(lambda star: star.categories),
     "a5_geolocation_reduce": _q(_geolocation),
+    "a7_rfm_summary_roundtrip": _q(_rfm_summary_roundtrip),
 }
 
 
@@ -103,9 +147,19 @@ FEATURES: dict[str, Query] = {
 }
 
 
+# Model training has no SQL equivalent: these entries get the driver's rows-only check.
+MODEL: dict[str, Query] = {
+    "h5_split_summary": _q(M.split_summary),
+    "h9_classification_report": _q(M.classification_report),
+    "h11_confusion_matrix": _q(M.confusion_matrix),
+    "h12_feature_importances": _q(M.feature_importances),
+    "h13_model_comparison": _q(M.model_comparison),
+}
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
-    for part in (ANALYTICS, RFM, SOURCES, QUALITY, FEATURES):
+    for part in (ANALYTICS, RFM, SOURCES, QUALITY, FEATURES, MODEL):
         out.update(part)
     return out
 
