@@ -58,14 +58,12 @@ def round_money(x: str | Column, scale: int = 2) -> Column:
     return F.round(_c(x), scale).cast("double")
 
 
-def _as_ts(x: str | Column) -> Column:
-    # TIMESTAMP_NTZ -> TIMESTAMP is neutral under a UTC session zone.
-    return _c(x).cast("timestamp")
-
-
 def whole_days_between(later: str | Column, earlier: str | Column) -> Column:
-    """Elapsed whole days, floored (23:00 -> 01:00 next day is 0; -2 h is -1)."""
-    micros = F.unix_micros(_as_ts(later)) - F.unix_micros(_as_ts(earlier))
+    """Elapsed whole days, floored (23:00 -> 01:00 next day is 0; -2 h is -1).
+
+    ``timestampdiff`` on TIMESTAMP_NTZ values involves no time zone, so the result does not
+    depend on the session zone (a cast to TIMESTAMP would lose an hour across DST)."""
+    micros = F.timestamp_diff("MICROSECOND", _c(earlier), _c(later))
     return F.floor(micros / F.lit(86_400_000_000)).cast("bigint")
 
 

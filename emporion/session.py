@@ -18,6 +18,12 @@ BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.ansi.enabled": "true",
+    # Static planning broadcasts only what its file-size estimate puts under 1 MB (small
+    # dimensions); anything else is planned as a shuffle join and AQE switches it to a
+    # broadcast only when the *measured* shuffle output is under 16 MB.  Facts are never
+    # broadcast on an optimistic estimate.
+    "spark.sql.autoBroadcastJoinThreshold": "1MB",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "16MB",
 }
 
 

@@ -18,23 +18,37 @@ KNOWN_MISSING_CATEGORIES = [
 ]
 
 
+def literal_rows(spark: SparkSession, rows: list[tuple], schema) -> DataFrame:
+    """A small literal table built JVM-side (an inline array of structs), so no Python
+    worker is involved when it is scanned."""
+    from pyspark.sql import types as T
+
+    fields = schema.fields if isinstance(schema, T.StructType) else schema
+    structs = [
+        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, fields)]) for r in rows
+    ]
+    if not structs:
+        return spark.createDataFrame([], T.StructType(list(fields)))
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def insert_if_absent(
     spark: SparkSession, base: DataFrame, rows: list[tuple], key: str
 ) -> DataFrame:
     """A4: ``INSERT … ON CONFLICT (key) DO NOTHING`` as a set operation.
 
-    The patch is a short literal list (its size is fixed by the caller), so it is the side
-    that gets anti-joined; the base table is only scanned once.  Duplicate keys inside the
-    patch keep the first one, as sequential inserts would.
+    ``rows`` is a short literal list supplied by the caller (its size is fixed in code, not by
+    the data); duplicate keys inside it keep the first one, as sequential inserts would.  The
+    patch is anti-joined against the base keys and appended: the base is scanned once and
+    never rewritten.
     """
-    cols = base.columns
-    patch = spark.createDataFrame(
-        [(i, *r) for i, r in enumerate(rows)], schema=["_seq", *cols]
-    )
-    for c in cols:
-        patch = patch.withColumn(c, F.col(c).cast(base.schema[c].dataType))
-    first = patch.groupBy(key).agg(F.min("_seq").alias("_seq"))
-    patch = patch.join(first, [key, "_seq"], "left_semi").drop("_seq")
+    seen, patch_rows = set(), []
+    k = base.columns.index(key)
+    for r in rows:
+        if r[k] not in seen:
+            seen.add(r[k])
+            patch_rows.append(r)
+    patch = literal_rows(spark, patch_rows, base.schema)
     missing = patch.join(base.select(key), key, "left_anti")
     return base.unionByName(missing)
 
