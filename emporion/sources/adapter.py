@@ -278,3 +278,30 @@ class StoredStarSchema(StarSchema):
     payments = property(lambda self: self._stored("fact_order_payments"))
     leads = property(lambda self: self._stored("dim_marketing_leads"))
     deals = property(lambda self: self._stored("dim_closed_deals"))
+
+
+class FrameStar(StarSchema):
+    """The same interface over DataFrames supplied directly (hand-made fixtures, or tables
+    produced by an earlier job).  Missing tables raise ``KeyError`` when used."""
+
+    def __init__(self, spark: SparkSession, frames: dict[str, DataFrame], name: str = "frames"):
+        super().__init__(spark, name)
+        self.frames = frames
+
+    def _f(self, name: str) -> DataFrame:
+        return self.frames[name]
+
+    customers = property(lambda self: self._f("dim_customers"))
+    sellers = property(lambda self: self._f("dim_sellers"))
+    categories = property(lambda self: self._f("dim_product_category_translation"))
+    products = property(lambda self: self._f("dim_products"))
+    geolocation = property(lambda self: self._f("dim_geolocation"))
+    orders = property(lambda self: self._f("dim_orders"))
+    reviews = property(lambda self: self._f("dim_reviews"))
+    items = property(lambda self: self._f("fact_order_items"))
+    payments = property(lambda self: self._f("fact_order_payments"))
+    leads = property(lambda self: self._f("dim_marketing_leads"))
+    deals = property(lambda self: self._f("dim_closed_deals"))
+
+    def tables(self) -> dict[str, DataFrame]:
+        return dict(self.frames)
