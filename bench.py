@@ -39,12 +39,14 @@ HEADLINE = [
 
 
 def dq_bundle(spark, sf_dir):
-    """The validation script's four groups in one go (counts, nulls, duplicates, integrity)."""
-    star = StarSchema(spark, sf_dir)
-    for df in (C.row_count_reconciliation(star), C.null_thresholds(star), C.status_dependent_nulls(star),
-               C.duplicates(star, include_registry_keys=False), C.people_vs_records(star),
-               C.orphans(star), C.value_ranges(star)):
-        df.collect()
+    """The validation script's four groups (row counts, nulls, duplicates, integrity and
+    ranges) with its own key lists, as one suite run over persisted star tables."""
+    C.run_quality_suite(
+        StarSchema(spark, sf_dir),
+        ["row_counts", "null_thresholds", "status_dependent_nulls", "duplicates",
+         "people_vs_records", "orphans", "value_ranges"],
+        reference_scope=True,
+    )
 
 
 def main() -> None:

@@ -26,60 +26,102 @@ from emporion.session import checkpoint_root
 _ID_SHIFT = 33  # monotonically_increasing_id = partition index << 33 | row index
 
 
-class SortedColumn:
-    """A column's non-null values in global ascending order, materialised once."""
+class SortedColumns:
+    """Non-null values of several columns, each in global ascending order, materialised by
+    one range sort and one checkpoint.
 
-    def __init__(self, df: DataFrame, column: str, partitions: int | None = None):
+    Rows are ``(column index, value)`` pairs; the range partitioning on
+    ``(column, value, salt)`` keeps each column's values contiguous and ordered across
+    partitions, and the salt splits a hot value over several partitions."""
+
+    def __init__(self, df: DataFrame, columns: list[str], partitions: int | None = None):
         spark = df.sparkSession
         checkpoint_root(spark)
+        self.columns = list(columns)
         parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        pairs = F.explode(F.array(*[
+            F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)
+        ]))
         self.ordered = (
-            df.select(F.col(column).cast("double").alias("v"))
+            df.select(pairs.alias("p"))
+            .select("p.c", "p.v")
             .filter(F.col("v").isNotNull())
             .withColumn("_salt", F.rand(7))
-            .repartitionByRange(parts, "v", "_salt")
-            .sortWithinPartitions("v", "_salt")
-            .select("v", F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().alias("mid"))
+            .repartitionByRange(parts, "c", "v", "_salt")
+            .sortWithinPartitions("c", "v", "_salt")
+            .select("c", "v", F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().alias("mid"))
             .checkpoint(eager=True)
         )
-        sizes = {
-            r["pid"]: r["n"]
-            for r in self.ordered.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).collect()
-        }
-        self.starts: dict[int, int] = {}
-        acc = 0
-        for pid in sorted(sizes):
-            self.starts[pid] = acc
-            acc += sizes[pid]
-        self.n = acc
-
-    def at(self, ranks: list[int]) -> dict[int, float]:
-        """Values at 0-based ascending ranks."""
-        wanted = {}
-        for r in set(ranks):
-            if not 0 <= r < self.n:
-                raise ValueError(f"rank {r} outside 0..{self.n - 1}")
-            pid = max(p for p, s in self.starts.items() if s <= r)
-            wanted[(pid << _ID_SHIFT) + (r - self.starts[pid])] = r
-        rows = self.ordered.filter(F.col("mid").isin(list(wanted))).select("mid", "v").collect()
-        return {wanted[row["mid"]]: row["v"] for row in rows}
-
-    def quantiles(self, probs: list[float]) -> list[float | None]:
-        if self.n == 0:
-            return [None for _ in probs]
-        pos = [(self.n - 1) * p for p in probs]
-        vals = self.at(sorted({math.floor(h) for h in pos} | {math.ceil(h) for h in pos}))
-        out = []
-        for h in pos:
-            lo, hi = math.floor(h), math.ceil(h)
-            out.append(vals[lo] + (h - lo) * (vals[hi] - vals[lo]))
+        sizes: dict[tuple[int, int], int] = {
+            (r["pid"], r["c"]): r["n"]
+            for r in self.ordered.groupBy("pid", "c").agg(F.count(F.lit(1)).alias("n")).collect()
+        }  # at most partitions x columns rows
+        self.n = [0] * len(columns)
+        # per column: list of (pid, first global rank in this partition, local offset of the
+        # column's first row inside the partition)
+        self._spans: list[list[tuple[int, int, int]]] = [[] for _ in columns]
+        for pid in sorted({p for p, _ in sizes}):
+            before = 0
+            for c in sorted(c for p, c in sizes if p == pid):
+                self._spans[c].append((pid, self.n[c], before))
+                self.n[c] += sizes[(pid, c)]
+                before += sizes[(pid, c)]
+
+    def at(self, wanted: dict[int, list[int]]) -> dict[tuple[int, int], float]:
+        """Values at 0-based ranks, per column index: ``{(column, rank): value}``."""
+        targets = {}
+        for c, ranks in wanted.items():
+            for r in set(ranks):
+                if not 0 <= r < self.n[c]:
+                    raise ValueError(f"rank {r} outside 0..{self.n[c] - 1}")
+                pid, first, offset = max((s for s in self._spans[c] if s[1] <= r), key=lambda s: s[1])
+                targets[(pid << _ID_SHIFT) + offset + (r - first)] = (c, r)
+        if not targets:
+            return {}
+        rows = self.ordered.filter(F.col("mid").isin(list(targets))).select("mid", "v").collect()
+        return {targets[row["mid"]]: row["v"] for row in rows}
+
+    def quantiles(self, probs: list[float]) -> dict[str, list[float | None]]:
+        """Linear-interpolated quantiles for every column."""
+        pos = {c: [(self.n[c] - 1) * p for p in probs] for c in range(len(self.columns)) if self.n[c]}
+        vals = self.at({c: sorted({math.floor(h) for h in hs} | {math.ceil(h) for h in hs}) for c, hs in pos.items()})
+        out = {}
+        for c, name in enumerate(self.columns):
+            if not self.n[c]:
+                out[name] = [None for _ in probs]
+                continue
+            res = []
+            for h in pos[c]:
+                lo, hi = math.floor(h), math.ceil(h)
+                res.append(vals[(c, lo)] + (h - lo) * (vals[(c, hi)] - vals[(c, lo)]))
+            out[name] = res
         return out
 
 
+class SortedColumn(SortedColumns):
+    """Single-column form."""
+
+    def __init__(self, df: DataFrame, column: str, partitions: int | None = None):
+        super().__init__(df, [column], partitions)
+        self.column = column
+
+    @property
+    def size(self) -> int:
+        return self.n[0]
+
+    def quantiles(self, probs: list[float]) -> list[float | None]:  # type: ignore[override]
+        return super().quantiles(probs)[self.column]
+
+
 def exact_quantiles(df: DataFrame, column: str, probs: list[float], partitions: int | None = None) -> list[float | None]:
     """Exact linear-interpolated quantiles of ``column`` (NULLs ignored)."""
     return SortedColumn(df, column, partitions).quantiles(probs)
 
 
+def exact_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
+    """Exact medians of several columns from one sort."""
+    return {c: q[0] for c, q in SortedColumns(df, columns).quantiles([0.5]).items()}
+
+
 def exact_median(df: DataFrame, column: str) -> float | None:
     return exact_quantiles(df, column, [0.5])[0]

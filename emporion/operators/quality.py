@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emporion.functions.quantiles import SortedColumn
+from emporion.functions.quantiles import SortedColumns
 from emporion.schemas import TABLES
 from emporion.sources.adapter import StarSchema
 
@@ -39,6 +39,14 @@ STATUS_DEPENDENT = ["order_approved_at", "order_delivered_carrier_date", "order_
 # Fixed value: documented number of review ids that occur on more than one order.
 DOCUMENTED_REVIEW_ID_REPEATS = 789
 
+# The foreign keys the original suite checks (child, column, parent, column).
+REFERENCE_FKS = [
+    ("fact_order_items", "product_id", "dim_products", "product_id"),
+    ("fact_order_items", "seller_id", "dim_sellers", "seller_id"),
+    ("fact_order_items", "order_id", "dim_orders", "order_id"),
+    ("dim_reviews", "order_id", "dim_orders", "order_id"),
+]
+
 # The primary keys the original suite re-verifies.
 PK_CHECKS = [
     ("dim_customers", "customer_id"),
@@ -229,19 +237,18 @@ def declared_constraints(star: StarSchema) -> DataFrame:
 
 
 # ---- C6 --------------------------------------------------------------------------------
-def orphans(star: StarSchema, relaxed: tuple[tuple[str, str], ...] = (("dim_closed_deals", "seller_id"),)) -> DataFrame:
+def orphans(star: StarSchema, relaxed: tuple[tuple[str, str], ...] = (("dim_closed_deals", "seller_id"),),
+            fks: list[tuple[str, str, str, str]] | None = None) -> DataFrame:
     """Child rows whose key has no parent (NULL keys count as orphans, like
     ``LEFT JOIN … WHERE parent.key IS NULL``).  Child keys are counted per value first, so
     the anti join sees distinct keys, not rows.  Relaxed keys report ``RELAXED`` instead of
     ``BROKEN``."""
     tables = star.tables()
+    if fks is None:
+        fks = [(child, col, parent, pcol) for child, meta in TABLES.items() for col, parent, pcol in meta.foreign_keys]
     parts = []
-    for child, meta in TABLES.items():
-        if child not in tables:
-            continue
-        for col, parent, pcol in meta.foreign_keys:
-            if parent not in tables:
-                continue
+    for child, col, parent, pcol in fks:
+        if child in tables and parent in tables:
             keys = tables[child].groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
             parent_keys = tables[parent].select(F.col(pcol).alias(col))
             lost = keys.join(parent_keys, col, "left_anti").agg(F.sum("_n").alias("orphan_rows"))
@@ -313,9 +320,10 @@ def describe(df: DataFrame, columns: list[str], scale: int = 6) -> DataFrame:
             F.max(F.col(c).cast("double")).alias(f"{c}__max"),
         )
     ]).first()
+    quartiles = SortedColumns(df, columns).quantiles([0.25, 0.5, 0.75])  # one sort for all columns
     rows = []
     for c in columns:
-        q = SortedColumn(df, c).quantiles([0.25, 0.5, 0.75])
+        q = quartiles[c]
         rows.append((
             c, moments[f"{c}__count"],
             *[None if v is None else round(float(v), scale) for v in (
@@ -336,3 +344,48 @@ def value_counts(df: DataFrame, column: str, scale: int = 6) -> DataFrame:
         F.round(F.col("count").cast("decimal(38,0)") / F.col("_total").cast("decimal(38,0)"), scale)
         .cast("double").alias("share"),
     )
+
+
+SUITE = {
+    "row_counts": row_count_reconciliation,
+    "null_thresholds": null_thresholds,
+    "status_dependent_nulls": status_dependent_nulls,
+    "duplicates": duplicates,
+    "people_vs_records": people_vs_records,
+    "declared_constraints": declared_constraints,
+    "orphans": orphans,
+    "value_ranges": value_ranges,
+    "delivered_without_date": delivered_without_date,
+}
+
+
+def run_quality_suite(star: StarSchema, checks: list[str] | None = None, persist: bool = True,
+                      reference_scope: bool = False, parallelism: int = 4) -> dict[str, list]:
+    """Run the validation checks and return their (small) result rows per check.
+
+    * ``persist`` keeps the star tables persisted for the run, so a table read by several
+      checks is computed once;
+    * ``reference_scope`` restricts keys and foreign keys to the original script's lists
+      instead of every key the registry declares;
+    * independent checks are submitted as concurrent Spark jobs from ``parallelism`` driver
+      threads, so the cluster is not idle while one small job finishes.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+    from functools import partial
+
+    from emporion.sources.adapter import PersistedStar
+
+    fns = {name: SUITE[name] for name in (checks or list(SUITE))}
+    if reference_scope:
+        if "duplicates" in fns:
+            fns["duplicates"] = partial(duplicates, include_registry_keys=False)
+        if "orphans" in fns:
+            fns["orphans"] = partial(orphans, fks=REFERENCE_FKS)
+    run_on = PersistedStar(star) if persist else star
+    try:
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+            futures = {name: pool.submit(lambda f=f: f(run_on).collect()) for name, f in fns.items()}
+            return {name: fut.result() for name, fut in futures.items()}
+    finally:
+        if persist:
+            run_on.release()

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emporion.functions import round_money, whole_days_between
-from emporion.functions.quantiles import exact_median
+from emporion.functions.quantiles import exact_medians
 from emporion.operators.analytics import rfm_base
 from emporion.session import checkpoint_root
 from emporion.sources.adapter import StarSchema
@@ -50,8 +50,8 @@ def rfm_customers(star: StarSchema, materialize: bool = False) -> DataFrame:
 def rfm_segments(star: StarSchema, rfm: DataFrame | None = None) -> DataFrame:
     """Per-person flags and segment (monetary exposed as DOUBLE)."""
     rfm = rfm if rfm is not None else rfm_customers(star, materialize=True)
-    rec_median = exact_median(rfm, "recency")
-    mon_median = exact_median(rfm, "monetary")
+    medians = exact_medians(rfm, ["recency", "monetary"])  # one distributed sort
+    rec_median, mon_median = medians["recency"], medians["monetary"]
     recent = F.col("recency") <= F.lit(rec_median)
     high = F.col("monetary").cast("double") >= F.lit(mon_median)
     return rfm.select(

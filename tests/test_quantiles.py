@@ -24,10 +24,23 @@ def test_hot_value_holding_a_third(spark):
     sc = SortedColumn(df, "x", partitions=8)
     sizes = sc.ordered.groupBy("pid").count().collect()
     assert max(r["count"] for r in sizes) < 400  # no partition holds every copy of the hot value
-    assert sc.n == 1200
+    assert sc.size == 1200
     assert exact_median(df, "x") == float(np.median(vals))
 
 
 def test_empty_column(spark):
     df = spark.createDataFrame([(None,)], "x double")
     assert exact_quantiles(df, "x", [0.5]) == [None]
+
+
+def test_several_columns_one_sort(spark):
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 50, size=301).tolist()
+    b = rng.normal(size=301).tolist()
+    df = spark.createDataFrame([(float(x), float(y) if i % 7 else None) for i, (x, y) in enumerate(zip(a, b))], "a double, b double")
+    from emporion.functions.quantiles import SortedColumns
+
+    q = SortedColumns(df, ["a", "b"], partitions=5).quantiles([0.1, 0.5, 0.9])
+    bb = [y for i, y in enumerate(b) if i % 7]
+    assert np.allclose(q["a"], np.quantile(a, [0.1, 0.5, 0.9]))
+    assert np.allclose(q["b"], np.quantile(bb, [0.1, 0.5, 0.9]))
