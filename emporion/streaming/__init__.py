@@ -1 +1,7 @@
-"""streaming."""
+"""Stream processing.
+
+Intentionally empty.  The analysed application has no streaming input, watermark, time
+window or stateful operator ("late" there means a late parcel, not late data), so no
+Structured Streaming job is built.  Its batch jobs read Parquet and would run unchanged as
+``foreachBatch`` bodies if a stream of orders were ever added.
+"""
