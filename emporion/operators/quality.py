@@ -91,15 +91,14 @@ def row_count_reconciliation(star: StarSchema, sources: list[tuple[str, DataFram
     loaded = star.tables()
     rows = []
     for name, raw, exact in sources or adapter_raw_sources(star):
-        r = raw.agg(F.count(F.lit(1)).cast("bigint").alias("raw_rows"))
-        l = loaded[name].agg(F.count(F.lit(1)).cast("bigint").alias("loaded_rows"))
+        r = raw.agg(F.count(F.lit(1)).cast("bigint")).scalar()
+        l = loaded[name].agg(F.count(F.lit(1)).cast("bigint")).scalar()
         ok = (F.col("raw_rows") == F.col("loaded_rows")) if exact else (F.col("loaded_rows") >= F.col("raw_rows"))
         good = "OK" if exact else "OK (expected difference)"
         rows.append(
-            r.crossJoin(l).select(  # 1 x 1 rows
-                F.lit(name).alias("table_name"), "raw_rows", "loaded_rows",
-                F.when(ok, good).otherwise("MISMATCH").alias("status"),
-            )
+            star.spark.range(1)
+            .select(F.lit(name).alias("table_name"), r.alias("raw_rows"), l.alias("loaded_rows"))
+            .withColumn("status", F.when(ok, good).otherwise("MISMATCH"))
         )
     return _union(rows)
 
@@ -199,13 +198,10 @@ def duplicates(star: StarSchema, documented_review_repeats: int = DOCUMENTED_REV
 
 def people_vs_records(star: StarSchema) -> DataFrame:
     """Customer records, distinct people, and the difference (returning records)."""
-    c = star.customers
-    a = c.agg(F.count(F.lit(1)).cast("bigint").alias("total_records"))
-    b = c.agg(F.count_distinct("customer_unique_id").cast("bigint").alias("distinct_people"))
-    return a.crossJoin(b).select(  # 1 x 1 rows
-        "total_records", "distinct_people",
-        (F.col("total_records") - F.col("distinct_people")).alias("returning_records"),
-    )
+    return star.customers.agg(
+        F.count(F.lit(1)).cast("bigint").alias("total_records"),
+        F.count_distinct("customer_unique_id").cast("bigint").alias("distinct_people"),
+    ).withColumn("returning_records", F.col("total_records") - F.col("distinct_people"))
 
 
 # ---- C5 column rules ----------------------------------------------------------------------
@@ -251,11 +247,11 @@ def orphans(star: StarSchema, relaxed: tuple[tuple[str, str], ...] = (("dim_clos
         if child in tables and parent in tables:
             keys = tables[child].groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
             parent_keys = tables[parent].select(F.col(pcol).alias(col))
-            lost = keys.join(parent_keys, col, "left_anti").agg(F.sum("_n").alias("orphan_rows"))
-            total = keys.agg(F.sum("_n").alias("child_rows"))
+            lost = keys.join(parent_keys, col, "left_anti").agg(F.sum("_n")).scalar()
+            total = keys.agg(F.sum("_n")).scalar()
             bad = "RELAXED" if (child, col) in relaxed else "BROKEN"
             parts.append(
-                lost.crossJoin(total).select(  # 1 x 1 rows
+                star.spark.range(1).select(lost.alias("orphan_rows"), total.alias("child_rows")).select(
                     F.lit(child).alias("child_table"), F.lit(col).alias("child_column"),
                     F.lit(parent).alias("parent_table"), F.lit(pcol).alias("parent_column"),
                     F.coalesce(F.col("orphan_rows"), F.lit(0)).cast("bigint").alias("orphan_rows"),
@@ -335,14 +331,13 @@ def describe(df: DataFrame, columns: list[str], scale: int = 6) -> DataFrame:
 
 def value_counts(df: DataFrame, column: str, scale: int = 6) -> DataFrame:
     """C11: absolute and relative frequency of each non-null value (pandas ``value_counts``
-    with and without ``normalize``).  The total is a one-row aggregate joined back."""
+    with and without ``normalize``).  The total is a scalar subquery."""
     kept = df.filter(F.col(column).isNotNull())
     counts = kept.groupBy(column).agg(F.count(F.lit(1)).cast("bigint").alias("count"))
-    total = kept.agg(F.count(F.lit(1)).alias("_total"))
-    return counts.crossJoin(F.broadcast(total)).select(  # one-row side
+    total = kept.agg(F.count(F.lit(1)).cast("decimal(38,0)")).scalar()
+    return counts.select(
         column, "count",
-        F.round(F.col("count").cast("decimal(38,0)") / F.col("_total").cast("decimal(38,0)"), scale)
-        .cast("double").alias("share"),
+        F.round(F.col("count").cast("decimal(38,0)") / total, scale).cast("double").alias("share"),
     )
 
 

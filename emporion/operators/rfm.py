@@ -31,13 +31,11 @@ LOST = "Lost"
 def rfm_customers(star: StarSchema, materialize: bool = False) -> DataFrame:
     """customer_unique_id, last_order_date, recency (days), frequency, monetary."""
     base = rfm_base(star)
-    snapshot = base.agg(
-        (F.max("last_order_date") + F.expr("INTERVAL 1 DAY")).alias("_snapshot")
-    )
-    out = base.crossJoin(F.broadcast(snapshot)).select(  # one-row side
+    snapshot = base.agg(F.max("last_order_date") + F.expr("INTERVAL 1 DAY")).scalar()
+    out = base.select(
         "customer_unique_id",
         "last_order_date",
-        whole_days_between("_snapshot", "last_order_date").alias("recency"),
+        whole_days_between(snapshot, "last_order_date").alias("recency"),
         "frequency",
         "monetary",
     )
