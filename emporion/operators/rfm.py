@@ -72,10 +72,11 @@ def _avg2(sum_col, n_col):
     return F.round(F.col(sum_col).cast("decimal(38,2)") / F.col(n_col).cast("decimal(38,0)"), 2).cast("double")
 
 
-def segment_summary(star: StarSchema) -> DataFrame:
+def segment_summary(star: StarSchema, segments: DataFrame | None = None) -> DataFrame:
     """One row per segment (the exported ``rfm_segment_summary`` table)."""
-    rfm = rfm_customers(star, materialize=True)
-    seg = rfm_segments(star, rfm).withColumn("_m", F.col("monetary").cast("decimal(20,2)"))
+    if segments is None:
+        segments = rfm_segments(star, rfm_customers(star, materialize=True))
+    seg = segments.withColumn("_m", F.col("monetary").cast("decimal(20,2)"))
     return (
         seg.groupBy("segment")
         .agg(

@@ -128,3 +128,26 @@ def export_raw_files(tables: dict[str, DataFrame], raw_dir: str) -> dict[str, st
     for name, df in tables.items():
         out[name] = write_csv(df.drop(SEQ) if SEQ in df.columns else df, os.path.join(raw_dir, TABLES[name].raw_file))
     return out
+
+
+def export_model_outputs(star, out_dir: str, model_key: str = "v2_balanced") -> dict[str, str]:
+    """The modelling outputs as CSV folders — per-person segments (no index column),
+    the segment summary (the group column first, as an indexed export) and the feature
+    importances sorted by importance.  Per-person rows are written by the executors in
+    parallel; only the two small tables are coalesced to one file."""
+    from pyspark.sql import functions as F
+
+    from emporion.operators import model as M
+    from emporion.operators import rfm as R
+
+    segments = R.rfm_segments(star, R.rfm_customers(star, materialize=True))  # medians fixed once
+    out = {
+        "customer_rfm_segments": write_csv(segments, os.path.join(out_dir, "customer_rfm_segments")),
+        "rfm_segment_summary": write_csv(R.segment_summary(star, segments), os.path.join(out_dir, "rfm_segment_summary"),
+                                         single_file=True),
+        "feature_importances": write_csv(
+            M.feature_importances(star, model_key).orderBy(F.desc("importance"), "feature"),
+            os.path.join(out_dir, "feature_importances"), single_file=True,
+        ),
+    }
+    return out

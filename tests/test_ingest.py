@@ -111,3 +111,20 @@ def test_export_and_read_back_top(spark, tmp_path):
     back = csv_io.read_result_csv(spark, p, "feature string, importance double", top=2,
                                   order_by=[F.desc("importance")])
     assert [r.feature for r in back.collect()] == ["b", "c"]
+
+
+def test_export_model_outputs(spark, tmp_path):
+    from tests_support import planted_star
+
+    star = planted_star(spark, n=200)
+    from emporion.operators import model as M
+
+    M._CACHE[(id(star.spark), star.sf_dir, "v2_balanced", ())] = M.evaluate(star, "v2_balanced", num_trees=5, max_depth=3)
+    paths = csv_io.export_model_outputs(star, str(tmp_path / "out"))
+    seg = spark.read.option("header", True).csv(paths["customer_rfm_segments"])
+    assert seg.count() == 200 and "segment" in seg.columns
+    imp = csv_io.read_result_csv(spark, paths["feature_importances"], "feature string, importance double", top=15,
+                                 order_by=[F.desc("importance")])
+    assert imp.count() <= 15
+    summary = spark.read.option("header", True).csv(paths["rfm_segment_summary"])
+    assert summary.columns[0] == "segment"

@@ -1,47 +1,11 @@
 """Classifier on a planted signal (FIXTURES planted_signal) and metric bookkeeping."""
 
-import datetime as dt
-import random
-
-from conftest import money, table
 from emporion.operators import model as M
-from emporion.sources.adapter import FrameStar
-
-
-def _planted(spark, n=600):
-    rnd = random.Random(3)
-    geo = [
-        {"geolocation_zip_code_prefix": "base", "geolocation_lat": money("0.000000"), "geolocation_lng": money("0.000000")},
-        {"geolocation_zip_code_prefix": "near", "geolocation_lat": money("0.500000"), "geolocation_lng": money("0.500000")},
-        {"geolocation_zip_code_prefix": "far", "geolocation_lat": money("10.000000"), "geolocation_lng": money("10.000000")},
-    ]
-    customers, orders, items, products = [], [], [], []
-    t0 = dt.datetime(2018, 1, 1, 9, 0)
-    for i in range(n):
-        far = rnd.random() < 0.4
-        bought = t0 + dt.timedelta(days=rnd.randrange(300), hours=rnd.randrange(12))
-        customers.append({"customer_id": f"c{i}", "customer_unique_id": f"p{i}",
-                          "customer_zip_code_prefix": "far" if far else "near", "customer_state": "SP"})
-        orders.append({"order_id": f"o{i}", "customer_id": f"c{i}", "order_status": "delivered",
-                       "order_purchase_timestamp": bought,
-                       "order_estimated_delivery_date": bought + dt.timedelta(days=10),
-                       "order_delivered_customer_date": bought + dt.timedelta(days=12 if far else 5)})
-        products.append({"product_id": f"x{i}", "product_category_name": rnd.choice(["a", "b", "c"]),
-                         "product_weight_g": None if i % 10 == 0 else rnd.randrange(100, 900)})
-        items.append({"order_id": f"o{i}", "order_item_id": 1, "product_id": f"x{i}", "seller_id": "s1",
-                      "price": money(rnd.randrange(10, 500)), "freight_value": money(rnd.randrange(1, 50))})
-    return FrameStar(spark, {
-        "dim_geolocation": table(spark, "dim_geolocation", geo),
-        "dim_customers": table(spark, "dim_customers", customers),
-        "dim_orders": table(spark, "dim_orders", orders),
-        "dim_products": table(spark, "dim_products", products),
-        "fact_order_items": table(spark, "fact_order_items", items),
-        "dim_sellers": table(spark, "dim_sellers", [{"seller_id": "s1", "seller_zip_code_prefix": "base", "seller_state": "SP"}]),
-    })
+from tests_support import planted_star
 
 
 def test_planted_signal_is_learned(spark):
-    ev = M.evaluate(_planted(spark), "v2_balanced", num_trees=20, max_depth=5)
+    ev = M.evaluate(planted_star(spark), "v2_balanced", num_trees=20, max_depth=5)
     assert ev.auc > 0.95
     assert ev.importances[0][0] == "remainder__seller_customer_distance_km"
     assert abs(sum(v for _, v in ev.importances) - 1.0) < 1e-9  # importances sum to 1
