@@ -344,3 +344,27 @@ class PersistedStar(StarSchema):
     def release(self) -> None:
         for df in self._frames.values():
             df.unpersist()
+
+
+class CatalogStarSchema(StarSchema):
+    """The star schema read from catalog tables (e.g. written by
+    :func:`emporion.sources.warehouse.write_bucketed_star`), so bucketing metadata is used."""
+
+    def __init__(self, spark: SparkSession, database: str):
+        super().__init__(spark, database)
+        self.database = database
+
+    def _table(self, name: str) -> DataFrame:
+        return self.spark.table(f"{self.database}.{name}")
+
+    customers = property(lambda self: self._table("dim_customers"))
+    sellers = property(lambda self: self._table("dim_sellers"))
+    categories = property(lambda self: self._table("dim_product_category_translation"))
+    products = property(lambda self: self._table("dim_products"))
+    geolocation = property(lambda self: self._table("dim_geolocation"))
+    orders = property(lambda self: self._table("dim_orders"))
+    reviews = property(lambda self: self._table("dim_reviews"))
+    items = property(lambda self: self._table("fact_order_items"))
+    payments = property(lambda self: self._table("fact_order_payments"))
+    leads = property(lambda self: self._table("dim_marketing_leads"))
+    deals = property(lambda self: self._table("dim_closed_deals"))
