@@ -6,7 +6,8 @@ k-th smallest values are found by a distributed sort instead:
 
 1. range-partition the values on ``(value, salt)`` and sort within partitions — the salt
    spreads a value that occurs in a third of all rows over several partitions;
-2. materialise that ordering once (reliable ``checkpoint`` in the shared checkpoint folder);
+2. materialise that ordering once (written to the shared checkpoint folder, with each row's
+   partition and position stored as columns);
 3. count rows per partition (one small row per partition reaches the driver);
 4. translate the wanted global ranks into (partition, offset) and fetch just those rows.
 
@@ -21,7 +22,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emporion.session import checkpoint_root
+from emporion.session import materialize
 
 _ID_SHIFT = 33  # monotonically_increasing_id = partition index << 33 | row index
 
@@ -36,7 +37,6 @@ class SortedColumns:
 
     def __init__(self, df: DataFrame, columns: list[str], partitions: int | None = None):
         spark = df.sparkSession
-        checkpoint_root(spark)
         self.columns = list(columns)
         parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
         pairs = F.explode(F.array(*[
@@ -50,8 +50,9 @@ class SortedColumns:
             .repartitionByRange(parts, "c", "v", "_salt")
             .sortWithinPartitions("c", "v", "_salt")
             .select("c", "v", F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().alias("mid"))
-            .checkpoint(eager=True)
         )
+        # partition and position are stored as columns, so the written copy keeps the order
+        self.ordered = materialize(self.ordered, "sorted-columns")
         sizes: dict[tuple[int, int], int] = {
             (r["pid"], r["c"]): r["n"]
             for r in self.ordered.groupBy("pid", "c").agg(F.count(F.lit(1)).alias("n")).collect()

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emporion.operators import features as H
-from emporion.session import checkpoint_root
+from emporion.session import materialize
 from emporion.sources.adapter import StarSchema
 
 NULL_LEVEL = "__null__"
@@ -143,12 +143,11 @@ def evaluate(star: StarSchema, key: str, num_trees: int = 100, max_depth: int =
         wmap = F.create_map(*[x for lab, cnt in counts.items() for x in (F.lit(lab), F.lit(n / (len(counts) * cnt)))])
         train = train.withColumn("weight", wmap[F.col("label")])
     if checkpoint:  # cut the join lineage before the many passes of tree induction
-        checkpoint_root(star.spark)
-        train = train.checkpoint(eager=True)
+        train = materialize(train, "model-train")
     model = _pipeline(v, num_trees, max_depth, seed).fit(train)
     pred = model.transform(test).withColumn("p_late", vector_to_array("probability")[1])
     if checkpoint:
-        pred = pred.select("label", "prediction", "p_late", "probability", "features").checkpoint(eager=True)
+        pred = materialize(pred.select("label", "prediction", "p_late"), "model-predictions")
     confusion = {
         (int(r["label"]), int(r["prediction"])): r["n"]
         for r in pred.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n")).collect()
@@ -157,7 +156,7 @@ def evaluate(star: StarSchema, key: str, num_trees: int = 100, max_depth: int =
         rawPredictionCol="p_late", labelCol="label", metricName="areaUnderROC", numBins=0
     ).evaluate(pred)
     rf = model.stages[-1]
-    names = _feature_names(pred, v)
+    names = _feature_names(model.transform(test.limit(0)), v)  # slot names from the schema only
     imp = sorted(zip(names, rf.featureImportances.toArray().tolist()), key=lambda t: (-t[1], t[0]))
     return Evaluation(v, med, confusion, auc, imp, model)
 

@@ -354,12 +354,13 @@ SUITE = {
 }
 
 
-def run_quality_suite(star: StarSchema, checks: list[str] | None = None, persist: bool = True,
+def run_quality_suite(star: StarSchema, checks: list[str] | None = None, persist: bool = False,
                       reference_scope: bool = False, parallelism: int = 4) -> dict[str, list]:
     """Run the validation checks and return their (small) result rows per check.
 
-    * ``persist`` keeps the star tables persisted for the run, so a table read by several
-      checks is computed once;
+    * ``persist`` keeps the star tables persisted for the run, so a derived table read by
+      several checks is computed once.  Off by default: a persisted table holds every
+      column, while each check scans only the few columns it needs from the files;
     * ``reference_scope`` restricts keys and foreign keys to the original script's lists
       instead of every key the registry declares;
     * independent checks are submitted as concurrent Spark jobs from ``parallelism`` driver

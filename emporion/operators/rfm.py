@@ -5,7 +5,7 @@
 * E8 — median split: ``recency <= median`` is recent, ``monetary >= median`` is high.
 * E9 — per segment: people, mean recency / frequency / spend, total spend (2 dp, half-up).
 
-The per-person table is checkpointed once (shared checkpoint folder): both medians and the
+The per-person table is written once to the shared checkpoint folder: both medians and the
 final labelling read it instead of recomputing the three-way join.  Medians are exact and
 distributed (:mod:`emporion.functions.quantiles`).
 """
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from emporion.functions import round_money, whole_days_between
 from emporion.functions.quantiles import exact_medians
 from emporion.operators.analytics import rfm_base
-from emporion.session import checkpoint_root
+from emporion.session import materialize as materialize_table
 from emporion.sources.adapter import StarSchema
 
 # Segment labels of the median split.
@@ -40,8 +40,7 @@ def rfm_customers(star: StarSchema, materialize: bool = False) -> DataFrame:
         "monetary",
     )
     if materialize:
-        checkpoint_root(star.spark)
-        out = out.checkpoint(eager=True)
+        out = materialize_table(out, "rfm-customers")
     return out
 
 

@@ -23,7 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def _q(fn, **kw) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(StarSchema(spark, sf_dir), **kw)
+        return fn(StarSchema.cached(spark, sf_dir), **kw)
 
     run.__name__ = fn.__name__
     run.__doc__ = fn.__doc__

@@ -30,6 +30,8 @@ dim_geolocation         raw geolocation reduced per zip (A5)
 from __future__ import annotations
 
 import os
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,11 +89,24 @@ class StarSchema:
         self.spark = spark
         self.sf_dir = sf_dir
 
+    @classmethod
+    def cached(cls, spark: SparkSession, sf_dir: str) -> "StarSchema":
+        """The session's star schema for ``sf_dir``: the views are defined (and analysed)
+        once per session, like temp views registered once, and reused by every query."""
+        registry = getattr(spark, "_emporion_stars", None)
+        if registry is None:
+            registry = {}
+            setattr(spark, "_emporion_stars", registry)
+        key = (cls, os.path.abspath(sf_dir))
+        if key not in registry:
+            registry[key] = cls(spark, sf_dir)
+        return registry[key]
+
     def _t(self, name: str) -> DataFrame:
         return read_driver(self.spark, self.sf_dir, name)
 
     # ---- dimensions -------------------------------------------------------------------
-    @property
+    @cached_property
     def customers(self) -> DataFrame:
         o = self._t("orders").select("o_orderkey", "o_custkey")
         c = self._t("customer").select("c_custkey", "c_nationkey")
@@ -107,7 +122,7 @@ class StarSchema:
             )
         )
 
-    @property
+    @cached_property
     def sellers(self) -> DataFrame:
         s = self._t("supplier").select("s_suppkey", "s_nationkey")
         n = self._t("nation").select("n_nationkey", "n_name")
@@ -117,7 +132,7 @@ class StarSchema:
             F.col("n_name").alias("seller_state"),
         )
 
-    @property
+    @cached_property
     def categories_raw(self) -> DataFrame:
         return (
             self._t("nation")
@@ -128,13 +143,13 @@ class StarSchema:
             )
         )
 
-    @property
+    @cached_property
     def categories(self) -> DataFrame:
         return insert_if_absent(
             self.spark, self.categories_raw, ADAPTER_MISSING_CATEGORIES, "product_category_name"
         )
 
-    @property
+    @cached_property
     def products(self) -> DataFrame:
         return self._t("part").select(
             F.col("p_partkey").alias("product_id"),
@@ -144,7 +159,7 @@ class StarSchema:
             .alias("product_weight_g"),
         )
 
-    @property
+    @cached_property
     def orders(self) -> DataFrame:
         ship = (
             self._t("lineitem")
@@ -164,7 +179,7 @@ class StarSchema:
             (F.col("o_orderdate") + F.expr(f"INTERVAL {PROMISED_DAYS} DAYS")).alias("order_estimated_delivery_date"),
         )
 
-    @property
+    @cached_property
     def reviews(self) -> DataFrame:
         return self._t("orders").select(
             F.concat_ws("-", F.col("o_custkey").cast("string"), F.to_date("o_orderdate").cast("string")).alias("review_id"),
@@ -172,7 +187,7 @@ class StarSchema:
             F.substring("o_orderpriority", 1, 1).cast("int").alias("review_score"),
         )
 
-    @property
+    @cached_property
     def items(self) -> DataFrame:
         return self._t("lineitem").select(
             F.col("l_orderkey").alias("order_id"),
@@ -186,7 +201,7 @@ class StarSchema:
             .alias("freight_value"),
         )
 
-    @property
+    @cached_property
     def payments(self) -> DataFrame:
         return self._t("orders").select(
             F.col("o_orderkey").alias("order_id"),
@@ -196,7 +211,7 @@ class StarSchema:
             F.col("o_totalprice").cast("decimal(10,2)").alias("payment_value"),
         )
 
-    @property
+    @cached_property
     def leads(self) -> DataFrame:
         return self._t("events").select(
             F.col("event_id").alias("mql_id"),
@@ -206,7 +221,7 @@ class StarSchema:
             .alias("origin"),
         )
 
-    @property
+    @cached_property
     def deals(self) -> DataFrame:
         return (
             self._t("events")
@@ -218,7 +233,7 @@ class StarSchema:
             )
         )
 
-    @property
+    @cached_property
     def geolocation_raw(self) -> DataFrame:
         return self._t("embeddings").select(
             F.col("vec_id").alias("_seq"),
@@ -229,7 +244,7 @@ class StarSchema:
             F.concat(F.lit("NATION_"), F.col("label").cast("string")).alias("geolocation_state"),
         )
 
-    @property
+    @cached_property
     def geolocation(self) -> DataFrame:
         return reduce_geolocation(self.geolocation_raw)
 
