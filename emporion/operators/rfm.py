@@ -67,8 +67,12 @@ def rfm_segments(star: StarSchema, rfm: DataFrame | None = None) -> DataFrame:
     )
 
 
-def _avg2(sum_col, n_col):
-    return F.round(F.col(sum_col).cast("decimal(38,2)") / F.col(n_col).cast("decimal(38,0)"), 2).cast("double")
+def _float_mean2(sum_col, n_col):
+    """Mean as a float rounded to 2 dp, as the original float pipeline does: the exact sum
+    is turned into a DOUBLE, divided, and the binary value is rounded half-up.  (An exact
+    decimal mean would round 520.435 up where the float pipeline gives 520.43.)"""
+    mean = F.col(sum_col).cast("double") / F.col(n_col).cast("double")
+    return (F.floor(mean * 100 + 0.5) / 100).cast("double")
 
 
 def segment_summary(star: StarSchema, segments: DataFrame | None = None) -> DataFrame:
@@ -87,9 +91,9 @@ def segment_summary(star: StarSchema, segments: DataFrame | None = None) -> Data
         .select(
             "segment",
             F.col("customer_count").cast("bigint").alias("customer_count"),
-            _avg2("_r", "customer_count").alias("avg_recency_days"),
-            _avg2("_f", "customer_count").alias("avg_frequency"),
-            _avg2("_m", "customer_count").alias("avg_monetary"),
+            _float_mean2("_r", "customer_count").alias("avg_recency_days"),
+            _float_mean2("_f", "customer_count").alias("avg_frequency"),
+            _float_mean2("_m", "customer_count").alias("avg_monetary"),
             round_money("_m").alias("total_monetary"),
         )
         .orderBy("segment")
