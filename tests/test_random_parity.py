@@ -18,12 +18,16 @@ QUERIES = [
     "e4_score_by_status", "e4b_score_by_status_three_way", "e4c_review_summary", "e4d_review_histogram",
     "e5_repeat_purchase", "e6_rfm_base", "e7_rfm_customers", "e8_rfm_segments", "e9_rfm_segment_summary",
     "e10_channel_funnel", "e10b_channel_funnel_dashboard", "e11_kpis",
+    "c2_null_thresholds", "c3_status_dependent_nulls", "c4_duplicates", "c4c_people_vs_records",
+    "c6_orphans", "c7_value_ranges", "c8_delivered_without_date", "h1_training_table_v1",
 ]
 
 
 @pytest.mark.parametrize("seed", [11, 22, 33])
 def test_operators_match_sql_on_random_fixtures(spark, seed, monkeypatch):
     rows = random_star_rows(seed)
+    rows.setdefault("dim_geolocation", [])  # empty tables: the checks must cope (0 % on empty)
+    rows.setdefault("fact_order_payments", [])
     star = FrameStar(spark, {name: table(spark, name, r) for name, r in rows.items()}, name=f"random-{seed}")
     con = duckdb.connect()
     for name, r in rows.items():
