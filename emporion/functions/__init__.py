@@ -2,6 +2,9 @@
 
 from emporion.functions.exprs import (
     EARTH_RADIUS_KM,
+    cents_to_decimal,
+    cents_to_double,
+    to_cents,
     delivery_status,
     dow_sunday0,
     haversine_km,
@@ -14,6 +17,9 @@ from emporion.functions.exprs import (
 
 __all__ = [
     "EARTH_RADIUS_KM",
+    "cents_to_decimal",
+    "cents_to_double",
+    "to_cents",
     "delivery_status",
     "dow_sunday0",
     "haversine_km",

@@ -58,6 +58,23 @@ def round_money(x: str | Column, scale: int = 2) -> Column:
     return F.round(_c(x), scale).cast("double")
 
 
+def to_cents(money: str | Column) -> Column:
+    """DECIMAL(p,2) money as exact integer cents (BIGINT).  Grouped sums over BIGINT use
+    primitive aggregation buffers; sums over DECIMAL wider than 18 digits use one BigDecimal
+    object per group and row.  ANSI mode turns an overflow into an error, never a wrong sum."""
+    return (_c(money) * 100).cast("bigint")
+
+
+def cents_to_double(cents: str | Column) -> Column:
+    """Exact cents -> money as DOUBLE (the same value a DECIMAL sum cast to DOUBLE gives)."""
+    return (_c(cents).cast("double") / F.lit(100.0)).alias("money")
+
+
+def cents_to_decimal(cents: str | Column, precision: int = 20) -> Column:
+    """Exact cents -> DECIMAL(precision, 2)."""
+    return (_c(cents).cast(f"decimal({precision},0)") / F.lit(100)).cast(f"decimal({precision},2)")
+
+
 def whole_days_between(later: str | Column, earlier: str | Column) -> Column:
     """Elapsed whole days, floored (23:00 -> 01:00 next day is 0; -2 h is -1).
 
