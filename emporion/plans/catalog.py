@@ -43,6 +43,7 @@ ANALYTICS: dict[str, Query] = {
     "e4_score_by_status": _q(A.score_by_status),
     "e4b_score_by_status_three_way": _q(A.score_by_status, three_way=True),
     "e4c_review_summary": _q(A.review_summary),
+    "b11_status_score_lookup": _q(A.status_score_lookup),
     "e4d_review_histogram": _q(A.review_histogram),
     "e5_repeat_purchase": _q(A.repeat_purchase),
     "e6_rfm_base": _q(A.rfm_top_spenders),
