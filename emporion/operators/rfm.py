@@ -28,20 +28,23 @@ NEW_LOW_VALUE = "New / Low Value"
 LOST = "Lost"
 
 
-def rfm_customers(star: StarSchema, materialize: bool = False) -> DataFrame:
-    """customer_unique_id, last_order_date, recency (days), frequency, monetary."""
+def rfm_customers(star: StarSchema, materialize: bool = True) -> DataFrame:
+    """customer_unique_id, last_order_date, recency (days), frequency, monetary.
+
+    The per-person base is written once to the shared checkpoint folder; the snapshot (a
+    scalar subquery) and every later use (medians, labels) read that table instead of
+    re-running the item/order/customer joins."""
     base = rfm_base(star)
+    if materialize:
+        base = materialize_table(base, "rfm-base")
     snapshot = base.agg(F.max("last_order_date") + F.expr("INTERVAL 1 DAY")).scalar()
-    out = base.select(
+    return base.select(
         "customer_unique_id",
         "last_order_date",
         whole_days_between(snapshot, "last_order_date").alias("recency"),
         "frequency",
         "monetary",
     )
-    if materialize:
-        out = materialize_table(out, "rfm-customers")
-    return out
 
 
 def rfm_segments(star: StarSchema, rfm: DataFrame | None = None) -> DataFrame:
