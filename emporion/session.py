@@ -60,14 +60,20 @@ def checkpoint_root(spark: SparkSession) -> str:
     Only when it is unset — local runs and tests — a private folder is created.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jdir.isDefined():
-            root = jdir.get()
+    jsc = None
+    try:  # classic sessions expose the context's checkpoint folder as well
+        jsc = spark.sparkContext._jsc.sc()
+        if not root and jsc.getCheckpointDir().isDefined():
+            root = jsc.getCheckpointDir().get()
+    except Exception:  # e.g. a Spark Connect session: only the conf is visible
+        jsc = None
     if not root:
         root = tempfile.mkdtemp(prefix="emporion-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        try:
+            spark.conf.set("spark.checkpoint.dir", root)
+        except Exception:
+            pass
+    if jsc is not None and not jsc.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(root)
     return root
 
