@@ -280,7 +280,10 @@ class StoredStarSchema(StarSchema):
         self.root = root
 
     def _stored(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(os.path.join(self.root, name))
+        from emporion.schemas import TABLES
+
+        # the load wrote the registry's schema: declare it instead of inferring from footers
+        return self.spark.read.schema(TABLES[name].spark_schema).parquet(os.path.join(self.root, name))
 
     customers = property(lambda self: self._stored("dim_customers"))
     sellers = property(lambda self: self._stored("dim_sellers"))
