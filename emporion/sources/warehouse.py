@@ -108,7 +108,11 @@ def write_bucketed_star(tables: dict[str, DataFrame], database: str, location: s
     already have ``hashpartitioning(order_id, buckets)``).  Each table is repartitioned on
     the bucket column first, so every write task produces one file per bucket instead of
     one per (task, bucket).  Other tables are plain Parquet tables.  ``location`` must be on
-    storage every executor reaches."""
+    storage every executor reaches.
+
+    Bucketing places every row of a key in one bucket by construction: if a single order
+    could hold a large share of all items, keep the unbucketed layout, where AQE splits a
+    skewed join partition at query time instead."""
     spark = next(iter(tables.values())).sparkSession
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{location}'")
     written = {}
