@@ -68,7 +68,13 @@ def checkpoint_root(spark: SparkSession) -> str:
     except Exception:  # e.g. a Spark Connect session: only the conf is visible
         jsc = None
     if not root:
-        root = tempfile.mkdtemp(prefix="emporion-ckpt-")
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local"):
+            raise RuntimeError(
+                "spark.checkpoint.dir is not set: on a cluster it must name a shared folder "
+                "(HDFS, S3, ...) that every executor can reach"
+            )
+        root = tempfile.mkdtemp(prefix="emporion-ckpt-")  # local runs and tests only
         try:
             spark.conf.set("spark.checkpoint.dir", root)
         except Exception:
