@@ -22,7 +22,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emporion.session import materialize
+from emporion.session import drop_scratch, materialize
 
 _ID_SHIFT = 33  # monotonically_increasing_id = partition index << 33 | row index
 
@@ -68,6 +68,10 @@ class SortedColumns:
                 self.n[c] += sizes[(pid, c)]
                 before += sizes[(pid, c)]
 
+    def close(self) -> None:
+        """Delete the materialised ordering (it is only needed while ranks are looked up)."""
+        drop_scratch(self.ordered)
+
     def at(self, wanted: dict[int, list[int]]) -> dict[tuple[int, int], float]:
         """Values at 0-based ranks, per column index: ``{(column, rank): value}``."""
         targets = {}
@@ -116,12 +120,20 @@ class SortedColumn(SortedColumns):
 
 def exact_quantiles(df: DataFrame, column: str, probs: list[float], partitions: int | None = None) -> list[float | None]:
     """Exact linear-interpolated quantiles of ``column`` (NULLs ignored)."""
-    return SortedColumn(df, column, partitions).quantiles(probs)
+    sc = SortedColumn(df, column, partitions)
+    try:
+        return sc.quantiles(probs)
+    finally:
+        sc.close()
 
 
 def exact_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
     """Exact medians of several columns from one sort."""
-    return {c: q[0] for c, q in SortedColumns(df, columns).quantiles([0.5]).items()}
+    sc = SortedColumns(df, columns)
+    try:
+        return {c: q[0] for c, q in sc.quantiles([0.5]).items()}
+    finally:
+        sc.close()
 
 
 def exact_median(df: DataFrame, column: str) -> float | None:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emporion.operators import features as H
-from emporion.session import materialize
+from emporion.session import drop_scratch, materialize
 from emporion.sources.adapter import StarSchema
 
 NULL_LEVEL = "__null__"
@@ -158,6 +158,8 @@ def evaluate(star: StarSchema, key: str, num_trees: int = 100, max_depth: int =
     rf = model.stages[-1]
     names = _feature_names(model.transform(test.limit(0)), v)  # slot names from the schema only
     imp = sorted(zip(names, rf.featureImportances.toArray().tolist()), key=lambda t: (-t[1], t[0]))
+    drop_scratch(train)  # the fitted model and the metrics no longer read them
+    drop_scratch(pred)
     return Evaluation(v, med, confusion, auc, imp, model)
 
 

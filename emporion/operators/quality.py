@@ -316,7 +316,11 @@ def describe(df: DataFrame, columns: list[str], scale: int = 6) -> DataFrame:
             F.max(F.col(c).cast("double")).alias(f"{c}__max"),
         )
     ]).first()
-    quartiles = SortedColumns(df, columns).quantiles([0.25, 0.5, 0.75])  # one sort for all columns
+    sorted_cols = SortedColumns(df, columns)  # one sort for all columns
+    try:
+        quartiles = sorted_cols.quantiles([0.25, 0.5, 0.75])
+    finally:
+        sorted_cols.close()
     rows = []
     for c in columns:
         q = quartiles[c]

@@ -102,4 +102,20 @@ def materialize(df, name: str):
     storage."""
     path = scratch_dir(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)  # known schema: no footer job
+    out = df.sparkSession.read.schema(df.schema).parquet(path)  # known schema: no footer job
+    out._emporion_scratch = path
+    return out
+
+
+def drop_scratch(df) -> None:
+    """Delete the folder behind a :func:`materialize`d DataFrame once nothing reads it any
+    more (Hadoop FileSystem API, so it works on HDFS / object stores as on local disks)."""
+    path = getattr(df, "_emporion_scratch", None)
+    if not path:
+        return
+    spark = df.sparkSession
+    try:
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    except Exception:  # no JVM handle (e.g. Spark Connect): leave it to retention
+        pass
