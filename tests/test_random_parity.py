@@ -23,9 +23,9 @@ QUERIES = [
 ]
 
 
-@pytest.mark.parametrize("seed", [11, 22, 33])
-def test_operators_match_sql_on_random_fixtures(spark, seed, monkeypatch):
-    rows = random_star_rows(seed)
+@pytest.mark.parametrize("seed,hot", [(11, False), (22, False), (33, False), (44, True), (55, True)])
+def test_operators_match_sql_on_random_fixtures(spark, seed, hot, monkeypatch):
+    rows = random_star_rows(seed, hot=hot)
     rows.setdefault("dim_geolocation", [])  # empty tables: the checks must cope (0 % on empty)
     rows.setdefault("fact_order_payments", [])
     star = FrameStar(spark, {name: table(spark, name, r) for name, r in rows.items()}, name=f"random-{seed}")

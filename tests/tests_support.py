@@ -41,11 +41,12 @@ def planted_star(spark, n=600):
 
 
 
-def random_star_rows(seed: int) -> dict[str, list[dict]]:
+def random_star_rows(seed: int, hot: bool = False) -> dict[str, list[dict]]:
     """A random small marketplace in the registry's schema, rich in edge cases: purchase-time
     ties, undelivered orders, people with several orders, repeated review ids, products
     without (or with an untranslated) category, leads without origin, deals with unknown
-    sellers and several deals per seller, equal prices."""
+    sellers and several deals per seller, equal prices.  With ``hot`` one person places a
+    third of the orders and one seller / one product carry a third of the items."""
     rnd = random.Random(seed)
     base = dt.datetime(2018, 1, 1)
     stamps = [base + dt.timedelta(days=rnd.randrange(60), hours=rnd.choice([0, 9, 23])) for _ in range(25)]
@@ -61,15 +62,18 @@ def random_star_rows(seed: int) -> dict[str, list[dict]]:
         oid, cid = f"o{i:04d}", f"c{i:04d}"
         bought = rnd.choice(stamps)
         delivered = None if rnd.random() < 0.2 else bought + dt.timedelta(days=rnd.randrange(0, 20), hours=rnd.randrange(24))
-        customers.append({"customer_id": cid, "customer_unique_id": rnd.choice(people), "customer_state": rnd.choice(["SP", "BA"])})
+        person = people[0] if hot and rnd.random() < 1 / 3 else rnd.choice(people)
+        customers.append({"customer_id": cid, "customer_unique_id": person, "customer_state": rnd.choice(["SP", "BA"])})
         orders.append({"order_id": oid, "customer_id": cid, "order_status": rnd.choice(["delivered", "shipped", "canceled"]),
                        "order_purchase_timestamp": bought, "order_delivered_customer_date": delivered,
                        "order_estimated_delivery_date": bought + dt.timedelta(days=rnd.choice([7, 10, 15]))})
         for _ in range(rnd.choice([0, 1, 1, 2])):
             reviews.append({"review_id": f"r{rnd.randrange(40)}", "order_id": oid, "review_score": rnd.randrange(1, 6)})
         for k in range(rnd.choice([0, 1, 2, 3, 5])):
-            items.append({"order_id": oid, "order_item_id": k + 1, "product_id": rnd.choice(products)["product_id"],
-                          "seller_id": rnd.choice(sellers)["seller_id"],
+            hot_item = hot and rnd.random() < 1 / 3
+            items.append({"order_id": oid, "order_item_id": k + 1,
+                          "product_id": products[0]["product_id"] if hot_item else rnd.choice(products)["product_id"],
+                          "seller_id": sellers[0]["seller_id"] if hot_item else rnd.choice(sellers)["seller_id"],
                           "price": money(rnd.choice(["9.90", "10.00", "120.50", "0.99", "33.33"])),
                           "freight_value": money("1.00")})
     origins = ["social", "paid", None, "organic"]
