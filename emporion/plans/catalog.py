@@ -120,9 +120,23 @@ def _rfm_summary_roundtrip(star: StarSchema) -> DataFrame:
     return csv_io.read_result_csv(star.spark, path, schema)
 
 
+def _category_patch(star: StarSchema) -> DataFrame:
+    """A4: the translation table after insert-if-absent, with the number of products each
+    translated category covers (the patched categories are the ones products need)."""
+    from pyspark.sql import functions as F
+
+    per_category = star.products.groupBy("product_category_name").agg(
+        F.count(F.lit(1)).cast("bigint").alias("products")
+    )
+    return star.categories.join(per_category, "product_category_name", "left").select(
+        "product_category_name", "product_category_name_english",
+        F.coalesce(F.col("products"), F.lit(0).cast("bigint")).alias("products"),
+    )
+
+
 SOURCES: dict[str, Query] = {
     "a3_warehouse_load_counts": _q(_warehouse_load_counts),
-    "a4_category_patch": _q(lambda star: star.categories),
+    "a4_category_patch": _q(_category_patch),
     "a5_geolocation_reduce": _q(_geolocation),
     "a7_rfm_summary_roundtrip": _q(_rfm_summary_roundtrip),
 }
