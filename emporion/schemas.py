@@ -23,7 +23,7 @@ class Col:
 @dataclass(frozen=True)
 class Table:
     name: str
-    raw_file: str | None
+    raw_file: str | None  # default source file name; loads accept a mapping to the real names
     columns: tuple[Col, ...]
     key: tuple[str, ...] = ()
     foreign_keys: tuple[tuple[str, str, str], ...] = ()  # (column, parent table, parent column)
@@ -56,13 +56,13 @@ TABLES: dict[str, Table] = {
     t.name: t
     for t in [
         Table(
-            "dim_customers", "olist_customers_dataset.csv",
+            "dim_customers", "customers.csv",
             (_s("customer_id", 32, True), _s("customer_unique_id", 32, True),
              _s("customer_zip_code_prefix", 5), _s("customer_city", 100), _s("customer_state", 2)),
             key=("customer_id",),
         ),
         Table(
-            "dim_sellers", "olist_sellers_dataset.csv",
+            "dim_sellers", "sellers.csv",
             (_s("seller_id", 32, True), _s("seller_zip_code_prefix", 5), _s("seller_city", 100),
              _s("seller_state", 2)),
             key=("seller_id",),
@@ -73,7 +73,7 @@ TABLES: dict[str, Table] = {
             key=("product_category_name",),
         ),
         Table(
-            "dim_products", "olist_products_dataset.csv",
+            "dim_products", "products.csv",
             (_s("product_id", 32, True), _s("product_category_name", 100),
              Col("product_name_lenght", I), Col("product_description_lenght", I),
              Col("product_photos_qty", I), Col("product_weight_g", I), Col("product_length_cm", I),
@@ -83,13 +83,13 @@ TABLES: dict[str, Table] = {
                            "product_category_name"),),
         ),
         Table(
-            "dim_geolocation", "olist_geolocation_dataset.csv",
+            "dim_geolocation", "geolocation.csv",
             (_s("geolocation_zip_code_prefix", 5, True), Col("geolocation_lat", COORD),
              Col("geolocation_lng", COORD), _s("geolocation_city", 100), _s("geolocation_state", 2)),
             key=("geolocation_zip_code_prefix",),
         ),
         Table(
-            "dim_orders", "olist_orders_dataset.csv",
+            "dim_orders", "orders.csv",
             (_s("order_id", 32, True), _s("customer_id", 32, True), _s("order_status", 20),
              Col("order_purchase_timestamp", TS), Col("order_approved_at", TS),
              Col("order_delivered_carrier_date", TS), Col("order_delivered_customer_date", TS),
@@ -98,7 +98,7 @@ TABLES: dict[str, Table] = {
             foreign_keys=(("customer_id", "dim_customers", "customer_id"),),
         ),
         Table(
-            "dim_reviews", "olist_order_reviews_dataset.csv",
+            "dim_reviews", "order_reviews.csv",
             (_s("review_id", 32, True), _s("order_id", 32, True), Col("review_score", I),
              _s("review_comment_title", 255), Col("review_comment_message", S),
              Col("review_creation_date", TS), Col("review_answer_timestamp", TS)),
@@ -108,13 +108,13 @@ TABLES: dict[str, Table] = {
             text_columns=("review_comment_title", "review_comment_message"),
         ),
         Table(
-            "dim_marketing_leads", "olist_marketing_qualified_leads_dataset.csv",
+            "dim_marketing_leads", "marketing_qualified_leads.csv",
             (_s("mql_id", 32, True), Col("first_contact_date", D), _s("landing_page_id", 32),
              _s("origin", 50)),
             key=("mql_id",),
         ),
         Table(
-            "dim_closed_deals", "olist_closed_deals_dataset.csv",
+            "dim_closed_deals", "closed_deals.csv",
             (_s("mql_id", 32, True), _s("seller_id", 32), _s("sdr_id", 32), _s("sr_id", 32),
              Col("won_date", D), _s("business_segment", 100), _s("lead_type", 50),
              _s("lead_behaviour_profile", 50), _s("has_company", 10), _s("has_gtin", 10),
@@ -126,7 +126,7 @@ TABLES: dict[str, Table] = {
                           ("seller_id", "dim_sellers", "seller_id")),
         ),
         Table(
-            "fact_order_items", "olist_order_items_dataset.csv",
+            "fact_order_items", "order_items.csv",
             (_s("order_id", 32, True), Col("order_item_id", I, True), _s("product_id", 32, True),
              _s("seller_id", 32, True), Col("shipping_limit_date", TS), Col("price", MONEY),
              Col("freight_value", MONEY)),
@@ -137,7 +137,7 @@ TABLES: dict[str, Table] = {
             min_values=(("price", 0), ("freight_value", 0)),
         ),
         Table(
-            "fact_order_payments", "olist_order_payments_dataset.csv",
+            "fact_order_payments", "order_payments.csv",
             (_s("order_id", 32, True), Col("payment_sequential", I, True), _s("payment_type", 20),
              Col("payment_installments", I), Col("payment_value", MONEY)),
             key=("order_id", "payment_sequential"),

@@ -101,16 +101,19 @@ def read_result_csv(spark: SparkSession, path: str, schema: str | T.StructType,
 
 
 def load_warehouse(spark: SparkSession, raw_dir: str, out_dir: str,
-                   patch: list[tuple[str, str]] | None = None) -> dict[str, str]:
+                   patch: list[tuple[str, str]] | None = None,
+                   raw_files: dict[str, str] | None = None) -> dict[str, str]:
     """A2 + A3 (+ A4, A5): load every raw file into a Parquet table, parents first.
 
-    Each table is an ``overwrite`` of its own folder, so a rerun replaces rather than
-    appends; the category patch is applied right after the translation table, and the
-    geolocation file is reduced to one row per zip prefix on the way in."""
+    ``raw_files`` maps a table to its source file name inside ``raw_dir`` (default: the
+    registry's name).  Each table is an ``overwrite`` of its own folder, so a rerun
+    replaces rather than appends; the category patch is applied right after the
+    translation table, and the geolocation file is reduced to one row per zip prefix on
+    the way in."""
     written = {}
     for name in LOAD_ORDER:
         meta = TABLES[name]
-        src = os.path.join(raw_dir, meta.raw_file)
+        src = os.path.join(raw_dir, (raw_files or {}).get(name, meta.raw_file))
         if name == "dim_geolocation":
             df = reduce_geolocation(read_table_csv(spark, src, meta, with_seq=True))
         else:
