@@ -236,30 +236,54 @@ def declared_constraints(star: StarSchema) -> DataFrame:
 def orphans(star: StarSchema, relaxed: tuple[tuple[str, str], ...] = (("dim_closed_deals", "seller_id"),),
             fks: list[tuple[str, str, str, str]] | None = None) -> DataFrame:
     """Child rows whose key has no parent (NULL keys count as orphans, like
-    ``LEFT JOIN … WHERE parent.key IS NULL``).  Child keys are counted per value first, so
-    the anti join sees distinct keys, not rows.  Relaxed keys report ``RELAXED`` instead of
-    ``BROKEN``."""
+    ``LEFT JOIN … WHERE parent.key IS NULL``).  Relaxed keys report ``RELAXED`` instead of
+    ``BROKEN``.
+
+    Per child table, one scan: every row is exploded into (foreign key index, key value) and
+    counted per pair (map-side combined), so a hot key is one row per task.  One anti join
+    against the union of the parents' keys (tagged with the same index) finds the orphan
+    pairs; both sums per index read the same key aggregate, whose exchange Spark reuses.
+    Keys keep their type; only foreign keys of different types are compared as text."""
+    from emporion.sources.warehouse import literal_rows
+
     tables = star.tables()
     if fks is None:
         fks = [(child, col, parent, pcol) for child, meta in TABLES.items() for col, parent, pcol in meta.foreign_keys]
+    fks = [fk for fk in fks if fk[0] in tables and fk[2] in tables]
     parts = []
-    for child, col, parent, pcol in fks:
-        if child in tables and parent in tables:
-            keys = tables[child].groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
-            parent_keys = tables[parent].select(F.col(pcol).alias(col))
-            lost = keys.join(parent_keys, col, "left_anti").agg(F.sum("_n")).scalar()
-            total = keys.agg(F.sum("_n")).scalar()
-            bad = "RELAXED" if (child, col) in relaxed else "BROKEN"
-            parts.append(
-                star.spark.range(1).select(lost.alias("orphan_rows"), total.alias("child_rows")).select(
-                    F.lit(child).alias("child_table"), F.lit(col).alias("child_column"),
-                    F.lit(parent).alias("parent_table"), F.lit(pcol).alias("parent_column"),
-                    F.coalesce(F.col("orphan_rows"), F.lit(0)).cast("bigint").alias("orphan_rows"),
-                    F.coalesce(F.col("child_rows"), F.lit(0)).cast("bigint").alias("child_rows"),
-                )
-                .withColumn("orphan_pct", _safe_pct("orphan_rows", "child_rows"))
-                .withColumn("status", F.when(F.col("orphan_rows") == 0, "OK").otherwise(bad))
+    for child in dict.fromkeys(fk[0] for fk in fks):
+        mine = [fk for fk in fks if fk[0] == child]
+        types = {tables[child].schema[col].dataType for _, col, _, _ in mine}
+        types |= {tables[parent].schema[pcol].dataType for _, _, parent, pcol in mine}
+        key_type = types.pop() if len(types) == 1 else T.StringType()  # text only when types differ
+        pairs = F.explode(F.array(*[
+            F.struct(F.lit(i).alias("k"), F.col(col).cast(key_type).alias("v")) for i, (_, col, _, _) in enumerate(mine)
+        ]))
+        keys = (
+            tables[child].select(pairs.alias("p")).select("p.k", "p.v")
+            .groupBy("k", "v").agg(F.count(F.lit(1)).alias("_n"))
+        )
+        parent_keys = _union([
+            tables[parent].select(F.lit(i).alias("k"), F.col(pcol).cast(key_type).alias("v"))
+            for i, (_, _, parent, pcol) in enumerate(mine)
+        ])
+        lost = keys.join(parent_keys, ["k", "v"], "left_anti").groupBy("k").agg(F.sum("_n").alias("orphan_rows"))
+        total = keys.groupBy("k").agg(F.sum("_n").alias("child_rows"))
+        labels = literal_rows(star.spark, [
+            (i, c, col, parent, pcol, "RELAXED" if (c, col) in relaxed else "BROKEN")
+            for i, (c, col, parent, pcol) in enumerate(mine)
+        ], "k int, child_table string, child_column string, parent_table string, parent_column string, bad string")
+        parts.append(
+            labels.join(total, "k", "left").join(lost, "k", "left").select(
+                "child_table", "child_column", "parent_table", "parent_column",
+                F.coalesce(F.col("orphan_rows"), F.lit(0)).cast("bigint").alias("orphan_rows"),
+                F.coalesce(F.col("child_rows"), F.lit(0)).cast("bigint").alias("child_rows"),
+                "bad",
             )
+            .withColumn("orphan_pct", _safe_pct("orphan_rows", "child_rows"))
+            .withColumn("status", F.when(F.col("orphan_rows") == 0, "OK").otherwise(F.col("bad")))
+            .drop("bad")
+        )
     return _union(parts)
 
 

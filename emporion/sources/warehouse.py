@@ -23,6 +23,8 @@ def literal_rows(spark: SparkSession, rows: list[tuple], schema) -> DataFrame:
     worker is involved when it is scanned."""
     from pyspark.sql import types as T
 
+    if isinstance(schema, str):
+        schema = T._parse_datatype_string(schema)
     fields = schema.fields if isinstance(schema, T.StructType) else schema
     structs = [
         F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, fields)]) for r in rows
