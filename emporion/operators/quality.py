@@ -413,3 +413,44 @@ def run_quality_suite(star: StarSchema, checks: list[str] | None = None, persist
     finally:
         if persist:
             run_on.release()
+
+
+def quality_report(star: StarSchema, reference_scope: bool = False) -> DataFrame:
+    """C1-C8 in one result table with a common schema:
+    ``check_id, table_name, column_name, metric, observed, expected, status``.
+
+    ``observed`` is the measured count, ``expected`` the value or bound it is judged against
+    (as text), ``status`` the verdict of the individual check."""
+    dups = duplicates(star, include_registry_keys=not reference_scope)
+    orph = orphans(star, fks=REFERENCE_FKS if reference_scope else None)
+    none = F.lit(None).cast("string")
+
+    def rows(df, check, table, column, metric, observed, expected, status):
+        return df.select(
+            F.lit(check).alias("check_id"), table.alias("table_name"), column.alias("column_name"),
+            metric.alias("metric"), observed.cast("bigint").alias("observed"),
+            expected.cast("string").alias("expected"), status.alias("status"),
+        )
+
+    c8 = delivered_without_date(star)
+    parts = [
+        rows(row_count_reconciliation(star), "C1", F.col("table_name"), none, F.lit("loaded_rows"),
+             F.col("loaded_rows"), F.col("raw_rows"), F.col("status")),
+        rows(null_thresholds(star), "C2", F.col("table_name"), F.col("column_name"), F.lit("null_count"),
+             F.col("null_count"), F.lit("0"), F.col("status")),
+        rows(status_dependent_nulls(star), "C3", F.lit("dim_orders"), F.col("column_name"),
+             F.concat(F.lit("null_count_status_"), F.col("order_status")), F.col("null_count"), none, F.lit("INFO")),
+        rows(dups, "C4", F.col("table_name"), F.col("key_columns"), F.lit("duplicate_keys"),
+             F.col("duplicate_keys"), F.col("expected"), F.col("status")),
+        rows(declared_constraints(star), "C5", F.col("table_name"), F.col("column_name"), F.col("rule"),
+             F.col("violations"), F.lit("0"), F.when(F.col("violations") == 0, "OK").otherwise("FAIL")),
+        rows(orph, "C6", F.col("child_table"), F.col("child_column"),
+             F.concat(F.lit("orphans_to_"), F.col("parent_table")), F.col("orphan_rows"), F.lit("0"), F.col("status")),
+        rows(value_ranges(star), "C7", F.col("table_name"), none, F.col("rule"), F.col("violations"),
+             F.lit("0"), F.col("status")),
+        rows(c8, "C8", F.lit("dim_orders"), F.lit("order_delivered_customer_date"),
+             F.concat(F.lit("status_"), F.col("delivered_status"), F.lit("_without_date")),
+             F.col("status_without_date"), F.lit("0"),
+             F.when(F.col("status_without_date") == 0, "OK").otherwise("ANOMALY")),
+    ]
+    return _union(parts)

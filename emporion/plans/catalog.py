@@ -143,6 +143,7 @@ SOURCES: dict[str, Query] = {
 
 
 QUALITY: dict[str, Query] = {
+    "c0_quality_report": _q(C.quality_report),
     "c1_row_counts": _q(C.row_count_reconciliation),
     "c2_null_thresholds": _q(C.null_thresholds),
     "c3_status_dependent_nulls": _q(C.status_dependent_nulls),
