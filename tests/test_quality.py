@@ -99,3 +99,15 @@ def test_row_counts_small(spark):
     rows = {r.table_name: r for r in C.row_count_reconciliation(StarSchema(spark, SF_SMALL)).collect()}
     assert rows["dim_product_category_translation"].status == "OK (expected difference)"
     assert all(r.status.startswith("OK") for r in rows.values())
+
+
+def test_quality_report_common_schema(spark):
+    rep = C.quality_report(_bad_star(spark), with_row_counts=False)
+    assert rep.columns == ["check_id", "table_name", "column_name", "metric", "observed", "expected", "status"]
+    rows = rep.collect()
+    assert {r.check_id for r in rows} == {"C2", "C3", "C4", "C5", "C6", "C7", "C8"}
+    by = {(r.check_id, r.table_name, r.column_name, r.metric): r for r in rows}
+    assert by[("C2", "fact_order_items", "price", "null_count")].status == "FAIL"
+    assert by[("C6", "fact_order_items", "product_id", "orphans_to_dim_products")].observed == 2
+    assert by[("C7", "dim_reviews", None, "review_score NOT BETWEEN 1 AND 5")].observed == 2
+    assert by[("C8", "dim_orders", "order_delivered_customer_date", "status_F_without_date")].status == "OK"
