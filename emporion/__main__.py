@@ -3,6 +3,7 @@
     python -m emporion                          # list queries
     python -m emporion e2_delay_by_category     # run on /root/testdata/sf0.01, print rows
     python -m emporion e9_rfm_segment_summary /path/to/sf_dir --rows 50
+    python -m emporion e2_delay_by_category --explain   # formatted physical plan
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ def main(argv: list[str]) -> int:
     parser.add_argument("sf_dir", nargs="?", default="/root/testdata/sf0.01")
     parser.add_argument("--rows", type=int, default=20, help="rows to show")
     parser.add_argument("--master", default="local[*]")
+    parser.add_argument("--explain", action="store_true", help="print the formatted physical plan instead of rows")
     args = parser.parse_args(argv)
 
     from emporion.plans.catalog import oracle_sql, queries
@@ -35,7 +37,11 @@ def main(argv: list[str]) -> int:
     from emporion.session import build_session
 
     spark = build_session(args.master, app_name=f"emporion-{args.query}")
-    qs[args.query](spark, args.sf_dir).show(args.rows, truncate=False)
+    df = qs[args.query](spark, args.sf_dir)
+    if args.explain:
+        df.explain("formatted")
+    else:
+        df.show(args.rows, truncate=False)
     return 0
 
 
