@@ -48,7 +48,3 @@ def partitions_for(total_bytes: int, target_bytes: int, least: int = 1) -> int:
     """Number of shuffle partitions that keeps each near ``target_bytes``."""
     return max(least, math.ceil(total_bytes / target_bytes))
 
-
-def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
-    """Bytes of text in the whole table (one small aggregate)."""
-    return docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long"))).first()[0] or 0
