@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+import os
+import shutil
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +17,7 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"  # fixed value: the white space of the contracts
 WORD = r"[^\x20\x09-\x0D]+"  # fixed value: a word of the contracts
 LAST_ID = 2**63 - 1  # stands for a null id: such a row comes after every other one
 
-__all__ = ["LAST_ID", "SPACE_RUN", "WORD", "id_order", "materialize", "partitions_for", "read_table", "row_keyed", "text_or_empty"]
+__all__ = ["LAST_ID", "SPACE_RUN", "WORD", "id_order", "materialize", "partitions_for", "read_table", "row_keyed", "ship_code", "text_or_empty"]
 
 
 def read_table(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -48,3 +51,15 @@ def partitions_for(total_bytes: int, target_bytes: int, least: int = 1) -> int:
     """Number of shuffle partitions that keeps each near ``target_bytes``."""
     return max(least, math.ceil(total_bytes / target_bytes))
 
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Give the executors this package, once a session, so that functions of it run wherever
+    the driver was started."""
+    context = spark.sparkContext
+    if not getattr(context, "_emporion_shipped", False):
+        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        if os.path.isdir(os.path.join(root, "emporion")):  # else it runs from an archive that was shipped already
+            to = os.path.join(tempfile.mkdtemp(prefix="emporion-code-"), "emporion")  # served by the driver
+            context.addPyFile(shutil.make_archive(to, "zip", root, "emporion"))
+        context._emporion_shipped = True

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emporion.llm import exact_dedup, mixing, sharding, simhash, substring_dedup, suffix_dedup
+from emporion.llm import bpe, exact_dedup, mixing, sharding, simhash, substring_dedup, suffix_dedup
 from emporion.llm.common import read_table
 
 documents, embeddings, labels = read_table("documents"), read_table("embeddings"), read_table("labels")
@@ -16,6 +16,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(documents(spark, sf_dir))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(documents(spark, sf_dir)).drop("rk")
 
@@ -37,7 +41,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_exact_dedup, op4_simhash, op5_substring_dedup, op6_sharding, op8_mixing, op9_suffix_dedup]
+    own = [op1_exact_dedup, op2_bpe, op4_simhash, op5_substring_dedup, op6_sharding, op8_mixing, op9_suffix_dedup]
     return {f.__name__: f for f in own}
 
 

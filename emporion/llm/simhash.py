@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emporion.llm.common import LAST_ID, id_order, materialize, text_or_empty
+from emporion.llm.common import LAST_ID, id_order, materialize, ship_code, text_or_empty
 from emporion.llm.components import components
 
 SHINGLE_WORDS, MAX_BITS, SEED = 3, 2, 42  # fixed values
@@ -92,6 +92,7 @@ def fingerprint_table(docs: DataFrame, k: int = SHINGLE_WORDS, id_col: str = "do
                 fp = fingerprints(part.column(2).to_pylist(), k)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp.view(np.int64))], ["oid", "rk", "fp"])
 
+    ship_code(docs.sparkSession)
     text = text_or_empty(text_col)
     return docs.select(id_order(id_col).alias("oid"), F.xxhash64(text).alias("rk"), text.alias("text")).mapInArrow(run, "oid long, rk long, fp long")
 
@@ -242,6 +243,7 @@ def links(classes: DataFrame, radius: int = MAX_BITS, blocks: int = BLOCKS, most
             reps += cur_rep
         yield from settle()
 
+    ship_code(classes.sparkSession)
     dealt = classes.select("rep", "fp", F.explode(F.array(*[F.lit(_signed(m)) for m in masks(radius, blocks)])).alias("mask"))
     found = None
     while True:
