@@ -27,11 +27,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emporion.llm.common import LAST_ID, materialize, partitions_for, row_keyed
+from emporion.llm.common import LAST_ID, materialize, partitions_for, row_keyed, ship_code
 
 CHUNK_BYTES = 8 << 20  # text that a task cuts at a time
-BUCKET_BYTES = 8 << 20  # aimed size of a bucket, unpacked
-MOST_BUCKET_BYTES = 24 << 20  # a larger bucket is dealt out again
+BUCKET_BYTES = 6 << 20  # aimed size of a bucket, unpacked
+MOST_BUCKET_BYTES = 16 << 20  # a larger bucket is dealt out again
+DEAL_WINDOWS = 1 << 17  # windows that are dealt out at a time
 ROUNDS = 4  # by then a bucket holds a window or two, with the places of one document each
 BUCKETS_A_TASK = 3
 ROW = "part long, payload binary, raw long, oid long, rk long, a long, b long"
@@ -185,19 +186,22 @@ def _comparer(m: Method, parts: int, salt: int, most_bytes: int):
             yield _batch(oid=spans[0], rk=spans[1], a=spans[2], b=spans[3])
 
     def deal(blobs):
-        texts, _, oid, count, rk, start = bucket(blobs)
-        flat, own, at, rows = [], [], [], []
-        place = 0
-        for i, (text, c) in enumerate(zip(texts, count.tolist())):
-            windows = m.split(text)
-            flat += windows * c
-            own += [i] * (len(windows) * c)
-            at += [x + k for x in start[place : place + c].tolist() for k in range(len(windows))]
-            rows += [x for x in rk[place : place + c].tolist() for _ in windows]
-            place += c
-        mini = np.fromiter(map(xxhash.xxh64_intdigest, flat), np.uint64, len(flat))
-        one = np.ones(len(flat), np.int64)
-        yield from _ship(Strings(flat, mini, 0 * one - 1, one, oid[own], np.array(rows, np.int64), np.array(at, np.int64)), parts, salt, m.window)
+        for x in blobs:
+            texts, _, oid, count, rk, start = bucket([x])
+            flat, own, at, rows = [], [], [], []
+            place = 0
+            for i, (text, c) in enumerate(zip(texts, count.tolist())):
+                windows = m.split(text)
+                flat += windows * c
+                own += [i] * (len(windows) * c)
+                at += [x + k for x in start[place : place + c].tolist() for k in range(len(windows))]
+                rows += [x for x in rk[place : place + c].tolist() for _ in windows]
+                place += c
+                if len(flat) >= DEAL_WINDOWS or i == len(texts) - 1:
+                    mini = np.fromiter(map(xxhash.xxh64_intdigest, flat), np.uint64, len(flat))
+                    one = np.ones(len(flat), np.int64)
+                    yield from _ship(Strings(flat, mini, 0 * one - 1, one, oid[own], np.array(rows, np.int64), np.array(at, np.int64)), parts, salt, m.window)
+                    flat, own, at, rows = [], [], [], []
 
     def run(batches):
         now, held, size, large = None, [], 0, False
@@ -227,6 +231,7 @@ def _comparer(m: Method, parts: int, salt: int, most_bytes: int):
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     """(oid, rk, text as bytes), and the bytes of text.  ``rk`` is 0 unless some id of the table
     has several texts; then it tells them apart."""
+    ship_code(docs.sparkSession)
     rows = row_keyed(docs, id_col, text_col)
     size = F.octet_length("text").cast("long")
     ids = rows.groupBy("oid").agg((F.min("rk") < F.max("rk")).alias("several"), F.sum(size).alias("size"))
@@ -243,7 +248,7 @@ def covered_spans(
     raw = int(total * m.expansion)
     parts = partitions_for(raw, bucket_bytes)
     dealt = rows.mapInArrow(_cutter(m, parts, chunk_bytes), ROW)
-    parts *= 64  # for windows that are dealt out one by one: room for all of them
+    parts *= 16  # for windows that are dealt out one by one: room for all of them
     found, salt = None, 0
     while True:
         salt += 1

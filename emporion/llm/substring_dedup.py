@@ -1,7 +1,7 @@
 """Operator 5, substring dedup of words by super-k-mer partitioning.
 
 A window is ``window`` consecutive words of a document.  The minimiser of a window is the
-smallest hash of its words; consecutive windows with the same minimiser travel as one packed
+smallest hash of its words, long words before short ones; consecutive windows with the same minimiser travel as one packed
 string to its bucket (see ``passages``).  In the bucket the windows are sorted by a hash of
 their words, runs of equal hashes are compared byte by byte, and a window is repeated if a
 document with a smaller id has it.  Words covered by repeated windows are removed.
@@ -25,6 +25,7 @@ from emporion.llm.passages import Method, Strings, covered_spans, finish, keyed,
 WINDOW_WORDS = 13  # fixed value
 PIECE_BYTES = 8 << 20
 HASH_BYTES = 2 << 20
+SHORT_BYTES = 5
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _MULT = np.uint64(0x100000001B3)
 
@@ -84,7 +85,9 @@ def _cut(window: int):
         last = np.searchsorted(ends, line_ends)  # last word of each text
         begin = np.concatenate([[0], last[:-1] + 1])
         doc = np.repeat(np.arange(len(texts)), last - begin + 1)
-        low = _sliding_min(h, window)
+        # Short words come last: they are the frequent ones, which would fill a few buckets.
+        short = (ends - starts <= SHORT_BYTES).astype(np.uint64) << np.uint64(63)
+        low = _sliding_min((h >> np.uint64(1)) | short, window)
         whole = doc[: len(low)] == doc[window - 1 :]
         at = np.flatnonzero(whole)
         new = np.ones(len(at), bool)
