@@ -26,7 +26,7 @@ def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_dedup(documents(spark, sf_dir)).drop("rk")
+    return simhash.near_dedup(documents(spark, sf_dir))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

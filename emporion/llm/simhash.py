@@ -190,94 +190,93 @@ def _forest(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
 
 
 def links(classes: DataFrame, radius: int = MAX_BITS, blocks: int = BLOCKS, most_rows: int = MOST_ROWS) -> DataFrame:
-    """(u, v): a set of links between the ``rep`` of classes (rep, fp) that connects whatever the
-    links of at most ``radius`` differing bits connect."""
-    out_schema = "u long, v long, mask long, fp long, rep long"
+    """(u, v): pairs of the fingerprints of ``classes`` (fp, all different) that connect whatever
+    the links of at most ``radius`` differing bits connect."""
+    out_schema = "u long, v long, mask long, fp long"
 
     def compare(batches):
-        fps, reps, groups = [], [], []  # whole groups that wait for comparison
-        cur_key, cur_fp, cur_rep, large = None, [], [], False
+        fps = []  # whole groups that wait for comparison
+        cur_key, cur, large = None, [], False
 
-        def rows(u, v, mask, fp, rep):
-            arrays = [pa.array(x, pa.int64()) for x in (u, v, mask, fp, rep)]
-            return pa.RecordBatch.from_arrays(arrays, ["u", "v", "mask", "fp", "rep"])
+        def rows(u, v, mask, fp):
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (u, v, mask, fp)], ["u", "v", "mask", "fp"])
 
-        def again(mask, fp, rep):
+        def again(mask, fp):
             for m in finer(mask & ALL, radius):
                 n = len(fp)
-                yield rows([None] * n, [None] * n, [_signed(m)] * n, fp, rep)
+                yield rows([None] * n, [None] * n, [_signed(m)] * n, fp)
 
         def settle():
             n = len(fps)
             if n > 1:
                 tree = _forest(linked_pairs(np.array(fps, np.int64).view(np.uint64), radius), n)
                 if tree:
-                    u, v = [reps[i] for i, _ in tree], [reps[j] for _, j in tree]
                     none = [None] * len(tree)
-                    yield rows(u, v, none, none, none)
+                    yield rows([fps[i] for i, _ in tree], [fps[j] for _, j in tree], none, none)
             fps.clear()
-            reps.clear()
 
         for b in batches:
-            mask, key, fp, rep = (b.column(i).to_numpy() for i in range(4))
+            mask, key, fp = (b.column(i).to_numpy() for i in range(3))
             edge = np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1])) + 1
             for s, e in zip([0, *edge.tolist()], [*edge.tolist(), len(mask)]):
                 if e == s:
                     continue
                 k = (int(mask[s]), int(key[s]))
                 if k != cur_key:
-                    if not large and len(cur_fp) > 1:
-                        fps += cur_fp
-                        reps += cur_rep
+                    if not large and len(cur) > 1:
+                        fps += cur
                         if len(fps) >= BATCH_ROWS:
                             yield from settle()
-                    cur_key, cur_fp, cur_rep, large = k, [], [], False
-                cur_fp += fp[s:e].tolist()
-                cur_rep += rep[s:e].tolist()
-                if large or len(cur_fp) > most_rows:
+                    cur_key, cur, large = k, [], False
+                cur += fp[s:e].tolist()
+                if large or len(cur) > most_rows:
                     large = True
-                    yield from again(k[0], cur_fp, cur_rep)
-                    cur_fp, cur_rep = [], []
-        if not large and len(cur_fp) > 1:
-            fps += cur_fp
-            reps += cur_rep
+                    yield from again(k[0], cur)
+                    cur = []
+        if not large and len(cur) > 1:
+            fps += cur
         yield from settle()
 
     ship_code(classes.sparkSession)
-    dealt = classes.select("rep", "fp", F.explode(F.array(*[F.lit(_signed(m)) for m in masks(radius, blocks)])).alias("mask"))
+    dealt = classes.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in masks(radius, blocks)])).alias("mask"))
     found = None
     while True:
-        keyed = dealt.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", "rep")
+        keyed = dealt.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
         out = materialize(keyed.repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(compare, out_schema), "simhash-links")
         got = out.where("u IS NOT NULL").select("u", "v")
         found = got if found is None else found.unionByName(got)
-        dealt = out.where("mask IS NOT NULL").select("rep", "fp", "mask")
+        dealt = out.where("mask IS NOT NULL").select("fp", "mask")
         if dealt.isEmpty():
             return found
 
 
-def near_dedup(docs: DataFrame, radius: int = MAX_BITS, k: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, rk, fingerprint, component_id`` (the smallest id
-    reachable)."""
+def near_groups(docs: DataFrame, radius: int = MAX_BITS, k: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: ``oid, rk, fp`` and ``least``, the smallest (oid, rk) of its
+    component."""
     prints = materialize(fingerprint_table(docs, k, id_col, text_col), "simhash-prints")
-    classes = materialize(prints.groupBy("fp").agg(F.min("oid").alias("rep")), "simhash-classes")
-    root = components(links(classes, radius))
-    classes = classes.join(root.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component"))
+    classes = materialize(prints.groupBy("fp").agg(F.min(F.struct("oid", "rk")).alias("own")), "simhash-classes")
+    root = components(links(classes, radius)).withColumnRenamed("node", "fp")
+    classes = classes.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = classes.groupBy("root").agg(F.min("own").alias("least"))
+    return prints.join(classes.join(least, "root").select("fp", "least"), "fp")
+
+
+def near_dedup(docs: DataFrame, radius: int = MAX_BITS, k: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: ``doc_id, fingerprint, component_id`` (the smallest id reachable)."""
     back = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
-    return prints.join(classes, "fp").select(
+    return near_groups(docs, radius, k, id_col, text_col).select(
         back("oid").alias("doc_id"),
-        "rk",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        back("component").alias("component_id"),
+        back("least.oid").alias("component_id"),
     )
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id (of
-    repeated rows, one)."""
+def drop_near_copies(docs: DataFrame, radius: int = MAX_BITS, k: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component: the one with the smallest id (of rows with
+    that id, one)."""
     given = docs.columns
-    stay = near_dedup(docs, id_col=id_col, text_col=text_col).where("doc_id <=> component_id")
-    stay = stay.groupBy(id_order("doc_id").alias("oid"), "rk").agg(F.count("*").alias("n"))
+    stay = near_groups(docs, radius, k, id_col, text_col).where("oid = least.oid AND rk = least.rk")
+    stay = stay.groupBy("oid", "rk").agg(F.count("*").alias("n"))
     stay = materialize(stay, "simhash-kept")
     own = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in given]).alias("row"), id_order(id_col).alias("oid"), F.xxhash64(text_or_empty(text_col)).alias("rk")
