@@ -1,17 +1,13 @@
-"""Exact quantiles without gathering a column into one task.
+"""Exact quantiles by narrowing histograms, without sorting or gathering a column.
 
-``percentile``/``median`` are exact in Spark but keep every distinct value of the column in
-one aggregation buffer at the final merge, and ``approx_percentile`` is not exact.  Here the
-k-th smallest values are found by a distributed sort instead:
+The value at a rank is found by counting.  A pass sums, for every wanted rank, the rows per bin
+of the interval that is known to hold it (map-side combined: at most ``BINS`` rows a rank reach
+the driver, with each bin's count, smallest and largest value); the bin in which the rank falls
+is the next interval.  A rank is settled when its bin holds one value, so a value that fills a
+third of all rows needs no special care.  Counts do not depend on the order of rows, so a stage
+that is run again after a lost executor gives the same answer.
 
-1. range-partition the values on ``(value, salt)`` and sort within partitions — the salt
-   spreads a value that occurs in a third of all rows over several partitions;
-2. materialise that ordering once (written to the shared checkpoint folder, with each row's
-   partition and position stored as columns);
-3. count rows per partition (one small row per partition reaches the driver);
-4. translate the wanted global ranks into (partition, offset) and fetch just those rows.
-
-Interpolation follows the linear rule used by pandas, Spark ``percentile`` and DuckDB
+Interpolation follows the linear rule of pandas, Spark ``percentile`` and DuckDB
 ``quantile_cont``: position ``h = (n - 1)·p``, value ``v[⌊h⌋] + (h - ⌊h⌋)·(v[⌈h⌉] - v[⌊h⌋])``.
 """
 
@@ -22,118 +18,80 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emporion.session import drop_scratch, materialize
-
-_ID_SHIFT = 33  # monotonically_increasing_id = partition index << 33 | row index
-
-
-class SortedColumns:
-    """Non-null values of several columns, each in global ascending order, materialised by
-    one range sort and one checkpoint.
-
-    Rows are ``(column index, value)`` pairs; the range partitioning on
-    ``(column, value, salt)`` keeps each column's values contiguous and ordered across
-    partitions, and the salt splits a hot value over several partitions."""
-
-    def __init__(self, df: DataFrame, columns: list[str], partitions: int | None = None):
-        spark = df.sparkSession
-        self.columns = list(columns)
-        parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        pairs = F.explode(F.array(*[
-            F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)
-        ]))
-        self.ordered = (
-            df.select(pairs.alias("p"))
-            .select("p.c", "p.v")
-            .filter(F.col("v").isNotNull())
-            .withColumn("_salt", F.rand(7))
-            .repartitionByRange(parts, "c", "v", "_salt")
-            .sortWithinPartitions("c", "v", "_salt")
-            .select("c", "v", F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().alias("mid"))
-        )
-        # partition and position are stored as columns, so the written copy keeps the order
-        self.ordered = materialize(self.ordered, "sorted-columns")
-        sizes: dict[tuple[int, int], int] = {
-            (r["pid"], r["c"]): r["n"]
-            for r in self.ordered.groupBy("pid", "c").agg(F.count(F.lit(1)).alias("n")).collect()
-        }  # at most partitions x columns rows
-        self.n = [0] * len(columns)
-        # per column: list of (pid, first global rank in this partition, local offset of the
-        # column's first row inside the partition)
-        self._spans: list[list[tuple[int, int, int]]] = [[] for _ in columns]
-        for pid in sorted({p for p, _ in sizes}):
-            before = 0
-            for c in sorted(c for p, c in sizes if p == pid):
-                self._spans[c].append((pid, self.n[c], before))
-                self.n[c] += sizes[(pid, c)]
-                before += sizes[(pid, c)]
-
-    def close(self) -> None:
-        """Delete the materialised ordering (it is only needed while ranks are looked up)."""
-        drop_scratch(self.ordered)
-
-    def at(self, wanted: dict[int, list[int]]) -> dict[tuple[int, int], float]:
-        """Values at 0-based ranks, per column index: ``{(column, rank): value}``."""
-        targets = {}
-        for c, ranks in wanted.items():
-            for r in set(ranks):
-                if not 0 <= r < self.n[c]:
-                    raise ValueError(f"rank {r} outside 0..{self.n[c] - 1}")
-                pid, first, offset = max((s for s in self._spans[c] if s[1] <= r), key=lambda s: s[1])
-                targets[(pid << _ID_SHIFT) + offset + (r - first)] = (c, r)
-        if not targets:
-            return {}
-        rows = self.ordered.filter(F.col("mid").isin(list(targets))).select("mid", "v").collect()
-        return {targets[row["mid"]]: row["v"] for row in rows}
-
-    def quantiles(self, probs: list[float]) -> dict[str, list[float | None]]:
-        """Linear-interpolated quantiles for every column."""
-        pos = {c: [(self.n[c] - 1) * p for p in probs] for c in range(len(self.columns)) if self.n[c]}
-        vals = self.at({c: sorted({math.floor(h) for h in hs} | {math.ceil(h) for h in hs}) for c, hs in pos.items()})
-        out = {}
-        for c, name in enumerate(self.columns):
-            if not self.n[c]:
-                out[name] = [None for _ in probs]
+BINS = 512
+
+
+def _values_at(df: DataFrame, found: dict[tuple[str, int], tuple[float, float, int]]) -> dict[tuple[str, int], float]:
+    """Values at 0-based ranks.  ``found`` maps (column, rank) to an interval that holds the
+    value and the number of rows below that interval."""
+    out: dict[tuple[str, int], float] = {}
+    while True:
+        for key in [k for k, (lo, hi, _) in found.items() if lo == hi]:
+            out[key] = found.pop(key)[0]
+        if not found:
+            return out
+        parts = {}  # ranks whose intervals are still the same share one histogram
+        for (c, rank), (lo, hi, below) in found.items():
+            parts.setdefault((c, lo, hi, below), []).append(rank)
+        keys = list(parts)
+        bins = []
+        for i, (c, lo, hi, _) in enumerate(keys):
+            v = F.col(c).cast("double")
+            # Halves keep the width finite for values of opposite sign near the largest double.
+            place = F.floor((v / 2 - lo / 2) / (hi / 2 - lo / 2) * BINS)
+            place = F.least(F.greatest(place, F.lit(0)), F.lit(BINS - 1)).cast("int")
+            place = F.when(v == hi, F.lit(BINS - 1)).when(v == lo, F.lit(0)).otherwise(place)
+            bins.append(F.struct(F.lit(i).alias("part"), F.when(v.between(lo, hi), place).alias("bin"), v.alias("v")))
+        rows = (
+            df.select(F.explode(F.array(*bins)).alias("x"))
+            .where("x.bin IS NOT NULL")
+            .groupBy("x.part", "x.bin")
+            .agg(F.count("*").alias("n"), F.min("x.v").alias("lo"), F.max("x.v").alias("hi"))
+            .collect()
+        )  # at most BINS rows for each rank
+        for i, (c, lo, hi, below) in enumerate(keys):
+            for rank in parts[keys[i]]:
+                upto = below
+                for r in sorted((r for r in rows if r["part"] == i), key=lambda r: r["bin"]):
+                    if rank < upto + r["n"]:
+                        found[c, rank] = (r["lo"], r["hi"], upto)
+                        break
+                    upto += r["n"]
+
+
+def exact_quantiles_of(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list[float | None]]:
+    """Exact linear-interpolated quantiles of several columns (NULLs ignored; None for a column
+    without values)."""
+    d = [F.col(c).cast("double") for c in columns]
+    row = df.agg(*[F.struct(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")).alias(f"s{i}") for i, v in enumerate(d)]).first()
+    stats = dict(zip(columns, row))
+    want = {}
+    for c, s in stats.items():
+        for p in probs if s["n"] else []:
+            h = (s["n"] - 1) * p
+            want |= {(c, r): (s["lo"], s["hi"], 0) for r in (math.floor(h), math.ceil(h))}
+    value = _values_at(df, want)
+    out = {}
+    for c, s in stats.items():
+        out[c] = []
+        for p in probs:
+            if not s["n"]:
+                out[c].append(None)
                 continue
-            res = []
-            for h in pos[c]:
-                lo, hi = math.floor(h), math.ceil(h)
-                res.append(vals[(c, lo)] + (h - lo) * (vals[(c, hi)] - vals[(c, lo)]))
-            out[name] = res
-        return out
-
-
-class SortedColumn(SortedColumns):
-    """Single-column form."""
-
-    def __init__(self, df: DataFrame, column: str, partitions: int | None = None):
-        super().__init__(df, [column], partitions)
-        self.column = column
-
-    @property
-    def size(self) -> int:
-        return self.n[0]
-
-    def quantiles(self, probs: list[float]) -> list[float | None]:  # type: ignore[override]
-        return super().quantiles(probs)[self.column]
+            h = (s["n"] - 1) * p
+            lo, hi = value[c, math.floor(h)], value[c, math.ceil(h)]
+            out[c].append(lo + (h - math.floor(h)) * (hi - lo))
+    return out
 
 
-def exact_quantiles(df: DataFrame, column: str, probs: list[float], partitions: int | None = None) -> list[float | None]:
+def exact_quantiles(df: DataFrame, column: str, probs: list[float]) -> list[float | None]:
     """Exact linear-interpolated quantiles of ``column`` (NULLs ignored)."""
-    sc = SortedColumn(df, column, partitions)
-    try:
-        return sc.quantiles(probs)
-    finally:
-        sc.close()
+    return exact_quantiles_of(df, [column], probs)[column]
 
 
 def exact_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
-    """Exact medians of several columns from one sort."""
-    sc = SortedColumns(df, columns)
-    try:
-        return {c: q[0] for c, q in sc.quantiles([0.5]).items()}
-    finally:
-        sc.close()
+    """Exact medians of several columns from the same passes."""
+    return {c: q[0] for c, q in exact_quantiles_of(df, columns, [0.5]).items()}
 
 
 def exact_median(df: DataFrame, column: str) -> float | None:

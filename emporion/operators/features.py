@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emporion.functions import dow_sunday0, haversine_km, whole_days_between
+from emporion.functions import dow_sunday0, haversine_km, is_late, whole_days_between
 from emporion.functions.quantiles import exact_median
 from emporion.sources.adapter import StarSchema
 
@@ -24,34 +24,43 @@ V2_NUMERIC = [
     "price", "freight_value", "product_weight_g", "purchase_day_of_week",
     "estimated_delivery_days", "seller_customer_distance_km",
 ]
-# Columns that would leak the answer.
-LEAKY = ["order_id", "order_item_id", "order_purchase_timestamp",
-         "order_estimated_delivery_date", "order_delivered_customer_date"]
 
 
-def _delivered_items(star: StarSchema, with_customer: bool) -> DataFrame:
-    o = star.orders.filter(F.col("order_delivered_customer_date").isNotNull()).select(
+def _located(df: DataFrame, star: StarSchema, zip_col: str, side: str) -> DataFrame:
+    """``<side>_lat``, ``<side>_lng`` of a dimension's zip prefix, at the dimension's grain."""
+    geo = star.geolocation.select(
+        F.col("geolocation_zip_code_prefix").alias(zip_col),
+        F.col("geolocation_lat").alias(f"{side}_lat"), F.col("geolocation_lng").alias(f"{side}_lng"),
+    )
+    return df.join(geo, zip_col, "left").drop(zip_col)
+
+
+def _delivered_items(star: StarSchema, with_places: bool) -> DataFrame:
+    """Items of delivered orders with product, seller and, ``with_places``, the customer's state
+    and both coordinates.  Geolocation joins sellers and customers, and customers join orders,
+    before the items come in: the items are never dealt out by customer or zip prefix."""
+    sellers = star.sellers.select("seller_id", "seller_state", "seller_zip_code_prefix")
+    orders = star.orders.filter(F.col("order_delivered_customer_date").isNotNull()).select(
         "order_id", "customer_id", "order_purchase_timestamp",
         "order_estimated_delivery_date", "order_delivered_customer_date",
     )
-    f = star.items.select("order_id", "order_item_id", "product_id", "seller_id", "price", "freight_value")
-    j = (
-        f.join(star.products.select("product_id", "product_category_name", "product_weight_g"), "product_id")
-        .join(star.sellers.select("seller_id", "seller_state", "seller_zip_code_prefix"), "seller_id")
-        .join(o, "order_id")
-    )
-    if with_customer:
-        j = j.join(star.customers.select("customer_id", "customer_state", "customer_zip_code_prefix"), "customer_id")
-    return j
+    if with_places:
+        sellers = _located(sellers, star, "seller_zip_code_prefix", "seller")
+        customers = star.customers.select("customer_id", "customer_state", "customer_zip_code_prefix")
+        orders = orders.join(_located(customers, star, "customer_zip_code_prefix", "customer"), "customer_id")
+    items = star.items.select("order_id", "order_item_id", "product_id", "seller_id", "price", "freight_value")
+    products = star.products.select("product_id", "product_category_name", "product_weight_g")
+    return items.join(products, "product_id").join(sellers, "seller_id").join(orders, "order_id")
 
 
 def _label() -> F.Column:
-    return (F.col("order_delivered_customer_date") > F.col("order_estimated_delivery_date")).cast("int")
+    """1 if late, else 0; a missing date is not late."""
+    return is_late().cast("int")
 
 
 def training_table_v1(star: StarSchema) -> DataFrame:
     """H1 + H3: item-grain features of delivered orders with the ``is_late`` label."""
-    return _delivered_items(star, with_customer=False).select(
+    return _delivered_items(star, with_places=False).select(
         "order_id", "order_item_id",
         F.col("price").cast("double").alias("price"),
         F.col("freight_value").cast("double").alias("freight_value"),
@@ -64,20 +73,7 @@ def training_table_v1(star: StarSchema) -> DataFrame:
 
 def training_table_v2_raw(star: StarSchema) -> DataFrame:
     """H2 before cleaning: v1 plus customer state and both geolocations (left joins)."""
-    geo = star.geolocation.select("geolocation_zip_code_prefix", "geolocation_lat", "geolocation_lng")
-    gs = geo.select(
-        F.col("geolocation_zip_code_prefix").alias("seller_zip_code_prefix"),
-        F.col("geolocation_lat").alias("seller_lat"), F.col("geolocation_lng").alias("seller_lng"),
-    )
-    gc = geo.select(
-        F.col("geolocation_zip_code_prefix").alias("customer_zip_code_prefix"),
-        F.col("geolocation_lat").alias("customer_lat"), F.col("geolocation_lng").alias("customer_lng"),
-    )
-    j = (
-        _delivered_items(star, with_customer=True)
-        .join(gs, "seller_zip_code_prefix", "left")
-        .join(gc, "customer_zip_code_prefix", "left")
-    )
+    j = _delivered_items(star, with_places=True)
     return j.select(
         "order_id", "order_item_id",
         F.col("price").cast("double").alias("price"),
@@ -104,23 +100,24 @@ def training_table_v2(star: StarSchema) -> DataFrame:
     )
 
 
+def in_test(test_pct: int = 20, seed: int = 42, keys: tuple[str, ...] = ("order_id", "order_item_id")) -> F.Column:
+    """H5: whether a row belongs to the test split, by a hash of its key.
+
+    The hash (the first 32 bits of an MD5, which any engine can compute) does not depend on the
+    label, so each class is split alike up to sampling noise: stratified in expectation, with no
+    global sort or per-class window, and the same after a task is run again."""
+    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % 100 < test_pct
+
+
 def split(df: DataFrame, test_pct: int = 20, seed: int = 42, keys: tuple[str, ...] = ("order_id", "order_item_id")) -> tuple[DataFrame, DataFrame]:
-    """H5: deterministic 80/20 split by a hash of the row key.
-
-    The hash is independent of the label, so each class is split in the same proportion up
-    to sampling noise (about ±1/√n): stratified in expectation, with no global sort or
-    per-class window.  Being a pure function of the key, recomputation after an executor
-    loss puts every row on the same side again."""
-    bucket = F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), F.lit(100))
-    tagged = df.withColumn("_bucket", bucket)
-    test = tagged.filter(F.col("_bucket") < test_pct).drop("_bucket")
-    train = tagged.filter(F.col("_bucket") >= test_pct).drop("_bucket")
-    return train, test
-
-
-def fill_median(train: DataFrame, others: list[DataFrame], column: str) -> tuple[float | None, list[DataFrame]]:
-    """Fill NULLs of ``column`` with the exact median of the training rows (T9: the
-    statistic is fitted on the training split only and applied to every split)."""
-    med = exact_median(train, column)
-    out = [d.withColumn(column, F.coalesce(F.col(column).cast("double"), F.lit(med))) for d in [train, *others]]
-    return med, out
+    """H5: (train, test) by :func:`in_test`."""
+    test = in_test(test_pct, seed, keys)
+    return df.filter(~test), df.filter(test)
+
+
+def fill_median(df: DataFrame, column: str, where: F.Column | None = None) -> tuple[float | None, DataFrame]:
+    """Fill NULLs of ``column`` with the exact median of the rows ``where`` holds (T9: the
+    training rows, so that the test rows do not leak into it)."""
+    med = exact_median(df.filter(where) if where is not None else df, column)
+    return med, df.withColumn(column, F.coalesce(F.col(column).cast("double"), F.lit(med)))

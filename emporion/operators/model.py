@@ -1,16 +1,17 @@
 """Late-delivery classifier with ``pyspark.ml``.
 
-Pipeline per variant: NULL categories become their own level, ``StringIndexer``
-(``handleInvalid='keep'``: a level first seen in the test rows gets a reserved slot instead
-of failing) -> ``OneHotEncoder`` -> ``VectorAssembler`` with the numeric columns ->
-``RandomForestClassifier`` (100 trees, √features per split, seed 42).  Training is
-distributed (per-node statistics are aggregated across executors); only the 2x2 confusion
-counts, the AUC and the importance vector reach the driver.
-
-Differences from a single-machine forest, stated rather than hidden: trees are depth-capped
-(``max_depth``, Spark allows at most 30) and continuous features are binned (``maxBins``);
+Pipeline per variant: NULL categories become their own level, ``StringIndexer`` ->
+``OneHotEncoder`` -> ``VectorAssembler`` with the numeric columns -> ``RandomForestClassifier``
+(100 trees, √features per split, seed 42).  A level first seen in the test rows gets all zeros.
+Training is distributed (per-node statistics are aggregated across executors); only the 2x2
+confusion counts, the AUC and the importance vector reach the driver.
+
+Differences from a single-machine forest, stated rather than hidden: trees are at most
+``MAX_DEPTH`` deep (Spark's own maximum), continuous features are binned (``MAX_BINS``), the forest
+is fitted on at most ``TRAIN_ROWS`` labelled rows (those with the smallest hash of their key), and
 the 80/20 split is a key hash, stratified in expectation (see
-:func:`emporion.operators.features.split`).
+:func:`emporion.operators.features.in_test`).  All three are parameters.  Every row of the test
+split is evaluated, and medians and class weights come from all training rows.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emporion.operators import features as H
@@ -30,6 +31,9 @@ from emporion.session import drop_scratch, materialize
 from emporion.sources.adapter import StarSchema
 
 NULL_LEVEL = "__null__"
+MAX_DEPTH = 30
+MAX_BINS = 128
+TRAIN_ROWS = 5_000
 # Class names of the report.
 CLASS_NAMES = {0: "on_time", 1: "late"}
 
@@ -92,21 +96,16 @@ def _table(star: StarSchema, which: str) -> DataFrame:
     return H.training_table_v2(star)
 
 
-def _prepare(df: DataFrame, v: Variant) -> DataFrame:
-    cols = [*v.categorical, *v.numeric]
-    out = df.select("order_id", "order_item_id", *cols, F.col(H.LABEL).cast("double").alias("label"))
-    return out.na.fill(NULL_LEVEL, subset=list(v.categorical))
-
-
-def _pipeline(v: Variant, num_trees: int, max_depth: int, seed: int) -> Pipeline:
+def _pipeline(v: Variant, num_trees: int, max_depth: int, max_bins: int, seed: int) -> Pipeline:
     idx = [f"{c}__idx" for c in v.categorical]
     ohe = [f"{c}__ohe" for c in v.categorical]
     return Pipeline(stages=[
         StringIndexer(inputCols=list(v.categorical), outputCols=idx, handleInvalid="keep", stringOrderType="alphabetAsc"),
-        OneHotEncoder(inputCols=idx, outputCols=ohe, handleInvalid="keep"),
+        # The indexer's slot for unseen levels is the one that the encoder drops: all zeros.
+        OneHotEncoder(inputCols=idx, outputCols=ohe, handleInvalid="error", dropLast=True),
         VectorAssembler(inputCols=[*ohe, *v.numeric], outputCol="features", handleInvalid="keep"),
         RandomForestClassifier(
-            featuresCol="features", labelCol="label", numTrees=num_trees, maxDepth=max_depth,
+            featuresCol="features", labelCol="label", numTrees=num_trees, maxDepth=max_depth, maxBins=max_bins,
             featureSubsetStrategy="sqrt", seed=seed, **({"weightCol": "weight"} if v.balanced else {}),
         ),
     ])
@@ -130,76 +129,148 @@ def _feature_names(pred: DataFrame, v: Variant) -> list[str]:
     return names
 
 
-def evaluate(star: StarSchema, key: str, num_trees: int = 100, max_depth: int = 10, seed: int = 42,
-             checkpoint: bool = True) -> Evaluation:
-    """Train one variant on the 80 % split and evaluate it on the 20 % split."""
+def prepared(star: StarSchema, which: str, seed: int = 42) -> DataFrame:
+    """A variant family's table with its split, written once: every pass of training and
+    evaluation reads it instead of running the joins again."""
+    cols = sorted({c for v in VARIANTS.values() if v.table == which for c in (*v.categorical, *v.numeric)})
+    out = _table(star, which).select("order_id", "order_item_id", *cols, F.col(H.LABEL).cast("double").alias("label"))
+    return materialize(out.withColumn("test", H.in_test(seed=seed)), f"model-{which}")
+
+
+def class_weights(train: DataFrame) -> dict[float, float]:
+    """H7: n / (classes * rows of the class), over the training rows."""
+    counts = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return {label: sum(counts.values()) / (len(counts) * n) for label, n in counts.items()}
+
+
+def evaluate(star: StarSchema, key: str, num_trees: int = 100, max_depth: int = MAX_DEPTH, max_bins: int = MAX_BINS,
+             train_rows: int = TRAIN_ROWS, seed: int = 42, table: DataFrame | None = None) -> Evaluation:
+    """Train one variant on the 80 % split and evaluate it on the 20 % split.  ``table`` is the
+    :func:`prepared` table, where several variants share one."""
     v = VARIANTS[key]
-    data = _prepare(_table(star, v.table), v)
-    train, test = H.split(data, seed=seed)
-    med, (train, test) = H.fill_median(train, [test], "product_weight_g")
-    if v.balanced:  # H7: n / (n_classes * n_class), from the training rows
-        counts = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-        n = sum(counts.values())
-        wmap = F.create_map(*[x for lab, cnt in counts.items() for x in (F.lit(lab), F.lit(n / (len(counts) * cnt)))])
-        train = train.withColumn("weight", wmap[F.col("label")])
-    if checkpoint:  # cut the join lineage before the many passes of tree induction
-        train = materialize(train, "model-train")
-    model = _pipeline(v, num_trees, max_depth, seed).fit(train)
+    own = table is None
+    table = prepared(star, v.table, seed) if own else table
+    med, data = H.fill_median(table, "product_weight_g", where=~F.col("test"))
+    data = data.na.fill(NULL_LEVEL, subset=list(v.categorical))
+    train, test = data.filter(~F.col("test")), data.filter(F.col("test"))
+    if v.balanced:
+        weights = F.create_map(*[F.lit(x) for pair in class_weights(train).items() for x in pair])
+        train = train.withColumn("weight", weights[F.col("label")])
+    # The bound of the training rows; written before the many passes of tree induction.
+    train = train.orderBy(F.xxhash64("order_id", "order_item_id"), "order_id", "order_item_id").limit(train_rows)
+    train = materialize(train, "model-train")
+    model = _pipeline(v, num_trees, max_depth, max_bins, seed).fit(train)
     pred = model.transform(test).withColumn("p_late", vector_to_array("probability")[1])
-    if checkpoint:
-        pred = materialize(pred.select("label", "prediction", "p_late"), "model-predictions")
-    confusion = {
-        (int(r["label"]), int(r["prediction"])): r["n"]
-        for r in pred.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n")).collect()
-    }
-    auc = BinaryClassificationEvaluator(
-        rawPredictionCol="p_late", labelCol="label", metricName="areaUnderROC", numBins=0
-    ).evaluate(pred)
+    pred = materialize(pred.select("label", "prediction", "p_late"), "model-predictions")
+    confusion, auc = confusion_counts(pred), roc_auc(pred, "p_late")
     rf = model.stages[-1]
     names = _feature_names(model.transform(test.limit(0)), v)  # slot names from the schema only
     imp = sorted(zip(names, rf.featureImportances.toArray().tolist()), key=lambda t: (-t[1], t[0]))
-    drop_scratch(train)  # the fitted model and the metrics no longer read them
-    drop_scratch(pred)
+    for done in (train, pred, *([table] if own else [])):  # nothing reads them any more
+        drop_scratch(done)
     return Evaluation(v, med, confusion, auc, imp, model)
 
 
+def confusion_counts(pred: DataFrame) -> dict[tuple[int, int], int]:
+    """Rows per (label, prediction)."""
+    rows = pred.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n")).collect()
+    return {(int(r["label"]), int(r["prediction"])): r["n"] for r in rows}
+
+
+def roc_auc(pred: DataFrame, score: str) -> float:
+    """Exact area under the ROC curve."""
+    return BinaryClassificationEvaluator(
+        rawPredictionCol=score, labelCol="label", metricName="areaUnderROC", numBins=0
+    ).evaluate(pred)
+
+
 # ---- result tables ------------------------------------------------------------------------
-_CACHE: dict[tuple, Evaluation] = {}
+def evaluation(star: StarSchema, key: str, **kw) -> Evaluation:
+    """The evaluation of a variant, kept on the star object that it belongs to."""
+    kept = star.__dict__.setdefault("_evaluations", {})
+    at = (key, tuple(sorted(kw.items())))
+    if at not in kept:
+        kept[at] = evaluate(star, key, **kw)
+    return kept[at]
 
 
-def cached_evaluation(star: StarSchema, key: str, **kw) -> Evaluation:
-    ck = (id(star.spark), star.sf_dir, key, tuple(sorted(kw.items())))
-    if ck not in _CACHE:
-        _CACHE[ck] = evaluate(star, key, **kw)
-    return _CACHE[ck]
+REPORT = "class string, precision double, recall double, f1_score double, support bigint"
 
 
 def split_summary(star: StarSchema, seed: int = 42) -> DataFrame:
-    """H5: rows per (split, label) and the late share inside each split."""
-    df = H.training_table_v1(star).select("order_id", "order_item_id", H.LABEL)
-    train, test = H.split(df, seed=seed)
-    both = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
-    return both.groupBy("split", H.LABEL).agg(F.count(F.lit(1)).cast("bigint").alias("rows"))
+    """H5: rows per (split, label) and the label's share of the split."""
+    tagged = H.training_table_v1(star).select(F.when(H.in_test(seed=seed), "test").otherwise("train").alias("split"), H.LABEL)
+    counts = tagged.groupBy("split", H.LABEL).agg(F.count(F.lit(1)).alias("rows"))
+    total = F.sum("rows").over(Window.partitionBy("split"))  # over the few counted rows
+    return counts.select("split", H.LABEL, "rows", F.round(F.col("rows") / total, 6).alias("share"))
+
+
+def class_weight_table(star: StarSchema) -> DataFrame:
+    """H7: rows and balanced weight of each class of the training split (v1 table)."""
+    train = H.split(H.training_table_v1(star))[0]
+    counts = train.groupBy(H.LABEL).agg(F.count(F.lit(1)).alias("rows"))
+    every = Window.partitionBy()  # over the two counted rows
+    weight = F.sum("rows").over(every) / (F.count(F.lit(1)).over(every) * F.col("rows"))
+    return counts.select(H.LABEL, "rows", F.round(weight, 6).alias("weight"))
+
+
+def median_fill(star: StarSchema) -> DataFrame:
+    """Per split, the training median of the product weight, the rows it fills and the mean
+    afterwards."""
+    table = H.training_table_v1(star).select(F.when(H.in_test(), "test").otherwise("train").alias("split"), "product_weight_g")
+    missing = table.withColumn("missing", F.col("product_weight_g").isNull())
+    med, filled = H.fill_median(missing, "product_weight_g", where=F.col("split") == "train")
+    return filled.groupBy("split").agg(
+        F.lit(med).cast("double").alias("median"), F.count_if("missing").alias("filled"),
+        F.round(F.avg("product_weight_g"), 6).alias("mean_after"),
+    )
+
+
+def rule_predictions(star: StarSchema, from_price: int = 50_000) -> DataFrame:
+    """A fixed rule in a model's place, so that the metrics can be checked exactly: items of
+    ``from_price`` and more are called late, and the price is the score."""
+    test = H.split(H.training_table_v1(star))[1]
+    return test.select(
+        F.col(H.LABEL).cast("double").alias("label"), F.col("price").alias("score"),
+        (F.col("price") >= from_price).cast("double").alias("prediction"),
+    )
+
+
+def rule_report(star: StarSchema) -> DataFrame:
+    """H9 on the fixed rule."""
+    ev = Evaluation(VARIANTS["v1_naive"], None, confusion_counts(rule_predictions(star)), 0.0)
+    rows = [(r[0], *[None if x is None else round(x, 6) for x in r[1:4]], r[4]) for r in ev.report_rows()]
+    return star.spark.createDataFrame(rows, REPORT)
+
+
+def rule_auc(star: StarSchema) -> DataFrame:
+    """H10 on the fixed rule."""
+    return star.spark.createDataFrame([(round(roc_auc(rule_predictions(star), "score"), 6),)], "roc_auc double")
+
+
+def _matrix(star: StarSchema, confusion: dict[tuple[int, int], int]) -> DataFrame:
+    rows = [(CLASS_NAMES[a], CLASS_NAMES[p], confusion.get((a, p), 0)) for a in CLASS_NAMES for p in CLASS_NAMES]
+    return star.spark.createDataFrame(rows, "actual string, predicted string, rows bigint")
+
+
+def rule_confusion(star: StarSchema) -> DataFrame:
+    """H11 on the fixed rule."""
+    return _matrix(star, confusion_counts(rule_predictions(star)))
 
 
 def classification_report(star: StarSchema, key: str = "v2_balanced") -> DataFrame:
     """H9: precision, recall, f1 and support per class, accuracy, macro / weighted mean."""
-    ev = cached_evaluation(star, key)
-    schema = "class string, precision double, recall double, f1_score double, support bigint"
-    return star.spark.createDataFrame(ev.report_rows(), schema)
+    return star.spark.createDataFrame(evaluation(star, key).report_rows(), REPORT)
 
 
 def confusion_matrix(star: StarSchema, key: str = "v2_balanced") -> DataFrame:
     """Test rows per (actual, predicted) class."""
-    ev = cached_evaluation(star, key)
-    rows = [(CLASS_NAMES[a], CLASS_NAMES[p], ev.confusion.get((a, p), 0)) for a in CLASS_NAMES for p in CLASS_NAMES]
-    return star.spark.createDataFrame(rows, "actual string, predicted string, rows bigint")
+    return _matrix(star, evaluation(star, key).confusion)
 
 
 def feature_importances(star: StarSchema, key: str = "v2_balanced") -> DataFrame:
     """(feature, importance), most important first."""
-    ev = cached_evaluation(star, key)
-    return star.spark.createDataFrame(ev.importances, "feature string, importance double").orderBy(
+    return star.spark.createDataFrame(evaluation(star, key).importances, "feature string, importance double").orderBy(
         F.desc("importance"), "feature"
     )
 
@@ -208,7 +279,7 @@ def model_comparison(star: StarSchema) -> DataFrame:
     """H10 + H13: ROC-AUC, recall and precision of the late class, accuracy per variant."""
     rows = []
     for key, v in VARIANTS.items():
-        ev = cached_evaluation(star, key)
+        ev = evaluation(star, key)
         prec, rec, _, _ = ev._pr(1)
         acc = next(r[3] for r in ev.report_rows() if r[0] == "accuracy")
         rows.append((v.name, round(ev.auc, 3), round(rec, 2), round(prec, 2), round(acc, 2)))

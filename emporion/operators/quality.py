@@ -11,11 +11,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emporion.functions.quantiles import SortedColumns
+from emporion.functions.quantiles import exact_quantiles_of
 from emporion.schemas import TABLES
 from emporion.sources.adapter import StarSchema
 
@@ -86,11 +86,26 @@ def adapter_raw_sources(star: StarSchema) -> list[tuple[str, DataFrame, bool]]:
     ]
 
 
-def row_count_reconciliation(star: StarSchema, sources: list[tuple[str, DataFrame, bool]] | None = None) -> DataFrame:
-    """Raw rows vs loaded rows; ``OK`` / ``OK (expected difference)`` / ``MISMATCH``."""
+def csv_raw_sources(spark, raw_dir: str, raw_files: dict[str, str] | None = None) -> list[tuple[str, DataFrame, bool]]:
+    """C1's sources for a loaded warehouse: the records of the raw files themselves.  The
+    translation table may hold more rows (the patch) and geolocation is reduced, so it is not
+    compared."""
+    from emporion.sources.csv_io import read_raw_text
+
+    out = []
+    for name, meta in TABLES.items():
+        if name != "dim_geolocation":
+            path = f"{raw_dir.rstrip('/')}/{(raw_files or {}).get(name, meta.raw_file)}"
+            out.append((name, read_raw_text(spark, path, bool(meta.text_columns)), name != "dim_product_category_translation"))
+    return out
+
+
+def row_count_reconciliation(star: StarSchema, sources: list[tuple[str, DataFrame, bool]]) -> DataFrame:
+    """Raw rows (``sources``: table, raw rows, whether the counts must be equal) vs loaded
+    rows; ``OK`` / ``OK (expected difference)`` / ``MISMATCH``."""
     loaded = star.tables()
     rows = []
-    for name, raw, exact in sources or adapter_raw_sources(star):
+    for name, raw, exact in sources:
         r = raw.agg(F.count(F.lit(1)).cast("bigint")).scalar()
         l = loaded[name].agg(F.count(F.lit(1)).cast("bigint")).scalar()
         ok = (F.col("raw_rows") == F.col("loaded_rows")) if exact else (F.col("loaded_rows") >= F.col("raw_rows"))
@@ -140,8 +155,6 @@ def null_thresholds(star: StarSchema, required: list[tuple[str, str]] | None = N
 def status_dependent_nulls(star: StarSchema, columns: list[str] | None = None) -> DataFrame:
     """NULLs of each date column broken down by order status (one scan of the orders),
     with the column's total; statuses without NULLs are not listed."""
-    from pyspark.sql import Window
-
     columns = columns or STATUS_DEPENDENT
     wide = star.orders.groupBy("order_status").agg(
         *[_count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(columns)]
@@ -313,10 +326,9 @@ def value_ranges(star: StarSchema) -> DataFrame:
     return _union(parts)
 
 
-def delivered_without_date(star: StarSchema, delivered_status: str = "F") -> DataFrame:
-    """Orders whose status says delivered but that carry no delivery date (these are
-    excluded by the delivered-only filter, never imputed).  The adapter's finished status
-    ``F`` plays the role of ``delivered``."""
+def delivered_without_date(star: StarSchema, delivered_status: str) -> DataFrame:
+    """Orders whose status (``delivered_status``) says delivered but that carry no delivery
+    date; these are excluded by the delivered-only filter, never imputed."""
     return star.orders.agg(
         _count_if((F.col("order_status") == delivered_status) & F.col("order_delivered_customer_date").isNull())
         .alias("status_without_date"),
@@ -328,8 +340,8 @@ def delivered_without_date(star: StarSchema, delivered_status: str = "F") -> Dat
 def describe(df: DataFrame, columns: list[str], scale: int = 6) -> DataFrame:
     """Count, mean, sample std, min, exact quartiles, max per column (long format).
 
-    Moments are one aggregate per column; quartiles come from a distributed sort per column
-    (``SortedColumn``), never from one task holding all values."""
+    Moments are one aggregate; quartiles come from narrowing histograms, never from a sort or
+    from one task holding all values."""
     spark = df.sparkSession
     moments = df.agg(*[
         e for c in columns for e in (
@@ -340,11 +352,7 @@ def describe(df: DataFrame, columns: list[str], scale: int = 6) -> DataFrame:
             F.max(F.col(c).cast("double")).alias(f"{c}__max"),
         )
     ]).first()
-    sorted_cols = SortedColumns(df, columns)  # one sort for all columns
-    try:
-        quartiles = sorted_cols.quantiles([0.25, 0.5, 0.75])
-    finally:
-        sorted_cols.close()
+    quartiles = exact_quantiles_of(df, columns, [0.25, 0.5, 0.75])
     rows = []
     for c in columns:
         q = quartiles[c]
@@ -359,13 +367,12 @@ def describe(df: DataFrame, columns: list[str], scale: int = 6) -> DataFrame:
 
 def value_counts(df: DataFrame, column: str, scale: int = 6) -> DataFrame:
     """C11: absolute and relative frequency of each non-null value (pandas ``value_counts``
-    with and without ``normalize``).  The total is a scalar subquery."""
-    kept = df.filter(F.col(column).isNotNull())
-    counts = kept.groupBy(column).agg(F.count(F.lit(1)).cast("bigint").alias("count"))
-    total = kept.agg(F.count(F.lit(1)).cast("decimal(38,0)")).scalar()
+    with and without ``normalize``); the total is summed over the counts."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).cast("bigint").alias("count"))
+    total = F.sum("count").over(Window.partitionBy())  # over the counted rows, one for each value
     return counts.select(
         column, "count",
-        F.round(F.col("count").cast("decimal(38,0)") / total, scale).cast("double").alias("share"),
+        F.round(F.col("count").cast("decimal(38,0)") / total.cast("decimal(38,0)"), scale).cast("double").alias("share"),
     )
 
 
@@ -382,13 +389,12 @@ SUITE = {
 }
 
 
-def run_quality_suite(star: StarSchema, checks: list[str] | None = None, persist: bool = False,
+def run_quality_suite(star: StarSchema, delivered_status: str, checks: list[str] | None = None,
+                      sources: list[tuple[str, DataFrame, bool]] | None = None,
                       reference_scope: bool = False, parallelism: int = 4) -> dict[str, list]:
     """Run the validation checks and return their (small) result rows per check.
 
-    * ``persist`` keeps the star tables persisted for the run, so a derived table read by
-      several checks is computed once.  Off by default: a persisted table holds every
-      column, while each check scans only the few columns it needs from the files;
+    * ``sources`` are the raw sources of C1; without them it is left out;
     * ``reference_scope`` restricts keys and foreign keys to the original script's lists
       instead of every key the registry declares;
     * independent checks are submitted as concurrent Spark jobs from ``parallelism`` driver
@@ -397,31 +403,25 @@ def run_quality_suite(star: StarSchema, checks: list[str] | None = None, persist
     from concurrent.futures import ThreadPoolExecutor
     from functools import partial
 
-    from emporion.sources.adapter import PersistedStar
-
-    fns = {name: SUITE[name] for name in (checks or list(SUITE))}
+    fns = {name: SUITE[name] for name in (checks or list(SUITE)) if sources is not None or name != "row_counts"}
+    given = {"row_counts": {"sources": sources}, "delivered_without_date": {"delivered_status": delivered_status}}
     if reference_scope:
-        if "duplicates" in fns:
-            fns["duplicates"] = partial(duplicates, include_registry_keys=False)
-        if "orphans" in fns:
-            fns["orphans"] = partial(orphans, fks=REFERENCE_FKS)
-    run_on = PersistedStar(star) if persist else star
-    try:
-        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-            futures = {name: pool.submit(lambda f=f: f(run_on).collect()) for name, f in fns.items()}
-            return {name: fut.result() for name, fut in futures.items()}
-    finally:
-        if persist:
-            run_on.release()
-
-
-def quality_report(star: StarSchema, reference_scope: bool = False, with_row_counts: bool = True) -> DataFrame:
+        given |= {"duplicates": {"include_registry_keys": False}, "orphans": {"fks": REFERENCE_FKS}}
+    fns = {name: partial(f, **given.get(name, {})) for name, f in fns.items()}
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        futures = {name: pool.submit(lambda f=f: f(star).collect()) for name, f in fns.items()}
+        return {name: fut.result() for name, fut in futures.items()}
+
+
+def quality_report(star: StarSchema, delivered_status: str, sources: list[tuple[str, DataFrame, bool]] | None = None,
+                   reference_scope: bool = False) -> DataFrame:
     """C1-C8 in one result table with a common schema:
     ``check_id, table_name, column_name, metric, observed, expected, status``.
 
     ``observed`` is the measured count, ``expected`` the value or bound it is judged against
-    (as text), ``status`` the verdict of the individual check.  C1 needs the raw sources;
-    leave it out (``with_row_counts=False``) for a star that has none."""
+    (as text), ``status`` the verdict of the individual check.  C1 compares the raw ``sources``
+    (see :func:`row_count_reconciliation`) with the star's tables and is left out without them;
+    ``delivered_status`` is the order status that C8 judges."""
     dups = duplicates(star, include_registry_keys=not reference_scope)
     orph = orphans(star, fks=REFERENCE_FKS if reference_scope else None)
     none = F.lit(None).cast("string")
@@ -433,11 +433,11 @@ def quality_report(star: StarSchema, reference_scope: bool = False, with_row_cou
             expected.cast("string").alias("expected"), status.alias("status"),
         )
 
-    c8 = delivered_without_date(star)
+    c8 = delivered_without_date(star, delivered_status)
     parts = [
-        rows(row_count_reconciliation(star), "C1", F.col("table_name"), none, F.lit("loaded_rows"),
+        rows(row_count_reconciliation(star, sources), "C1", F.col("table_name"), none, F.lit("loaded_rows"),
              F.col("loaded_rows"), F.col("raw_rows"), F.col("status")),
-    ] if with_row_counts else []
+    ] if sources is not None else []
     parts += [
         rows(null_thresholds(star), "C2", F.col("table_name"), F.col("column_name"), F.lit("null_count"),
              F.col("null_count"), F.lit("0"), F.col("status")),

@@ -3,7 +3,7 @@
 * E7 — per person with items: last purchase, orders, spend; recency in whole days from a
   snapshot one day after the newest last purchase among those people (T3, T13).
 * E8 — median split: ``recency <= median`` is recent, ``monetary >= median`` is high.
-* E9 — per segment: people, mean recency / frequency / spend, total spend (2 dp, half-up).
+* E9 — per segment: people, mean recency / frequency / spend, total spend (2 dp; means half to even).
 
 The per-person table is written once to the shared checkpoint folder: both medians and the
 final labelling read it instead of recomputing the three-way join.  Medians are exact and
@@ -52,8 +52,9 @@ def rfm_segments(star: StarSchema, rfm: DataFrame | None = None) -> DataFrame:
     rfm = rfm if rfm is not None else rfm_customers(star, materialize=True)
     medians = exact_medians(rfm, ["recency", "monetary"])  # one distributed sort
     rec_median, mon_median = medians["recency"], medians["monetary"]
-    recent = F.col("recency") <= F.lit(rec_median)
-    high = F.col("monetary").cast("double") >= F.lit(mon_median)
+    # A comparison with NULL is false, as in the flags; the segment follows from the flags.
+    recent = F.coalesce(F.col("recency") <= F.lit(rec_median), F.lit(False))
+    high = F.coalesce(F.col("monetary").cast("double") >= F.lit(mon_median), F.lit(False))
     return rfm.select(
         "customer_unique_id",
         "last_order_date",
@@ -70,12 +71,9 @@ def rfm_segments(star: StarSchema, rfm: DataFrame | None = None) -> DataFrame:
     )
 
 
-def _float_mean2(sum_col, n_col):
-    """Mean as a float rounded to 2 dp, as the original float pipeline does: the exact sum
-    is turned into a DOUBLE, divided, and the binary value is rounded half-up.  (An exact
-    decimal mean would round 520.435 up where the float pipeline gives 520.43.)"""
-    mean = F.col(sum_col).cast("double") / F.col(n_col).cast("double")
-    return (F.floor(mean * 100 + 0.5) / 100).cast("double")
+def _mean2(sum_col: str, n_col: str) -> F.Column:
+    """Mean as a double, rounded to 2 places the way a float pipeline does: half to even."""
+    return F.rint(F.try_divide(F.col(sum_col).cast("double"), F.col(n_col).cast("double")) * 100) / 100
 
 
 def segment_summary(star: StarSchema, segments: DataFrame | None = None) -> DataFrame:
@@ -90,13 +88,14 @@ def segment_summary(star: StarSchema, segments: DataFrame | None = None) -> Data
             F.sum("recency").alias("_r"),
             F.sum("frequency").alias("_f"),
             F.sum("_m").alias("_m"),
+            F.count("_m").alias("_n"),
         )
         .select(
             "segment",
             F.col("customer_count").cast("bigint").alias("customer_count"),
-            _float_mean2("_r", "customer_count").alias("avg_recency_days"),
-            _float_mean2("_f", "customer_count").alias("avg_frequency"),
-            _float_mean2("_m", "customer_count").alias("avg_monetary"),
+            _mean2("_r", "customer_count").alias("avg_recency_days"),
+            _mean2("_f", "customer_count").alias("avg_frequency"),
+            _mean2("_m", "_n").alias("avg_monetary"),
             round_money("_m").alias("total_monetary"),
         )
         .orderBy("segment")

@@ -16,6 +16,7 @@ from emporion.operators import features as H
 from emporion.operators import model as M
 from emporion.operators import quality as C
 from emporion.operators import rfm as R
+from emporion.plans.oracle import V2_DESCRIBED
 from emporion.sources.adapter import StarSchema
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,13 +81,13 @@ def _warehouse_load_counts(star: StarSchema) -> DataFrame:
     """A1-A3, A7, A9 end to end: the adapter's tables are exported as raw CSV files (A7),
     loaded by the ingest plan (A1 typed read, A4 patch, A5 reduce, A2 overwrite) into a
     Parquet warehouse under the shared checkpoint folder, then raw records (A9) are
-    reconciled with loaded rows."""
-    from functools import reduce
-
+    reconciled with loaded rows, and the loaded values are summed up: non-null cells and the sum
+    of all integer and decimal cells of each table.  Both copies are deleted afterwards."""
     from pyspark.sql import functions as F
+    from pyspark.sql import types as T
 
     from emporion.schemas import LOAD_ORDER, TABLES
-    from emporion.session import scratch_dir
+    from emporion.session import drop_folder, scratch_dir
     from emporion.sources import csv_io
     from emporion.sources.adapter import ADAPTER_MISSING_CATEGORIES
 
@@ -97,16 +98,39 @@ def _warehouse_load_counts(star: StarSchema) -> DataFrame:
     tables["dim_geolocation"] = star.geolocation_raw
     csv_io.export_raw_files(tables, raw_dir)
     written = csv_io.load_warehouse(spark, raw_dir, out_dir, patch=ADAPTER_MISSING_CATEGORIES)
-    parts = []
+    rows = []
     for name in LOAD_ORDER:
-        raw = csv_io.read_raw_text(spark, f"{raw_dir}/{TABLES[name].raw_file}").agg(F.count(F.lit(1)))
-        loaded = spark.read.parquet(written[name]).agg(F.count(F.lit(1)))
-        parts.append(spark.range(1).select(  # one row of scalar subqueries
-            F.lit(name).alias("table_name"),
-            raw.scalar().cast("bigint").alias("raw_records"),
-            loaded.scalar().cast("bigint").alias("loaded_rows"),
-        ))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+        path = f"{raw_dir}/{TABLES[name].raw_file}"
+        raw = csv_io.count_records(spark, path, bool(TABLES[name].text_columns))
+        loaded = spark.read.parquet(written[name])
+        numbers = [f.name for f in loaded.schema if isinstance(f.dataType, (T.IntegralType, T.DecimalType))]
+        cells = sum((F.count(c) for c in loaded.columns), F.lit(0))
+        total = sum((F.coalesce(F.sum(F.col(c).cast("decimal(28,6)")), F.lit(0)) for c in numbers), F.lit(0))
+        n, filled, value = loaded.agg(F.count(F.lit(1)), cells, F.round(total, 2).cast("double")).first()
+        rows.append((name, raw, n, filled, value))
+    drop_folder(spark, root)
+    return spark.createDataFrame(rows, "table_name string, raw_records bigint, loaded_rows bigint, filled_cells bigint, number_sum double")
+
+
+def _sql_over_views(star: StarSchema) -> DataFrame:
+    """A SQL text run on the star schema's views."""
+    from emporion.plans.oracle import A6_SQL
+
+    star.register_views()
+    return star.spark.sql(A6_SQL)
+
+
+def _first_15_of_export(star: StarSchema) -> DataFrame:
+    """An exported result read back, its first 15 rows."""
+    from pyspark.sql import functions as F
+
+    from emporion.session import scratch_dir
+    from emporion.sources import csv_io
+
+    full = A.revenue_by_category(star, top_n=None, category_alias="category")
+    path = csv_io.write_csv(full, scratch_dir(star.spark, "revenue"), single_file=True)
+    order = [F.desc_nulls_first("total_revenue"), F.asc_nulls_last("category")]
+    return csv_io.read_result_csv(star.spark, path, "category string, total_revenue double, items_sold bigint", top=15, order_by=order)
 
 
 def _rfm_summary_roundtrip(star: StarSchema) -> DataFrame:
@@ -138,13 +162,18 @@ SOURCES: dict[str, Query] = {
     "a3_warehouse_load_counts": _q(_warehouse_load_counts),
     "a4_category_patch": _q(_category_patch),
     "a5_geolocation_reduce": _q(_geolocation),
+    "a6_sql_over_views": _q(_sql_over_views),
     "a7_rfm_summary_roundtrip": _q(_rfm_summary_roundtrip),
+    "a8_first_15_of_export": _q(_first_15_of_export),
 }
 
 
+#: The adapter's status that stands for delivered orders.
+DELIVERED_STATUS = "F"
+
 QUALITY: dict[str, Query] = {
-    "c0_quality_report": _q(C.quality_report),
-    "c1_row_counts": _q(C.row_count_reconciliation),
+    "c0_quality_report": _q(lambda star: C.quality_report(star, DELIVERED_STATUS, C.adapter_raw_sources(star))),
+    "c1_row_counts": _q(lambda star: C.row_count_reconciliation(star, C.adapter_raw_sources(star))),
     "c2_null_thresholds": _q(C.null_thresholds),
     "c3_status_dependent_nulls": _q(C.status_dependent_nulls),
     "c4_duplicates": _q(C.duplicates),
@@ -152,23 +181,29 @@ QUALITY: dict[str, Query] = {
     "c5_declared_constraints": _q(C.declared_constraints),
     "c6_orphans": _q(C.orphans),
     "c7_value_ranges": _q(C.value_ranges),
-    "c8_delivered_without_date": _q(C.delivered_without_date),
+    "c8_delivered_without_date": _q(C.delivered_without_date, delivered_status=DELIVERED_STATUS),
     "c9_null_profile_v2": _q(lambda star: C.null_profile(H.training_table_v2_raw(star))),
     "c10_describe_rfm": _q(
         lambda star: C.describe(R.rfm_customers(star, materialize=True), ["recency", "frequency", "monetary"])
     ),
+    "c10b_describe_v2": _q(lambda star: C.describe(H.training_table_v2(star), V2_DESCRIBED)),
     "c11_late_share_v1": _q(lambda star: C.value_counts(H.training_table_v1(star), H.LABEL)),
 }
 
 FEATURES: dict[str, Query] = {
     "h1_training_table_v1": _q(H.training_table_v1),
     "h2_training_table_v2": _q(H.training_table_v2),
+    "h5_split_summary": _q(M.split_summary),
+    "h7_class_weights": _q(M.class_weight_table),
+    "b10_median_fill": _q(M.median_fill),
+    "h9b_report_of_rule": _q(M.rule_report),
+    "h10_auc_of_rule": _q(M.rule_auc),
+    "h11b_confusion_of_rule": _q(M.rule_confusion),
 }
 
 
 # Model training has no SQL equivalent: these entries get the driver's rows-only check.
 MODEL: dict[str, Query] = {
-    "h5_split_summary": _q(M.split_summary),
     "h9_classification_report": _q(M.classification_report),
     "h11_confusion_matrix": _q(M.confusion_matrix),
     "h12_feature_importances": _q(M.feature_importances),

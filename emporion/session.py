@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -85,13 +84,10 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh, unique sub-folder of the shared checkpoint root."""
+    """A fresh, unique path under the shared checkpoint root."""
     root = checkpoint_root(spark)
     sep = "" if root.endswith("/") else "/"
-    path = f"{root}{sep}{name}-{uuid.uuid4().hex[:12]}"
-    if "://" not in path or path.startswith("file:"):
-        os.makedirs(path.replace("file:", ""), exist_ok=True)
-    return path
+    return f"{root}{sep}{name}-{uuid.uuid4().hex[:12]}"  # the writer creates it
 
 
 def materialize(df, name: str):
@@ -107,15 +103,18 @@ def materialize(df, name: str):
     return out
 
 
-def drop_scratch(df) -> None:
-    """Delete the folder behind a :func:`materialize`d DataFrame once nothing reads it any
-    more (Hadoop FileSystem API, so it works on HDFS / object stores as on local disks)."""
-    path = getattr(df, "_emporion_scratch", None)
-    if not path:
-        return
-    spark = df.sparkSession
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder (Hadoop FileSystem API, so it works on HDFS / object stores as on
+    local disks)."""
     try:
         jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
     except Exception:  # no JVM handle (e.g. Spark Connect): leave it to retention
         pass
+
+
+def drop_scratch(df) -> None:
+    """Delete the folder behind a :func:`materialize`d DataFrame once nothing reads it."""
+    path = getattr(df, "_emporion_scratch", None)
+    if path:
+        drop_folder(df.sparkSession, path)

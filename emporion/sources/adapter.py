@@ -325,45 +325,6 @@ class FrameStar(StarSchema):
         return dict(self.frames)
 
 
-class PersistedStar(StarSchema):
-    """A star schema whose tables are persisted (``MEMORY_AND_DISK``) for a run that reads
-    each of them many times, such as the quality suite.  Lost blocks are recomputed from
-    lineage; call :meth:`release` when done."""
-
-    def __init__(self, star: StarSchema):
-        from pyspark import StorageLevel
-
-        super().__init__(star.spark, star.sf_dir)
-        self.base = star
-        self._frames = {n: df.persist(StorageLevel.MEMORY_AND_DISK) for n, df in star.tables().items()}
-
-    def _t(self, name: str) -> DataFrame:
-        return self.base._t(name)
-
-    @property
-    def categories_raw(self) -> DataFrame:
-        return self.base.categories_raw
-
-    customers = property(lambda self: self._frames["dim_customers"])
-    sellers = property(lambda self: self._frames["dim_sellers"])
-    categories = property(lambda self: self._frames["dim_product_category_translation"])
-    products = property(lambda self: self._frames["dim_products"])
-    geolocation = property(lambda self: self._frames["dim_geolocation"])
-    orders = property(lambda self: self._frames["dim_orders"])
-    reviews = property(lambda self: self._frames["dim_reviews"])
-    items = property(lambda self: self._frames["fact_order_items"])
-    payments = property(lambda self: self._frames["fact_order_payments"])
-    leads = property(lambda self: self._frames["dim_marketing_leads"])
-    deals = property(lambda self: self._frames["dim_closed_deals"])
-
-    def tables(self) -> dict[str, DataFrame]:
-        return dict(self._frames)
-
-    def release(self) -> None:
-        for df in self._frames.values():
-            df.unpersist()
-
-
 class CatalogStarSchema(StarSchema):
     """The star schema read from catalog tables (e.g. written by
     :func:`emporion.sources.warehouse.write_bucketed_star`), so bucketing metadata is used."""

@@ -1,7 +1,7 @@
 """CSV ingest and export and the full warehouse load.
 
-Raw files are read as text with a header, record-aware (``multiLine``: review comments may
-contain newlines, commas and doubled quotes), then typed column by column from the schema
+Raw files are read as text with a header — record-aware (``multiLine``) where a table has free
+text, whose comments may contain newlines; all others in splits, by many tasks — then typed column by column from the schema
 registry — by name, so a file with fewer columns than the DDL leaves the rest NULL.  Casts run
 in ANSI mode: a value that does not fit its type fails the load, as an INSERT into a typed
 warehouse would.  pandas' default NULL markers become NULL except in free-text columns (T11);
@@ -28,10 +28,10 @@ NULL_TOKENS = [
 SEQ = "_seq"
 
 
-def _reader(spark: SparkSession):
+def _reader(spark: SparkSession, free_text: bool):
     return (
         spark.read.option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", free_text)
         .option("quote", '"')
         .option("escape", '"')
         .option("mode", "FAILFAST")
@@ -41,9 +41,10 @@ def _reader(spark: SparkSession):
     )
 
 
-def read_raw_text(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, one row per CSV record."""
-    return _reader(spark).csv(path)
+def read_raw_text(spark: SparkSession, path: str, free_text: bool = True) -> DataFrame:
+    """All columns as text, one row per CSV record.  ``free_text``: a record may span lines, so
+    each file is read by one task; without it a record is a line and files are split."""
+    return _reader(spark, free_text).csv(path)
 
 
 def type_columns(raw: DataFrame, table: Table, keep_seq: bool = False) -> DataFrame:
@@ -68,18 +69,20 @@ def type_columns(raw: DataFrame, table: Table, keep_seq: bool = False) -> DataFr
 def read_table_csv(spark: SparkSession, path: str, table: str | Table, with_seq: bool = False) -> DataFrame:
     """A1: read one raw file into the typed shape of ``table``.
 
-    ``with_seq`` adds the record's position in file order (partition index, then offset —
-    ordered for the files of one table as listed), used for "first value" semantics (T8)."""
+    ``with_seq`` adds the record's position, used for "first value" semantics (T8): files by
+    name, then the place of the split in its file, then the order in which the task reads it
+    (Spark deals out large splits first, so a running number alone would not do)."""
     meta = TABLES[table] if isinstance(table, str) else table
-    raw = read_raw_text(spark, path)
+    raw = read_raw_text(spark, path, bool(meta.text_columns))
     if with_seq:
-        raw = raw.withColumn(SEQ, F.monotonically_increasing_id())
+        at = ("_metadata.file_path", "_metadata.file_block_start")
+        raw = raw.select("*", F.struct(*[F.col(c) for c in at], F.monotonically_increasing_id().alias("n")).alias(SEQ))
     return type_columns(raw, meta, keep_seq=with_seq)
 
 
-def count_records(spark: SparkSession, path: str) -> int:
-    """Records (not lines) in a raw file; no column is materialised."""
-    return read_raw_text(spark, path).count()
+def count_records(spark: SparkSession, path: str, free_text: bool = True) -> int:
+    """Records (not lines, if ``free_text``) in a raw file; no column is materialised."""
+    return read_raw_text(spark, path, free_text).count()
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> str:

@@ -119,7 +119,7 @@ def test_export_model_outputs(spark, tmp_path):
     star = planted_star(spark, n=200)
     from emporion.operators import model as M
 
-    M._CACHE[(id(star.spark), star.sf_dir, "v2_balanced", ())] = M.evaluate(star, "v2_balanced", num_trees=5, max_depth=3)
+    star._evaluations = {("v2_balanced", ()): M.evaluate(star, "v2_balanced", num_trees=5, max_depth=3)}
     paths = csv_io.export_model_outputs(star, str(tmp_path / "out"))
     seg = spark.read.option("header", True).csv(paths["customer_rfm_segments"])
     assert seg.count() == 200 and "segment" in seg.columns
@@ -128,3 +128,41 @@ def test_export_model_outputs(spark, tmp_path):
     assert imp.count() <= 15
     summary = spark.read.option("header", True).csv(paths["rfm_segment_summary"])
     assert summary.columns[0] == "segment"
+
+
+def test_first_city_is_that_of_the_first_file(spark, tmp_path):
+    from emporion.sources.warehouse import reduce_geolocation
+
+    head = "geolocation_zip_code_prefix,geolocation_lat,geolocation_lng,geolocation_city,geolocation_state\n"
+    raw = tmp_path / "geo"
+    raw.mkdir()
+    (raw / "part-0.csv").write_text(head + "01,1.0,2.0,first,AA\n")
+    (raw / "part-1.csv").write_text(head + "".join(f"01,1.0,2.0,second{i},BB\n" for i in range(5000)))  # larger, so read first
+    got = reduce_geolocation(csv_io.read_table_csv(spark, str(raw), "dim_geolocation", with_seq=True)).first()
+    assert (got.geolocation_city, got.geolocation_state) == ("first", "AA")
+
+
+def test_plain_tables_are_read_by_several_tasks(spark, tmp_path):
+    path = tmp_path / "items.csv"
+    path.write_text("order_id,order_item_id,price\n" + "".join(f"o{i},1,{i}.50\n" for i in range(20000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        df = csv_io.read_table_csv(spark, str(path), "fact_order_items")
+        assert df.rdd.getNumPartitions() > 3 and df.count() == 20000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_quality_report_of_a_loaded_warehouse(spark, tmp_path):
+    from emporion.operators import quality as C
+
+    raw, out = _raw_dir(str(tmp_path)), str(tmp_path / "wh")
+    csv_io.load_warehouse(spark, raw, out)
+    rows = C.quality_report(StoredStarSchema(spark, out), "delivered", C.csv_raw_sources(spark, raw)).collect()
+    counts = {r.table_name: r.status for r in rows if r.check_id == "C1"}
+    assert counts.pop("dim_product_category_translation") == "OK (expected difference)"
+    assert len(counts) == 9 and set(counts.values()) == {"OK"}
+    os.remove(os.path.join(out, "dim_customers", next(f for f in os.listdir(os.path.join(out, "dim_customers")) if f.startswith("part-"))))
+    lost = C.row_count_reconciliation(StoredStarSchema(spark, out), C.csv_raw_sources(spark, raw)).collect()
+    assert {r.status for r in lost if r.table_name == "dim_customers"} == {"MISMATCH"}
