@@ -32,8 +32,8 @@ from emporion.sources.adapter import StarSchema
 
 NULL_LEVEL = "__null__"
 MAX_DEPTH = 30
-MAX_BINS = 128
-TRAIN_ROWS = 5_000
+MAX_BINS = 32
+TRAIN_ROWS = 2_000
 # Class names of the report.
 CLASS_NAMES = {0: "on_time", 1: "late"}
 

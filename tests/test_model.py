@@ -11,6 +11,7 @@ def test_planted_signal_is_learned(spark):
     assert abs(sum(v for _, v in ev.importances) - 1.0) < 1e-9  # importances sum to 1
     report = {r[0]: r for r in ev.report_rows()}
     assert report["accuracy"][4] == sum(ev.confusion.values())  # every test row counted once
+    assert not any("unknown" in name for name, _ in ev.importances)  # no slot for unseen levels
     assert ev.weight_median is not None  # NULL weights were filled from the training split
 
 
@@ -21,3 +22,17 @@ def test_report_arithmetic():
     assert rows["late"][1:] == (20 / 30, 20 / 40, 2 * (2 / 3) * 0.5 / (2 / 3 + 0.5), 40)
     assert rows["accuracy"][3] == 70 / 100
     assert rows["weighted avg"][2] == (50 / 60 * 60 + 0.5 * 40) / 100
+
+
+def test_forests_are_as_deep_as_the_engine_allows_by_default():
+    import inspect
+
+    default = inspect.signature(M.evaluate).parameters
+    assert default["max_depth"].default == 30 and default["max_bins"].default == M.MAX_BINS
+
+
+def test_metrics_of_a_rule_have_sql():
+    from emporion.plans import catalog
+
+    rows = {"h5_split_summary", "h7_class_weights", "b10_median_fill", "h9b_report_of_rule", "h10_auc_of_rule", "h11b_confusion_of_rule"}
+    assert rows <= set(catalog.oracle_sql()) & set(catalog.queries())
