@@ -112,13 +112,16 @@ def scan(docs: DataFrame, ledger: str, rules: Sequence[Rule] = RULES, id_col: st
     spark = docs.sparkSession
     ship_code(spark)
     paths = materialize(addressed(docs, id_col, text_col), "secret-paths")
-    blobs = paths.groupBy("blob").agg(F.min("oid").alias("oid"))
+    blobs = paths.groupBy("blob", "oid").agg(F.count("*").alias("n")).groupBy("blob").agg(F.min(F.struct("oid", "n")).alias("row")).select("blob", "row.*")
     seen = read_ledger(spark, ledger).select("blob", F.concat_ws(":", "kind", "version").alias("pair")).groupBy("blob").agg(F.collect_set("pair").alias("seen"))
     pairs = F.array(*[F.lit(f"{r.kind}:{r.version}") for r in rules])
-    unseen = blobs.join(seen, "blob", "left").select("blob", "oid", F.array_except(pairs, F.coalesce("seen", F.array().cast("array<string>"))).alias("pairs"))
-    unseen = unseen.where(F.size("pairs") > 0)
+    unseen = blobs.join(seen, "blob", "left").select("blob", "oid", "n", F.array_except(pairs, F.coalesce("seen", F.array().cast("array<string>"))).alias("pairs"))
+    unseen = materialize(unseen.where(F.size("pairs") > 0), "secret-unseen")
     texts = docs.select(id_order(id_col).alias("oid"), F.sha2(text_or_empty(text_col).cast("binary"), 256).alias("blob"), text_or_empty(text_col).alias("text"))
-    todo = texts.join(unseen.hint("shuffle_hash"), ["oid", "blob"]).select("blob", "pairs", "text")
+    todo = texts.join(unseen.hint("shuffle_hash"), ["oid", "blob"]).select("blob", "pairs", "text", "n")
+    if not unseen.where("n > 1").isEmpty():  # repeated rows: one is scanned
+        todo = todo.where("n = 1").unionByName(todo.where("n > 1").dropDuplicates(["blob"]))
+    todo = todo.drop("n")
     todo.mapInArrow(_scanner(rules), LEDGER).write.parquet(f"{ledger}/batch-{uuid.uuid4().hex}")
     return paths
 
