@@ -219,19 +219,19 @@ def _join_back(path: str, emit):
     def chunk(docs: bytes, answers: dict[int, bytes]):
         piece = pieces(path)
         null, ids, counts, places, own = _unpack(docs, "uint8", "int64", "uint32", "uint32", "uint16")
-        word_ids, word_text = [()] * len(own), [b""] * len(own)
-        for bucket, payload in answers.items():
-            n, flat = _unpack(payload, "uint32", "uint32")
-            ends, flat = np.cumsum(n).tolist(), flat.tolist()
-            for w, s, e in zip(np.flatnonzero(own == bucket).tolist(), [0, *ends[:-1]], ends):
-                word_ids[w] = flat[s:e]
+        word_ids, word_text, lengths = [emit.word([])] * len(own), [b""] * len(own), np.zeros(len(own), np.int64)
+        for bucket in list(answers):
+            n, flat = _unpack(answers.pop(bucket), "uint32", "uint32")
+            at, ends, flat = np.flatnonzero(own == bucket), np.cumsum(n).tolist(), flat.tolist()
+            lengths[at] = n
+            for w, s, e in zip(at.tolist(), [0, *ends[:-1]], ends):
+                word_ids[w] = emit.word(flat[s:e])
                 word_text[w] = b"".join([piece[i] for i in flat[s:e]])  # the id-to-piece join
-        prepared = emit.prepare(word_ids)
         at, out = 0, []
         for none, i, n in zip(null.tolist(), ids.tolist(), counts.tolist()):
             words = places[at : at + n].tolist()
             at += n
-            out.append((None if none else i, *emit.row(words, word_ids, word_text, prepared)))
+            out.append((None if none else i, *emit.row(words, word_ids, word_text, lengths)))
             if len(out) == 1024:
                 yield emit.batch(out)
                 out = []
@@ -263,14 +263,15 @@ class Digests:
     types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     @staticmethod
-    def prepare(word_ids):
-        return [",".join(map(str, ids)).encode() for ids in word_ids], np.fromiter(map(len, word_ids), np.int64, len(word_ids))
+    def word(ids):
+        """What is kept of a word's ids."""
+        return ",".join(map(str, ids)).encode()
 
     @staticmethod
-    def row(words, word_ids, word_text, prepared):
-        text, count = prepared
+    def row(words, word_ids, word_text, lengths):
         decoded = b"".join([word_text[w] for w in words]).decode(errors="replace").encode()
-        return int(count[words].sum()) if words else 0, hashlib.sha256(b",".join([text[w] for w in words])).hexdigest(), hashlib.sha256(decoded).hexdigest()
+        ids = b",".join([word_ids[w] for w in words])
+        return int(lengths[words].sum()) if words else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
     @classmethod
     def batch(cls, rows):
@@ -284,11 +285,11 @@ class Tokens(Digests):
     types = [pa.int64(), pa.list_(pa.int32()), pa.string()]
 
     @staticmethod
-    def prepare(word_ids):
-        return None
+    def word(ids):
+        return ids
 
     @staticmethod
-    def row(words, word_ids, word_text, prepared):
+    def row(words, word_ids, word_text, lengths):
         return [i for w in words for i in word_ids[w]], b"".join([word_text[w] for w in words]).decode(errors="replace")
 
     @classmethod
