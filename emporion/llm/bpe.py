@@ -3,8 +3,10 @@
 Splitting: a task cuts its documents into words with the tokenizer's own pattern (special
 tokens first), numbers the distinct words of each chunk of input by falling frequency, and
 keeps every document as the list of these numbers, its positions.
-Encoding: the chunks' words meet by hash, so each distinct word of the corpus is encoded once,
-wherever it stands; the ids go back to the chunks that asked.
+Encoding: the chunks' words meet by the hash of their first letters, so each distinct word of
+the corpus is encoded once, wherever it stands; the ids go back to the chunks that asked.  A
+bucket over its limit (many words that begin alike, such as numbers) is dealt out again by the
+hash of the whole word.
 Joining back: in each chunk the ids of every word are joined to the positions of its documents.
 Decoding: each distinct word's ids are joined to the id-to-piece table (one row per vocabulary
 entry, so its size is fixed), and the pieces are put in place by position.
@@ -42,6 +44,10 @@ BUCKET_LETTERS = 5  # words that begin alike share a bucket, so that neighbours
 #: Fixed value: the split pattern of byte-level BPE tokenizers of this family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _NEWER = re.compile("[^\x00-\u052f]")
+MOST_BUCKET_BYTES = 32 << 20  # a bucket of more words is dealt out again by the whole word
+WORD_BYTES = 32  # what a word counts besides its letters
+DEAL_SEED = 1  # another hash than that of the buckets
+SUB = 16  # a bucket's number has so many bits; above them stands the part of a divided bucket
 ROW = "chunk long, bucket long, payload binary"
 
 
@@ -131,8 +137,15 @@ def _unpack(payload: bytes, *types: str) -> list:
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    chunk, bucket, payload = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array(bucket, pa.int64()), pa.array(payload, pa.binary())], ["chunk", "bucket", "payload"])
+    """Batches of ``ROW``, with the bytes of words as a fourth column where they are given."""
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+    cols = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+    return pa.RecordBatch.from_arrays(cols, ["chunk", "bucket", "payload", "raw"][: len(cols)])
+
+
+def _words(lens: np.ndarray, text: bytes) -> list[str]:
+    text, ends = text.decode(), np.cumsum(lens).tolist()
+    return [text[s:e] for s, e in zip([0, *ends[:-1]], ends)]
 
 
 class _Numbers(dict):
@@ -159,13 +172,14 @@ def _split(path: str, buckets: int, chunk_bytes: int):
             words = [words[i] for i in order.tolist()]
             own = np.fromiter((xxhash.xxh64_intdigest(w[:BUCKET_LETTERS].encode()) % buckets for w in words), np.uint16, len(words))
             chunk = (task << 24) + serial
-            rows = [(chunk, -1, _pack(np.array([i is None for i in ids], np.uint8), np.array([i or 0 for i in ids], np.int64), np.array(counts, np.uint32), rank[at], own))]
+            rows = [(chunk, -1, _pack(np.array([i is None for i in ids], np.uint8), np.array([i or 0 for i in ids], np.int64), np.array(counts, np.uint32), rank[at], own), 0)]
             by = np.argsort(own, kind="stable")
             edge = np.searchsorted(own[by], np.arange(buckets + 1)).tolist()
             for b in range(buckets):
                 mine = [words[i] for i in by[edge[b] : edge[b + 1]].tolist()]
                 if mine:
-                    rows.append((chunk, b, _pack(np.fromiter(map(len, mine), np.uint32, len(mine)), "".join(mine).encode())))
+                    text = "".join(mine).encode()
+                    rows.append((chunk, b, _pack(np.fromiter(map(len, mine), np.uint32, len(mine)), text), len(text) + WORD_BYTES * len(mine)))
             return _rows(rows)
 
         for b in batches:
@@ -186,6 +200,31 @@ def _split(path: str, buckets: int, chunk_bytes: int):
     return run
 
 
+def _deal(parts: dict[int, int]):
+    """Divides the words of large buckets by the hash of the whole word.  A part of a chunk's
+    words goes with their places in the bucket."""
+
+    def run(batches):
+        for b in batches:
+            for chunk, bucket, payload in zip(*(b.column(i).to_pylist() for i in range(3))):
+                n = parts.get(bucket, 1)
+                if n == 1:
+                    yield _rows([(chunk, bucket, payload)])
+                    continue
+                lens, text = _unpack(payload, "uint32", "bytes")
+                words = _words(lens, text)
+                own = np.fromiter((xxhash.xxh64_intdigest(w.encode(), DEAL_SEED) % n for w in words), np.int64, len(words))
+                by = np.argsort(own, kind="stable")
+                edge = np.searchsorted(own[by], np.arange(n + 1)).tolist()
+                for k in range(n):
+                    at = by[edge[k] : edge[k + 1]]
+                    if len(at):
+                        text = "".join([words[i] for i in at.tolist()]).encode()
+                        yield _rows([(chunk, bucket + (k + 1 << SUB), _pack(lens[at], text, at.astype(np.uint32)))])
+
+    return run
+
+
 def _encode(path: str):
     """A bucket of the distinct-word table: every word once, the ids back to each chunk."""
 
@@ -193,10 +232,9 @@ def _encode(path: str):
         tok, asked, table = _tokenizer(path), [], _Numbers()
         for b in batches:
             for chunk, bucket, payload in zip(*(b.column(i).to_pylist() for i in range(3))):
-                lens, text = _unpack(payload, "uint32", "bytes")
-                text, ends = text.decode(), np.cumsum(lens).tolist()
-                places = array("I", (table[text[s:e]] for s, e in zip([0, *ends[:-1]], ends)))
-                asked.append((chunk, bucket, np.frombuffer(places, np.uint32)))
+                lens, text, *at = _unpack(payload, "uint32", "bytes", "uint32")
+                places = array("I", map(table.__getitem__, _words(lens, text)))
+                asked.append((chunk, bucket, np.frombuffer(places, np.uint32), at))
         words, lens, flat = list(table), [], []
         for a in range(0, len(words), 4096):
             for enc in tok.encode_batch_fast(words[a : a + 4096], add_special_tokens=False):
@@ -205,10 +243,10 @@ def _encode(path: str):
                 flat += ids
         lens, flat = np.array(lens, np.int64), np.array(flat, np.uint32)
         first = np.cumsum(lens) - lens
-        for chunk, bucket, own in asked:
+        for chunk, bucket, own, places in asked:
             n = lens[own]
             at = np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            yield _rows([(chunk, bucket, _pack(n.astype(np.uint32), flat[at]))])
+            yield _rows([(chunk, bucket, _pack(n.astype(np.uint32), flat[at], *places))])
 
     return run
 
@@ -221,8 +259,9 @@ def _join_back(path: str, emit):
         null, ids, counts, places, own = _unpack(docs, "uint8", "int64", "uint32", "uint32", "uint16")
         word_ids, word_text, lengths = [emit.word([])] * len(own), [b""] * len(own), np.zeros(len(own), np.int64)
         for bucket in list(answers):
-            n, flat = _unpack(answers.pop(bucket), "uint32", "uint32")
-            at, ends, flat = np.flatnonzero(own == bucket), np.cumsum(n).tolist(), flat.tolist()
+            n, flat, *part = _unpack(answers.pop(bucket), "uint32", "uint32", "uint32")
+            at, ends, flat = np.flatnonzero(own == bucket % (1 << SUB)), np.cumsum(n).tolist(), flat.tolist()
+            at = at[part[0]] if part else at
             lengths[at] = n
             for w, s, e in zip(at.tolist(), [0, *ends[:-1]], ends):
                 word_ids[w] = emit.word(flat[s:e])
@@ -297,7 +336,20 @@ class Tokens(Digests):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), cls.types)], ["doc_id", "ids", "decoded"])
 
 
-def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", emit=Digests, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def asked_words(split: DataFrame, buckets: int, bucket_bytes: int = BUCKET_BYTES, most_bytes: int = MOST_BUCKET_BYTES) -> tuple[DataFrame, int]:
+    """The chunks' words by bucket, those of large buckets dealt out again, and the number of buckets."""
+    asked = split.where("bucket >= 0").select("chunk", "bucket", "payload")
+    sizes = split.where("bucket >= 0").groupBy("bucket").agg(F.sum("raw").alias("raw"))
+    parts = {r["bucket"]: -(-r["raw"] // bucket_bytes) for r in sizes.where(F.col("raw") > most_bytes).collect()}
+    if not parts:
+        return asked, buckets
+    return asked.mapInArrow(_deal(parts), ROW), buckets + sum(parts.values())
+
+
+def encode(
+    docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", emit=Digests, chunk_bytes: int = CHUNK_BYTES,
+    most_bytes: int = MOST_BUCKET_BYTES,
+) -> DataFrame:
     """One row per document with what ``emit`` makes of its ids and decoded text: digests, or
     the ids and the text (:class:`Tokens`)."""
     ship_code(docs.sparkSession)
@@ -305,9 +357,10 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = min(60_000, partitions_for(total, BUCKET_BYTES))
-    split = materialize(rows.mapInArrow(_split(path, buckets, chunk_bytes), ROW), "bpe-positions")
-    chunks = split.where("bucket < 0")
-    answers = split.where("bucket >= 0").repartition(buckets, "bucket").mapInArrow(_encode(path), ROW)
+    split = materialize(rows.mapInArrow(_split(path, buckets, chunk_bytes), f"{ROW}, raw long"), "bpe-positions")
+    chunks = split.where("bucket < 0").drop("raw")
+    asked, parts = asked_words(split, buckets, min(BUCKET_BYTES, most_bytes), most_bytes)
+    answers = asked.repartition(parts, "bucket").mapInArrow(_encode(path), ROW)
     met = chunks.unionByName(answers).repartition(partitions_for(total, chunk_bytes), "chunk").sortWithinPartitions("chunk", "bucket")
     return met.mapInArrow(_join_back(path, emit), emit.schema)
 

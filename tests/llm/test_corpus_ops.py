@@ -56,6 +56,22 @@ def test_bpe_empty_table(no_docs):
     assert bpe.encode(no_docs).count() == 0
 
 
+def test_bpe_divides_buckets_of_words_that_begin_alike(spark, tokenizer):
+    rows = [(d, "".join(f" 1700{(d * 131 + i) % 9000:06d}" for i in range(300)) + " the end") for d in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    path, most = bpe.tokenizer_path(), 40_000
+    split = bpe.materialize(df.mapInArrow(bpe._split(path, 7, 1 << 20), f"{bpe.ROW}, raw long"), "bpe-test")
+    asked, parts = bpe.asked_words(split, 7, most, most)
+    words = {}
+    for r in asked.collect():
+        lens, text, *_ = bpe._unpack(bytes(r["payload"]), "uint32", "bytes", "uint32")
+        words.setdefault(r["bucket"], []).extend(bpe._words(lens, text))
+    assert parts > 7 and max(sum(len(w) + bpe.WORD_BYTES for w in ws) for ws in words.values()) < 1.5 * most
+    assert len(set().union(*words.values())) == sum(len(set(ws)) for ws in words.values())  # a word has one bucket
+    tokens = bpe.encode(df, emit=bpe.Tokens, chunk_bytes=20_000, most_bytes=most)
+    assert {r["doc_id"]: (list(r["ids"]), r["decoded"]) for r in tokens.collect()} == {d: (tokenizer.encode(t, add_special_tokens=False).ids, t) for d, t in rows}
+
+
 def test_quality_learns_and_uses_only_the_training_fold(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
