@@ -8,10 +8,10 @@ confusion counts, the AUC and the importance vector reach the driver.
 
 Differences from a single-machine forest, stated rather than hidden: trees are at most
 ``MAX_DEPTH`` deep (Spark's own maximum), continuous features are binned (``MAX_BINS``), the forest
-is fitted on at most ``TRAIN_ROWS`` labelled rows (those with the smallest hash of their key), and
-the 80/20 split is a key hash, stratified in expectation (see
+alone is fitted on at most ``TRAIN_ROWS`` labelled rows (those with the smallest hash of their key),
+and the 80/20 split is a key hash, stratified in expectation (see
 :func:`emporion.operators.features.in_test`).  All three are parameters.  Every row of the test
-split is evaluated, and medians and class weights come from all training rows.
+split is evaluated, and medians, class weights and the encoder's levels come from all training rows.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ from emporion.sources.adapter import StarSchema
 
 NULL_LEVEL = "__null__"
 MAX_DEPTH = 30
-MAX_BINS = 32
-TRAIN_ROWS = 2_000
+MAX_BINS = 128
+TRAIN_ROWS = 5_000
 # Class names of the report.
 CLASS_NAMES = {0: "on_time", 1: "late"}
 
@@ -96,7 +96,7 @@ def _table(star: StarSchema, which: str) -> DataFrame:
     return H.training_table_v2(star)
 
 
-def _pipeline(v: Variant, num_trees: int, max_depth: int, max_bins: int, seed: int) -> Pipeline:
+def _encoder(v: Variant) -> Pipeline:
     idx = [f"{c}__idx" for c in v.categorical]
     ohe = [f"{c}__ohe" for c in v.categorical]
     return Pipeline(stages=[
@@ -104,13 +104,16 @@ def _pipeline(v: Variant, num_trees: int, max_depth: int, max_bins: int, seed: i
         # The indexer's slot for unseen levels is the one that the encoder drops: all zeros.
         OneHotEncoder(inputCols=idx, outputCols=ohe, handleInvalid="error", dropLast=True),
         VectorAssembler(inputCols=[*ohe, *v.numeric], outputCol="features", handleInvalid="keep"),
-        RandomForestClassifier(
-            featuresCol="features", labelCol="label", numTrees=num_trees, maxDepth=max_depth, maxBins=max_bins,
-            featureSubsetStrategy="sqrt", seed=seed, **({"weightCol": "weight"} if v.balanced else {}),
-        ),
     ])
 
 
+def _forest(v: Variant, num_trees: int, max_depth: int, max_bins: int, seed: int) -> RandomForestClassifier:
+    return RandomForestClassifier(
+        featuresCol="features", labelCol="label", numTrees=num_trees, maxDepth=max_depth, maxBins=max_bins,
+        featureSubsetStrategy="sqrt", seed=seed, **({"weightCol": "weight"} if v.balanced else {}),
+    )
+
+
 def _feature_names(pred: DataFrame, v: Variant) -> list[str]:
     """Slot names from the assembler's metadata, in the exported format
     ``cat__<column>_<level>`` / ``remainder__<column>``."""
@@ -156,10 +159,12 @@ def evaluate(star: StarSchema, key: str, num_trees: int = 100, max_depth: int =
     if v.balanced:
         weights = F.create_map(*[F.lit(x) for pair in class_weights(train).items() for x in pair])
         train = train.withColumn("weight", weights[F.col("label")])
-    # The bound of the training rows; written before the many passes of tree induction.
+    encoder = _encoder(v).fit(train)  # levels of all training rows, counted where they are
+    # The bound of the forest's rows; written before the many passes of tree induction.
     train = train.orderBy(F.xxhash64("order_id", "order_item_id"), "order_id", "order_item_id").limit(train_rows)
     train = materialize(train, "model-train")
-    model = _pipeline(v, num_trees, max_depth, max_bins, seed).fit(train)
+    forest = _forest(v, num_trees, max_depth, max_bins, seed).fit(encoder.transform(train))
+    model = PipelineModel([*encoder.stages, forest])
     pred = model.transform(test).withColumn("p_late", vector_to_array("probability")[1])
     pred = materialize(pred.select("label", "prediction", "p_late"), "model-predictions")
     confusion, auc = confusion_counts(pred), roc_auc(pred, "p_late")

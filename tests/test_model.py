@@ -36,3 +36,32 @@ def test_metrics_of_a_rule_have_sql():
 
     rows = {"h5_split_summary", "h7_class_weights", "b10_median_fill", "h9b_report_of_rule", "h10_auc_of_rule", "h11b_confusion_of_rule"}
     assert rows <= set(catalog.oracle_sql()) & set(catalog.queries())
+
+
+def test_levels_come_from_all_training_rows(spark):
+    from pyspark.sql import functions as F
+
+    last = F.xxhash64("order_id", "order_item_id")
+    table = M.prepared(planted_star(spark), "v2")
+    rare = table.filter(~F.col("test")).orderBy(last.desc()).first()["order_id"]  # not among the forest's rows
+    name = F.when(F.col("order_id") == rare, "rare").otherwise(F.col("product_category_name"))
+    ev = M.evaluate(None, "v2_balanced", num_trees=3, max_depth=3, train_rows=100, table=table.withColumn("product_category_name", name))
+    names = {n for n, _ in ev.importances if n.startswith("cat__product_category_name_")}
+    assert names == {f"cat__product_category_name_{c}" for c in ("a", "b", "c", "rare")}
+
+
+def test_a_signal_deeper_than_ten_is_learned(spark):
+    from pyspark.sql import functions as F
+
+    stripe = (F.col("id") % 60).cast("double")  # more stripes than 32 bins, in an order that no shallow tree follows
+    late = (F.xxhash64(stripe) % 2 != 0).cast("double")
+    table = spark.range(6000).select(
+        F.col("id").cast("string").alias("order_id"), F.lit(1).alias("order_item_id"), F.lit("a").alias("product_category_name"),
+        F.lit("SP").alias("seller_state"), *[stripe.alias(c) for c in ("price", "freight_value", "product_weight_g", "purchase_day_of_week")],
+        late.alias("label"), (F.col("id") % 7 == 0).alias("test"),
+    )
+    kw = dict(num_trees=3, table=table)
+    accuracy = lambda ev: sum(n for (a, p), n in ev.confusion.items() if a == p) / sum(ev.confusion.values())
+    assert accuracy(M.evaluate(None, "v1_naive", **kw)) > 0.99
+    assert accuracy(M.evaluate(None, "v1_naive", max_depth=5, **kw)) < 0.95
+    assert accuracy(M.evaluate(None, "v1_naive", max_bins=32, **kw)) < 0.99
