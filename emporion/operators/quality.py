@@ -369,7 +369,7 @@ def value_counts(df: DataFrame, column: str, scale: int = 6) -> DataFrame:
     """C11: absolute and relative frequency of each non-null value (pandas ``value_counts``
     with and without ``normalize``); the total is summed over the counts."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).cast("bigint").alias("count"))
-    total = F.sum("count").over(Window.partitionBy())  # over the counted rows, one for each value
+    total = counts.agg(F.sum("count")).scalar()  # a window without keys would move all values to one task
     return counts.select(
         column, "count",
         F.round(F.col("count").cast("decimal(38,0)") / total.cast("decimal(38,0)"), scale).cast("double").alias("share"),

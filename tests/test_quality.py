@@ -83,6 +83,14 @@ def test_describe_and_value_counts(spark):
     assert vc[1.0] == (1, 0.2) and None not in vc
 
 
+def test_value_counts_of_many_values_stay_apart(spark):
+    df = spark.range(20_000).selectExpr("id % 5000 AS x")
+    vc = C.value_counts(df, "x")
+    assert "Window" not in vc._jdf.queryExecution().executedPlan().toString()  # no window without keys
+    assert {(r["count"], r.share) for r in vc.collect()} == {(4, 0.0002)} and vc.count() == 5000
+    assert C.value_counts(df.limit(0), "x").count() == 0
+
+
 def test_known_answers_driver_sf001(spark):
     # regression constants at sf0.01 (FIXTURES §2), both engines agree on them
     star = StarSchema(spark, "/root/testdata/sf0.01")
