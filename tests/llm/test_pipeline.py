@@ -50,4 +50,4 @@ def test_queries_against_sql(spark):
 
 
 def test_every_operator_has_one_query():
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in Q.queries()] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in Q.queries()] == list(range(1, 14))
