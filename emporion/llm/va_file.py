@@ -76,9 +76,8 @@ def _limits(batches):
 def grid(vectors: DataFrame, dim: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """First value and width of the cells of each dimension."""
     tasks = vectors.select("v").mapInArrow(_limits, "low array<long>, high array<long>")
-    rows = tasks.select(F.posexplode(F.arrays_zip("low", "high")).alias("d", "x"))
-    got = rows.groupBy("d").agg(F.min("x.low").alias("low"), F.max("x.high").alias("high")).collect()  # dim rows
-    low, high = (np.array([r[c] for r in sorted(got)], np.int64) for c in ("low", "high"))
+    ends = [f(F.col(c)[d]) for c, f in (("low", F.min), ("high", F.max)) for d in range(dim)]
+    low, high = np.array(tasks.agg(*ends).first(), np.int64).reshape(2, dim)
     if max(-int(low.min()), int(high.max())) > LIMIT:
         raise ValueError(f"components beyond {LIMIT} after scaling: squared distances would not fit 64 bits")
     return low, -(-(high - low + 1) // (1 << bits))
@@ -239,11 +238,10 @@ class Clustering:
         fetch = marked.where("nearest <> cluster").hint("shuffle_hash").join(self.vectors.select("rid", "v"), "rid")
         settled = materialize(fetch.select("rid", "cells", "cluster", "nearest", "v").mapInArrow(_settle(self.centroids), SETTLED), "va-settled")
         moves = settled.where("rid IS NULL")
-        sums = moves.select("cluster", "count", F.posexplode("total").alias("d", "x"))
-        got = sums.groupBy("cluster", "d").agg(F.sum("count").alias("count"), F.sum("x").alias("x")).collect()  # k * dim rows
-        for r in got:
-            self.total[r["cluster"], r["d"]] += r["x"]
-            self.count[r["cluster"]] += r["count"] if r["d"] == 0 else 0
+        sums = [F.sum(F.col("total")[d]) for d in range(self.total.shape[1])]
+        for c, count, *total in moves.groupBy("cluster").agg(F.sum("count"), *sums).collect():  # k rows
+            self.count[c] += count
+            self.total[c] += np.array(total, np.int64)
         for old in self.kept:  # nothing reads the state before any more
             drop_scratch(old)
         self.kept = [marked, settled]
