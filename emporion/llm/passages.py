@@ -5,7 +5,8 @@ a document with the same minimiser form one packed string, a super-k-mer, which
 bucket of its minimiser; equal windows have equal minimisers, so they meet there.  Each window
 travels exactly once.  Of equal strings in one chunk of input only those of the smallest
 document travel; the others are settled at once, since that document comes before theirs, so a
-passage of very many documents sends one string a chunk.
+passage of very many documents sends one string a chunk.  Equal strings right after one another
+in a document, as in a run of one letter, are one place: a first unit, a step and a number of copies.
 
 Buckets: a task reads its buckets one after the other.  A bucket over its limit is not
 compared: its windows are dealt out again one by one, by their whole content, with equal ones
@@ -41,7 +42,8 @@ NAMES = [c.split()[0] for c in ROW.split(", ")]
 
 @dataclass
 class Strings:
-    """Super-k-mers: their bytes, minimiser hash, extra number, and row and first unit."""
+    """Super-k-mers: their bytes, minimiser hash, extra number, and row and first unit.  The same
+    string may follow ``copies`` times, ``step`` units apart, at most a window."""
 
     text: list[bytes]
     mini: np.ndarray  # uint64
@@ -50,6 +52,8 @@ class Strings:
     oid: np.ndarray
     rk: np.ndarray
     start: np.ndarray
+    step: np.ndarray
+    copies: np.ndarray
 
 
 @dataclass
@@ -121,7 +125,8 @@ def _ship(s: Strings, parts: int, salt: int, window: int) -> Iterator[pa.RecordB
     np.minimum.at(least, code, s.oid)
     settled = np.flatnonzero(s.oid > least[code])
     if len(settled):
-        spans = merged_spans(s.oid[settled], s.rk[settled], s.start[settled], s.start[settled] + s.windows[settled] + window - 1)
+        end = s.start + (s.copies - 1) * s.step + s.windows + window - 1
+        spans = merged_spans(s.oid[settled], s.rk[settled], s.start[settled], end[settled])
         yield _batch(part=(spans[0] % parts), oid=spans[0], rk=spans[1], a=spans[2], b=spans[3])
     go = np.flatnonzero(s.oid == least[code])
     part = (mixed(s.mini[go] ^ np.uint64(salt * 0x5851F42D4C957F2D % (1 << 64))) % np.uint64(parts)).astype(np.int64)
@@ -136,8 +141,8 @@ def _ship(s: Strings, parts: int, salt: int, window: int) -> Iterator[pa.RecordB
         own = go[head[x:y]]
         each = go[head[x] : head[y] if y < len(head) else len(go)]
         texts = [s.text[i] for i in own.tolist()]
-        payload.append(_pack([s.extra[own], s.oid[own], count[x:y], s.rk[each], s.start[each]], texts))
-        raw.append(sum(map(len, texts)) + 32 * len(texts) + 8 * len(each))
+        payload.append(_pack([s.extra[own], s.oid[own], count[x:y], s.rk[each], s.start[each], s.step[each], s.copies[each]], texts))
+        raw.append(sum(map(len, texts)) + 32 * len(texts) + 16 * len(each))
     yield _batch(part=part[head[edge]], payload=payload, raw=raw)
 
 
@@ -175,33 +180,44 @@ def _comparer(m: Method, parts: int, salt: int, most_bytes: int):
         return texts, *map(np.concatenate, zip(*numbers))
 
     def compare(blobs):
-        texts, extra, oid, count, rk, start = bucket(blobs)
+        texts, extra, oid, count, rk, start, step, copies = bucket(blobs)
         which, at = m.repeated(texts, oid, extra)
         if len(which):
             which, _, a, b = merged_spans(which, which * 0, at, at + m.window)
             n = count[which]  # the spans of a string hold wherever its document has it
             each = np.repeat(np.cumsum(count)[which] - n, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            a, b = np.repeat(a, n) + start[each], np.repeat(b, n) + start[each]
+            a, b = np.repeat(a, n) + start[each], np.repeat(b, n) + start[each] + (copies[each] - 1) * step[each]
             spans = merged_spans(np.repeat(oid[which], n), rk[each], a, b)
             yield _batch(oid=spans[0], rk=spans[1], a=spans[2], b=spans[3])
 
     def deal(blobs):
+        """The windows of the strings one by one, at most DEAL_WINDOWS places of windows at a time."""
+        flat, own = [], []  # windows; (string, place, first window, number of windows)
+
+        def flush(oid, rk, start, step, copies):
+            i, p, first, n = (np.repeat([x[c] for x in own], [x[3] for x in own]) for c in range(4))
+            at = start[p] + first + np.arange(len(p)) - np.repeat(np.cumsum([x[3] for x in own]) - [x[3] for x in own], [x[3] for x in own])
+            mini = np.fromiter(map(xxhash.xxh64_intdigest, flat), np.uint64, len(flat))
+            one = np.ones(len(flat), np.int64)
+            yield from _ship(Strings(flat, mini, 0 * one - 1, one, oid[i], rk[p], at, step[p], copies[p]), parts, salt, m.window)
+
         for x in blobs:
-            texts, _, oid, count, rk, start = bucket([x])
-            flat, own, at, rows = [], [], [], []
+            texts, _, oid, count, *places = bucket([x])
             place = 0
             for i, (text, c) in enumerate(zip(texts, count.tolist())):
                 windows = m.split(text)
-                flat += windows * c
-                own += [i] * (len(windows) * c)
-                at += [x + k for x in start[place : place + c].tolist() for k in range(len(windows))]
-                rows += [x for x in rk[place : place + c].tolist() for _ in windows]
+                for p in range(place, place + c):
+                    for first in range(0, len(windows), DEAL_WINDOWS):
+                        some = windows[first : first + DEAL_WINDOWS]
+                        flat += some
+                        own.append((i, p, first, len(some)))
+                        if len(flat) >= DEAL_WINDOWS:
+                            yield from flush(oid, *places)
+                            flat, own = [], []
                 place += c
-                if len(flat) >= DEAL_WINDOWS or i == len(texts) - 1:
-                    mini = np.fromiter(map(xxhash.xxh64_intdigest, flat), np.uint64, len(flat))
-                    one = np.ones(len(flat), np.int64)
-                    yield from _ship(Strings(flat, mini, 0 * one - 1, one, oid[own], np.array(rows, np.int64), np.array(at, np.int64)), parts, salt, m.window)
-                    flat, own, at, rows = [], [], [], []
+            if flat:
+                yield from flush(oid, *places)
+                flat, own = [], []
 
     def run(batches):
         now, held, size, large = None, [], 0, False

@@ -96,8 +96,8 @@ def _cut(window: int):
         n = np.diff(np.append(run_at, len(at)))
         head = at[run_at]
         s, e = starts[head].tolist(), ends[head + n + window - 2].tolist()
-        d = doc[head]
-        return Strings([big[x:y] for x, y in zip(s, e)], low[head], np.zeros(len(head), np.int64), n, oid[d], rk[d], first[d] + head - begin[d])
+        d, one = doc[head], np.ones(len(head), np.int64)
+        return Strings([big[x:y] for x, y in zip(s, e)], low[head], 0 * one, n, oid[d], rk[d], first[d] + head - begin[d], n, one)
 
     return run
 

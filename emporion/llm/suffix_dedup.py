@@ -33,6 +33,7 @@ from emporion.llm.substring_dedup import _later, _sliding_min
 
 LENGTH = 50  # fixed value
 PIECE_BYTES = 8 << 20
+SLICE_BYTES = 1 << 20  # places that are hashed at a time
 GRAM, SIDE = 8, 16
 
 
@@ -54,32 +55,54 @@ def _pieces(length: int):
     return run
 
 
+def _heads(big: bytes, x: int, y: int, stop: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """The strings of the windows that start at places [x, y): first window, smallest hash, place
+    of that hash, windows, and how often the string comes again right after itself."""
+    part = big[x : y + length - 1]
+    h = mixed(_words(part)[: len(part) - GRAM + 1].astype(np.uint64))
+    low = _sliding_min(h, length - GRAM + 1)
+    whole = np.ones(len(low), bool)
+    for e in (stop[np.searchsorted(stop, x, side="right") : np.searchsorted(stop, y + length)] - x).tolist():
+        whole[max(0, e - length + 1) : max(0, e)] = False
+    at = np.flatnonzero(whole)
+    if not len(at):
+        return (at,) * 5
+    least = low[at]
+    new = np.ones(len(at), bool)
+    # A string ends where the smallest place changes: another hash, or the place is passed.
+    new[1:] = (at[1:] != at[:-1] + 1) | (least[1:] != least[:-1]) | (h[at[:-1]] == least[:-1])
+    run_at = np.flatnonzero(new)
+    n = np.diff(np.append(run_at, len(at)))
+    head, least = at[run_at], least[run_at]
+    place = head + n - 1
+    left = np.flatnonzero(h[place] != least)
+    while len(left):
+        place[left] += 1
+        left = left[h[place[left]] != least[left]]
+    place -= head
+    again = np.zeros(len(head), bool)  # the string before is the same, and ends where this one begins
+    again[1:] = (head[1:] == head[:-1] + n[:-1]) & (n[1:] == n[:-1]) & (least[1:] == least[:-1]) & (place[1:] == place[:-1])
+    byte = np.frombuffer(part, np.uint8)
+    for step in np.unique(n[again]).tolist():
+        own = np.flatnonzero(again & (n == step))
+        same = np.concatenate([[0], np.cumsum(byte[:-step] == byte[step:], dtype=np.int32)])
+        before = head[own] - step
+        again[own] = same[before + step + length - 1] - same[before] == step + length - 1
+    kept = np.flatnonzero(~again)
+    return head[kept] + x, least[kept], place[kept], n[kept], np.diff(np.append(kept, len(head)))
+
+
 def _cut(length: int):
     def run(texts: list[bytes], oid: np.ndarray, rk: np.ndarray, first: np.ndarray) -> Strings:
         big = b"".join(texts)
         stop = np.cumsum([len(t) for t in texts])
         begin = np.concatenate([[0], stop[:-1]])
-        h = mixed(_words(big)[: len(big) - GRAM + 1].astype(np.uint64))
-        low = _sliding_min(h, length - GRAM + 1)
-        whole = np.ones(len(low), bool)
-        for e in stop.tolist():
-            whole[e - length + 1 : e] = False
-        at = np.flatnonzero(whole)
-        least = low[at]
-        new = np.ones(len(at), bool)
-        # A string ends where the smallest place changes: another hash, or the place is passed.
-        new[1:] = (at[1:] != at[:-1] + 1) | (least[1:] != least[:-1]) | (h[at[:-1]] == least[:-1])
-        run_at = np.flatnonzero(new)
-        n = np.diff(np.append(run_at, len(at)))
-        head, least = at[run_at], least[run_at]
-        place = head + n - 1
-        left = np.flatnonzero(h[place] != least)
-        while len(left):
-            place[left] += 1
-            left = left[h[place[left]] != least[left]]
+        last = len(big) - length + 1
+        slices = [_heads(big, x, min(x + SLICE_BYTES, last), stop, length) for x in range(0, last, SLICE_BYTES)]
+        head, least, place, n, copies = map(np.concatenate, zip(*slices))
         d = np.searchsorted(stop, head, side="right")
         s, e = head.tolist(), (head + n + length - 1).tolist()
-        return Strings([big[x:y] for x, y in zip(s, e)], least, place - head, n, oid[d], rk[d], first[d] + head - begin[d])
+        return Strings([big[x:y] for x, y in zip(s, e)], least, place, n, oid[d], rk[d], first[d] + head - begin[d], n, copies)
 
     return run
 
