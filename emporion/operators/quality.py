@@ -2,8 +2,8 @@
 
 The original suite printed one line per check; here every check returns a DataFrame, and the
 rules come from the schema registry (:mod:`emporion.schemas`) rather than hand-written SQL.
-Each table is scanned once per check family: all null / length / range counts of a table are
-``count_if`` aggregates of one ``agg``, turned into rows with ``unpivot``.  Uniqueness and
+The checks that judge rows one by one (C1-C3, C5, C7, C8) are rules of :mod:`emporion.operators.rules`:
+all that a report asks of a table is one aggregate over one scan.  Uniqueness and
 orphan checks aggregate keys map-side before their shuffle, so a hot key is combined early.
 """
 
@@ -16,26 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emporion.functions.quantiles import exact_quantiles_of
+from emporion.operators.rules import HARD_REQUIRED, STATUS_DEPENDENT, absent_columns, observe, raw_counts, rules_of
 from emporion.schemas import TABLES
 from emporion.sources.adapter import StarSchema
 
-# Columns that must never be NULL (table, column), as checked by the
-# original validation script.
-HARD_REQUIRED = [
-    ("dim_customers", "customer_id"),
-    ("dim_orders", "order_id"),
-    ("dim_orders", "customer_id"),
-    ("dim_orders", "order_purchase_timestamp"),
-    ("dim_products", "product_id"),
-    ("dim_sellers", "seller_id"),
-    ("fact_order_items", "price"),
-    ("fact_order_items", "freight_value"),
-    ("fact_order_payments", "payment_value"),
-]
-
-# Order date columns whose NULLs are expected to follow the order status.
-STATUS_DEPENDENT = ["order_approved_at", "order_delivered_carrier_date", "order_delivered_customer_date"]
-
 # Fixed value: documented number of review ids that occur on more than one order.
 DOCUMENTED_REVIEW_ID_REPEATS = 789
 
@@ -100,22 +84,23 @@ def csv_raw_sources(spark, raw_dir: str, raw_files: dict[str, str] | None = None
     return out
 
 
-def row_count_reconciliation(star: StarSchema, sources: list[tuple[str, DataFrame, bool]]) -> DataFrame:
+def row_count_reconciliation(star: StarSchema, sources: list[tuple[str, DataFrame, bool]], observed: DataFrame | None = None) -> DataFrame:
     """Raw rows (``sources``: table, raw rows, whether the counts must be equal) vs loaded
-    rows; ``OK`` / ``OK (expected difference)`` / ``MISMATCH``."""
-    loaded = star.tables()
-    rows = []
-    for name, raw, exact in sources:
-        r = raw.agg(F.count(F.lit(1)).cast("bigint")).scalar()
-        l = loaded[name].agg(F.count(F.lit(1)).cast("bigint")).scalar()
-        ok = (F.col("raw_rows") == F.col("loaded_rows")) if exact else (F.col("loaded_rows") >= F.col("raw_rows"))
-        good = "OK" if exact else "OK (expected difference)"
-        rows.append(
-            star.spark.range(1)
-            .select(F.lit(name).alias("table_name"), r.alias("raw_rows"), l.alias("loaded_rows"))
-            .withColumn("status", F.when(ok, good).otherwise("MISMATCH"))
-        )
-    return _union(rows)
+    rows; ``OK`` / ``OK (expected difference)`` / ``MISMATCH``.  This and the other checks by row take
+    ``observed``, counts of their rules that an :func:`observe` has made already."""
+    wanted = {name for name, _, _ in sources}
+    seen = _seen(observed, "C1") if observed is not None else observe(star, [r for r in rules_of(star, {"C1"}) if r.table in wanted])
+    rows = raw_counts(sources, star.spark).join(seen, "table_name")
+    return rows.select("table_name", "raw_rows", F.col("observed").alias("loaded_rows"), _loaded_status().alias("status"))
+
+
+def _seen(observed: DataFrame, check: str) -> DataFrame:
+    return observed.filter(F.col("check_id") == check)
+
+
+def _loaded_status() -> Column:
+    even, enough = F.col("observed") == F.col("raw_rows"), F.col("observed") >= F.col("raw_rows")
+    return F.when(F.col("exact") & even, "OK").when(~F.col("exact") & enough, "OK (expected difference)").otherwise("MISMATCH")
 
 
 # ---- C2 / C9 ---------------------------------------------------------------------------
@@ -136,36 +121,25 @@ def null_profile(df: DataFrame, columns: list[str] | None = None, table_name: st
     return out
 
 
-def null_thresholds(star: StarSchema, required: list[tuple[str, str]] | None = None) -> DataFrame:
+def null_thresholds(star: StarSchema, required: list[tuple[str, str]] | None = None, observed: DataFrame | None = None) -> DataFrame:
     """Hard-required columns — NULL count, share of rows (0 % on an empty table), status."""
-    required = required or HARD_REQUIRED
-    tables = star.tables()
-    by_table: dict[str, list[str]] = {}
-    for t, c in required:
-        by_table.setdefault(t, []).append(c)
-    parts = [null_profile(tables[t], cols, t) for t, cols in by_table.items()]
-    return _union(parts).select(
-        "table_name", "column_name", "null_count", "total_rows",
-        _safe_pct("null_count", "total_rows").alias("null_pct"),
-        F.when(F.col("null_count") == 0, "OK").otherwise("FAIL").alias("status"),
+    seen = _seen(observed, "C2") if observed is not None else observe(star, rules_of(star, {"C2"}, required=required))
+    return seen.select(
+        "table_name", "column_name", F.col("observed").alias("null_count"), "total_rows",
+        _safe_pct("observed", "total_rows").alias("null_pct"),
+        F.when(F.col("observed") == 0, "OK").otherwise("FAIL").alias("status"),
     )
 
 
 # ---- C3 --------------------------------------------------------------------------------
-def status_dependent_nulls(star: StarSchema, columns: list[str] | None = None) -> DataFrame:
+def status_dependent_nulls(star: StarSchema, columns: list[str] | None = None, observed: DataFrame | None = None) -> DataFrame:
     """NULLs of each date column broken down by order status (one scan of the orders),
     with the column's total; statuses without NULLs are not listed."""
-    columns = columns or STATUS_DEPENDENT
-    wide = star.orders.groupBy("order_status").agg(
-        *[_count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(columns)]
-    )
-    long = wide.unpivot(
-        ["order_status"], [F.col(f"n{i}").alias(c) for i, c in enumerate(columns)], "column_name", "null_count"
-    ).filter(F.col("null_count") > 0)
     # The window runs over the aggregated rows: (#statuses x #columns), not over orders.
-    return long.select(
-        "column_name", "order_status", "null_count",
-        F.sum("null_count").over(Window.partitionBy("column_name")).cast("bigint").alias("total_nulls"),
+    seen = _seen(observed, "C3") if observed is not None else observe(star, rules_of(star, {"C3"}, status_columns=columns))
+    return seen.select(
+        "column_name", F.col("value_of").alias("order_status"), F.col("observed").alias("null_count"),
+        F.sum("observed").over(Window.partitionBy("column_name")).cast("bigint").alias("total_nulls"),
     )
 
 
@@ -218,31 +192,16 @@ def people_vs_records(star: StarSchema) -> DataFrame:
 
 
 # ---- C5 column rules ----------------------------------------------------------------------
-def declared_constraints(star: StarSchema) -> DataFrame:
-    """NOT NULL and VARCHAR length rules of the registry, one scan per table."""
-    parts = []
-    for name, df in star.tables().items():
-        meta = TABLES[name]
-        present = {f.name: f.dataType for f in df.schema.fields}
-        rules: list[tuple[str, str, Column]] = []
-        for col in meta.columns:
-            if col.name not in present:
-                continue
-            if col.not_null:
-                rules.append((col.name, "not_null", F.col(col.name).isNull()))
-            if col.max_len and isinstance(present[col.name], T.StringType):
-                rules.append((col.name, f"max_length_{col.max_len}", F.length(col.name) > col.max_len))
-        if not rules:
-            continue
-        wide = df.agg(*[_count_if(cond).alias(f"r{i}") for i, (_, _, cond) in enumerate(rules)])
-        long = wide.unpivot([], [F.col(f"r{i}").alias(f"{c}|{r}") for i, (c, r, _) in enumerate(rules)], "rule_key", "violations")
-        parts.append(long.select(
-            F.lit(name).alias("table_name"),
-            F.split("rule_key", r"\|").getItem(0).alias("column_name"),
-            F.split("rule_key", r"\|").getItem(1).alias("rule"),
-            "violations",
-        ))
-    return _union(parts)
+def declared_constraints(star: StarSchema, observed: DataFrame | None = None) -> DataFrame:
+    """NOT NULL, VARCHAR length and decimal-fit rules of the registry, one scan per table, and
+    a violation of ``present`` for each declared column that a table lacks."""
+    from emporion.sources.warehouse import literal_rows
+
+    seen = _seen(observed, "C5") if observed is not None else observe(star, rules_of(star, {"C5"}))
+    found = seen.select(
+        "table_name", "column_name", F.col("metric").alias("rule"), F.col("observed").alias("violations"))
+    absent = [(t, c, "present", 1) for t, c, _ in absent_columns(star)]
+    return found.unionByName(literal_rows(star.spark, absent, "table_name string, column_name string, rule string, violations bigint"))
 
 
 # ---- C6 --------------------------------------------------------------------------------
@@ -301,38 +260,22 @@ def orphans(star: StarSchema, relaxed: tuple[tuple[str, str], ...] = (("dim_clos
 
 
 # ---- C7 / C8 -----------------------------------------------------------------------------
-def value_ranges(star: StarSchema) -> DataFrame:
+def value_ranges(star: StarSchema, observed: DataFrame | None = None) -> DataFrame:
     """Declared CHECK rules (minimum values, ranges) plus delivered-before-purchased."""
-    tables = star.tables()
-    parts = []
-    for name, meta in TABLES.items():
-        if name not in tables:
-            continue
-        rules = [(f"{c} < {v:g}", F.col(c) < v) for c, v in meta.min_values]
-        rules += [(f"{c} NOT BETWEEN {lo:g} AND {hi:g}", ~F.col(c).between(lo, hi)) for c, lo, hi in meta.ranges]
-        if name == "dim_orders":
-            rules.append((
-                "order_delivered_customer_date < order_purchase_timestamp",
-                F.col("order_delivered_customer_date") < F.col("order_purchase_timestamp"),
-            ))
-        if not rules:
-            continue
-        wide = tables[name].agg(*[_count_if(cond).alias(f"r{i}") for i, (_, cond) in enumerate(rules)])
-        long = wide.unpivot([], [F.col(f"r{i}").alias(label) for i, (label, _) in enumerate(rules)], "rule", "violations")
-        parts.append(long.select(
-            F.lit(name).alias("table_name"), "rule", "violations",
-            F.when(F.col("violations") == 0, "OK").otherwise("FAIL").alias("status"),
-        ))
-    return _union(parts)
+    seen = _seen(observed, "C7") if observed is not None else observe(star, rules_of(star, {"C7"}))
+    return seen.select(
+        "table_name", F.col("metric").alias("rule"), F.col("observed").alias("violations"),
+        F.when(F.col("observed") == 0, "OK").otherwise("FAIL").alias("status"))
 
 
-def delivered_without_date(star: StarSchema, delivered_status: str) -> DataFrame:
+def delivered_without_date(star: StarSchema, delivered_status: str, observed: DataFrame | None = None) -> DataFrame:
     """Orders whose status (``delivered_status``) says delivered but that carry no delivery
     date; these are excluded by the delivered-only filter, never imputed."""
-    return star.orders.agg(
-        _count_if((F.col("order_status") == delivered_status) & F.col("order_delivered_customer_date").isNull())
-        .alias("status_without_date"),
-        _count_if(F.col("order_delivered_customer_date").isNull()).alias("all_without_date"),
+    said = F.col("metric") == f"status_{delivered_status}_without_date"
+    seen = _seen(observed, "C8") if observed is not None else observe(star, rules_of(star, {"C8"}, delivered_status=delivered_status))
+    return seen.agg(
+        F.max(F.when(said, F.col("observed"))).alias("status_without_date"),
+        F.max(F.when(~said, F.col("observed"))).alias("all_without_date"),
     ).select(F.lit(delivered_status).alias("delivered_status"), "status_without_date", "all_without_date")
 
 
@@ -389,6 +332,13 @@ SUITE = {
 }
 
 
+#: The checks by row, with the id of their rules.
+BY_ROW = {
+    "row_counts": "C1", "null_thresholds": "C2", "status_dependent_nulls": "C3", "declared_constraints": "C5",
+    "value_ranges": "C7", "delivered_without_date": "C8",
+}
+
+
 def run_quality_suite(star: StarSchema, delivered_status: str, checks: list[str] | None = None,
                       sources: list[tuple[str, DataFrame, bool]] | None = None,
                       reference_scope: bool = False, parallelism: int = 4) -> dict[str, list]:
@@ -397,7 +347,8 @@ def run_quality_suite(star: StarSchema, delivered_status: str, checks: list[str]
     * ``sources`` are the raw sources of C1; without them it is left out;
     * ``reference_scope`` restricts keys and foreign keys to the original script's lists
       instead of every key the registry declares;
-    * independent checks are submitted as concurrent Spark jobs from ``parallelism`` driver
+    * the checks by row (``BY_ROW``) share one observation, in which each table is scanned once;
+    * the others are submitted beside it as concurrent Spark jobs from ``parallelism`` driver
       threads, so the cluster is not idle while one small job finishes.
     """
     from concurrent.futures import ThreadPoolExecutor
@@ -408,9 +359,17 @@ def run_quality_suite(star: StarSchema, delivered_status: str, checks: list[str]
     if reference_scope:
         given |= {"duplicates": {"include_registry_keys": False}, "orphans": {"fks": REFERENCE_FKS}}
     fns = {name: partial(f, **given.get(name, {})) for name, f in fns.items()}
+    wanted = {BY_ROW[name] for name in fns if name in BY_ROW}
+
+    def observed_rows():
+        seen = observe(star, rules_of(star, wanted, delivered_status=delivered_status))
+        return star.spark.createDataFrame(seen.collect(), seen.schema)  # one row a rule
+
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        futures = {name: pool.submit(lambda f=f: f(star).collect()) for name, f in fns.items()}
-        return {name: fut.result() for name, fut in futures.items()}
+        seen = pool.submit(observed_rows) if wanted else None
+        futures = {name: pool.submit(lambda f=f: f(star).collect()) for name, f in fns.items() if name not in BY_ROW}
+        futures |= {name: pool.submit(lambda f=f: f(star, observed=seen.result()).collect()) for name, f in fns.items() if name in BY_ROW}
+        return {name: futures[name].result() for name in fns}
 
 
 def quality_report(star: StarSchema, delivered_status: str, sources: list[tuple[str, DataFrame, bool]] | None = None,
@@ -422,38 +381,43 @@ def quality_report(star: StarSchema, delivered_status: str, sources: list[tuple[
     (as text), ``status`` the verdict of the individual check.  C1 compares the raw ``sources``
     (see :func:`row_count_reconciliation`) with the star's tables and is left out without them;
     ``delivered_status`` is the order status that C8 judges."""
+    from emporion.sources.warehouse import literal_rows
+
     dups = duplicates(star, include_registry_keys=not reference_scope)
     orph = orphans(star, fks=REFERENCE_FKS if reference_scope else None)
-    none = F.lit(None).cast("string")
+    checks = {"C2", "C3", "C5", "C7", "C8"} | ({"C1"} if sources is not None else set())
+    rules = rules_of(star, checks, delivered_status=delivered_status)
+    raw_tables = {name for name, _, _ in sources or []}
+    rules = [r for r in rules if r.metric != "without_date" and (r.check != "C1" or r.table in raw_tables)]
+    seen = observe(star, rules)  # one scan of each table
+    if sources is not None:
+        seen = seen.join(raw_counts(sources, star.spark).withColumn("check_id", F.lit("C1")), ["check_id", "table_name"], "left")
+    else:
+        seen = seen.withColumn("raw_rows", F.lit(None).cast("bigint")).withColumn("exact", F.lit(None).cast("boolean"))
+    check, clean = F.col("check_id"), F.col("observed") == 0
+    status = (
+        F.when(check == "C1", _loaded_status()).when(check == "C3", "INFO")
+        .when(clean, "OK").when(check == "C8", "ANOMALY").otherwise("FAIL")
+    )
+    columns = ["check_id", "table_name", "column_name", "metric", "observed", "expected", "status"]
+    by_row = seen.select(
+        "check_id", "table_name", "column_name", F.when(check == "C3", F.concat("metric", "value_of")).otherwise(F.col("metric")).alias("metric"), "observed",
+        F.when(check == "C1", F.col("raw_rows").cast("string")).when(check != "C3", "0").alias("expected"), status.alias("status"),
+    )
+    absent = [("C5", t, c, "present", 1, "0", "FAIL" if required else "ABSENT") for t, c, required in absent_columns(star)]
+    kind = ", ".join(f"{c} {'bigint' if c == 'observed' else 'string'}" for c in columns)
 
-    def rows(df, check, table, column, metric, observed, expected, status):
+    def rows(df, check, table, column, metric, observed, expected):
         return df.select(
             F.lit(check).alias("check_id"), table.alias("table_name"), column.alias("column_name"),
             metric.alias("metric"), observed.cast("bigint").alias("observed"),
-            expected.cast("string").alias("expected"), status.alias("status"),
+            expected.cast("string").alias("expected"), F.col("status"),
         )
 
-    c8 = delivered_without_date(star, delivered_status)
-    parts = [
-        rows(row_count_reconciliation(star, sources), "C1", F.col("table_name"), none, F.lit("loaded_rows"),
-             F.col("loaded_rows"), F.col("raw_rows"), F.col("status")),
-    ] if sources is not None else []
-    parts += [
-        rows(null_thresholds(star), "C2", F.col("table_name"), F.col("column_name"), F.lit("null_count"),
-             F.col("null_count"), F.lit("0"), F.col("status")),
-        rows(status_dependent_nulls(star), "C3", F.lit("dim_orders"), F.col("column_name"),
-             F.concat(F.lit("null_count_status_"), F.col("order_status")), F.col("null_count"), none, F.lit("INFO")),
-        rows(dups, "C4", F.col("table_name"), F.col("key_columns"), F.lit("duplicate_keys"),
-             F.col("duplicate_keys"), F.col("expected"), F.col("status")),
-        rows(declared_constraints(star), "C5", F.col("table_name"), F.col("column_name"), F.col("rule"),
-             F.col("violations"), F.lit("0"), F.when(F.col("violations") == 0, "OK").otherwise("FAIL")),
+    return _union([
+        by_row,
+        literal_rows(star.spark, absent, kind),
+        rows(dups, "C4", F.col("table_name"), F.col("key_columns"), F.lit("duplicate_keys"), F.col("duplicate_keys"), F.col("expected")),
         rows(orph, "C6", F.col("child_table"), F.col("child_column"),
-             F.concat(F.lit("orphans_to_"), F.col("parent_table")), F.col("orphan_rows"), F.lit("0"), F.col("status")),
-        rows(value_ranges(star), "C7", F.col("table_name"), none, F.col("rule"), F.col("violations"),
-             F.lit("0"), F.col("status")),
-        rows(c8, "C8", F.lit("dim_orders"), F.lit("order_delivered_customer_date"),
-             F.concat(F.lit("status_"), F.col("delivered_status"), F.lit("_without_date")),
-             F.col("status_without_date"), F.lit("0"),
-             F.when(F.col("status_without_date") == 0, "OK").otherwise("ANOMALY")),
-    ]
-    return _union(parts)
+             F.concat(F.lit("orphans_to_"), F.col("parent_table")), F.col("orphan_rows"), F.lit("0")),
+    ])

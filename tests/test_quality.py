@@ -1,5 +1,7 @@
 """Data-quality checks on a fixture with known defects (FIXTURES dq_bad) and on driver data."""
 
+from pyspark.sql import functions as F
+
 from conftest import SF_SMALL, money, table, ts
 from emporion.operators import quality as C
 from emporion.sources.adapter import FrameStar, StarSchema
@@ -120,3 +122,64 @@ def test_quality_report_common_schema(spark):
     assert by[("C6", "fact_order_items", "product_id", "orphans_to_dim_products")].observed == 2
     assert by[("C7", "dim_reviews", None, "review_score NOT BETWEEN 1 AND 5")].observed == 2
     assert by[("C8", "dim_orders", "order_delivered_customer_date", "status_delivered_without_date")].observed == 1
+
+
+def _scans(df):
+    import re
+
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return re.findall(r"FileScan parquet[^\n]*?(\w+)\.parquet|Scan ExistingRDD|LocalTableScan", plan)
+
+
+def test_checks_by_row_scan_each_table_once(spark, tmp_path):
+    from emporion.operators import rules as R
+    from emporion.schemas import TABLES
+    from emporion.sources.adapter import StoredStarSchema
+
+    star = StarSchema(spark, SF_SMALL)
+    for name, df in star.tables().items():
+        cols = [F.col(c.name).cast(c.dtype).alias(c.name) if c.name in df.columns else F.lit(None).cast(c.dtype).alias(c.name)
+                for c in TABLES[name].columns]
+        df.select(*cols).write.parquet(str(tmp_path / name))
+    stored = StoredStarSchema(spark, str(tmp_path))
+    every = {"C1", "C2", "C3", "C5", "C7", "C8"}
+    seen = R.observe(stored, R.rules_of(stored, every, delivered_status="F"))
+    assert seen._jdf.queryExecution().executedPlan().toString().count("FileScan") == len(TABLES)
+    # Over the adapter each table reads its own sources once: four tables come from the orders.
+    scans = _scans(R.observe(star, R.rules_of(star, every, delivered_status="F")))
+    assert {t: scans.count(t) for t in ("lineitem", "orders", "part")} == {"lineitem": 2, "orders": 4, "part": 1}
+    assert C.quality_report(stored, "F").count() > 100
+
+
+def test_suite_shares_one_observation_and_agrees_with_single_checks(spark):
+    star = _bad_star(spark)
+    names = ["null_thresholds", "status_dependent_nulls", "declared_constraints", "value_ranges", "delivered_without_date", "people_vs_records"]
+    got = C.run_quality_suite(star, "delivered", names)
+    assert list(got) == names
+    for name in names:
+        alone = C.SUITE[name](star, **({"delivered_status": "delivered"} if name == "delivered_without_date" else {}))
+        assert sorted(map(tuple, got[name]), key=str) == sorted(map(tuple, alone.collect()), key=str), name
+
+
+def test_decimals_that_do_not_fit_and_absent_columns(spark):
+    from emporion.sources.adapter import FrameStar
+
+    items = spark.createDataFrame([("o1", 1, "p", "s", 1e9, "5.00"), ("o2", 1, "p", "s", 10.25, None), ("o3", 1, "p", "s", None, "x")],
+                                  "order_id string, order_item_id int, product_id string, seller_id string, price double, freight_value string")
+    star = FrameStar(spark, {"fact_order_items": items, "dim_sellers": spark.createDataFrame([("01",)], "seller_zip_code_prefix string")})
+    rows = {(r.table_name, r.column_name, r.rule): r.violations for r in C.declared_constraints(star).collect()}
+    assert rows["fact_order_items", "price", "decimal_10_2"] == 1 and rows["fact_order_items", "freight_value", "decimal_10_2"] == 1
+    assert rows["fact_order_items", "shipping_limit_date", "present"] == 1 and rows["dim_sellers", "seller_id", "present"] == 1
+    star = _bad_star(spark)
+    star.frames["dim_sellers"] = star.sellers.drop("seller_state")
+    by = {(r.table_name, r.column_name, r.metric): r.status for r in C.quality_report(star, "delivered").collect()}
+    assert by["dim_sellers", "seller_state", "present"] == "ABSENT"
+
+
+def test_rules_of_empty_tables_give_zero(spark):
+    star = _bad_star(spark)
+    for name in ("dim_orders", "fact_order_items"):
+        star.frames[name] = star.frames[name].limit(0)
+    rows = C.quality_report(star, "delivered").collect()
+    assert {r.observed for r in rows if r.table_name == "dim_orders" and r.check_id in ("C2", "C5", "C7", "C8")} == {0}
+    assert not [r for r in rows if r.check_id == "C3"]
