@@ -195,13 +195,13 @@ def people_vs_records(star: StarSchema) -> DataFrame:
 def declared_constraints(star: StarSchema, observed: DataFrame | None = None) -> DataFrame:
     """NOT NULL, VARCHAR length and decimal-fit rules of the registry, one scan per table, and
     a violation of ``present`` for each declared column that a table lacks."""
-    from emporion.sources.warehouse import literal_rows
+    from emporion.sources.warehouse import values_table
 
     seen = _seen(observed, "C5") if observed is not None else observe(star, rules_of(star, {"C5"}))
     found = seen.select(
         "table_name", "column_name", F.col("metric").alias("rule"), F.col("observed").alias("violations"))
     absent = [(t, c, "present", 1) for t, c, _ in absent_columns(star)]
-    return found.unionByName(literal_rows(star.spark, absent, "table_name string, column_name string, rule string, violations bigint"))
+    return found.unionByName(values_table(star.spark, absent, "table_name string, column_name string, rule string, violations bigint"))
 
 
 # ---- C6 --------------------------------------------------------------------------------
@@ -216,7 +216,7 @@ def orphans(star: StarSchema, relaxed: tuple[tuple[str, str], ...] = (("dim_clos
     against the union of the parents' keys (tagged with the same index) finds the orphan
     pairs; both sums per index read the same key aggregate, whose exchange Spark reuses.
     Keys keep their type; only foreign keys of different types are compared as text."""
-    from emporion.sources.warehouse import literal_rows
+    from emporion.sources.warehouse import values_table
 
     tables = star.tables()
     if fks is None:
@@ -241,7 +241,7 @@ def orphans(star: StarSchema, relaxed: tuple[tuple[str, str], ...] = (("dim_clos
         ])
         lost = keys.join(parent_keys, ["k", "v"], "left_anti").groupBy("k").agg(F.sum("_n").alias("orphan_rows"))
         total = keys.groupBy("k").agg(F.sum("_n").alias("child_rows"))
-        labels = literal_rows(star.spark, [
+        labels = values_table(star.spark, [
             (i, c, col, parent, pcol, "RELAXED" if (c, col) in relaxed else "BROKEN")
             for i, (c, col, parent, pcol) in enumerate(mine)
         ], "k int, child_table string, child_column string, parent_table string, parent_column string, bad string")
@@ -381,7 +381,7 @@ def quality_report(star: StarSchema, delivered_status: str, sources: list[tuple[
     (as text), ``status`` the verdict of the individual check.  C1 compares the raw ``sources``
     (see :func:`row_count_reconciliation`) with the star's tables and is left out without them;
     ``delivered_status`` is the order status that C8 judges."""
-    from emporion.sources.warehouse import literal_rows
+    from emporion.sources.warehouse import values_table
 
     dups = duplicates(star, include_registry_keys=not reference_scope)
     orph = orphans(star, fks=REFERENCE_FKS if reference_scope else None)
@@ -416,7 +416,7 @@ def quality_report(star: StarSchema, delivered_status: str, sources: list[tuple[
 
     return _union([
         by_row,
-        literal_rows(star.spark, absent, kind),
+        values_table(star.spark, absent, kind),
         rows(dups, "C4", F.col("table_name"), F.col("key_columns"), F.lit("duplicate_keys"), F.col("duplicate_keys"), F.col("expected")),
         rows(orph, "C6", F.col("child_table"), F.col("child_column"),
              F.concat(F.lit("orphans_to_"), F.col("parent_table")), F.col("orphan_rows"), F.lit("0")),

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from emporion.schemas import TABLES
 from emporion.sources.adapter import StarSchema
-from emporion.sources.warehouse import literal_rows
+from emporion.sources.warehouse import values_table
 
 # Columns that must never be NULL (table, column), as checked by the
 # original validation script.
@@ -119,14 +119,10 @@ def rules_of(star: StarSchema, checks: set[str], required: list[tuple[str, str]]
 def _counts(df: DataFrame, numbered: list[tuple[int, Rule]]) -> DataFrame:
     """(rule, value_of, observed, total): the counts of a table's rules, from one scan of it."""
     by = next((r.by for _, r in numbered if r.by), None)
-    values = [F.count_if(F.coalesce(r.hit, F.lit(False))).cast("bigint").alias(f"r{i}") for i, r in numbered]
-    wide = (df.groupBy(F.col(by).alias("by")) if by else df).agg(F.count(F.lit(1)).cast("bigint").alias("total"), *values)
-    label = F.col("by") if by else F.lit(None).cast("string")
-    cells = [
-        F.struct(F.lit(i).alias("rule"), (label if r.by else F.lit(None).cast("string")).alias("value_of"), F.col(f"r{i}").alias("observed"))
-        for i, r in numbered
-    ]
-    long = wide.select("total", F.explode(F.array(*cells)).alias("c")).select("c.*", "total")
+    values = [F.count_if(r.hit).alias(f"r{i}") for i, r in numbered]  # a NULL condition is not counted
+    wide = (df.groupBy(F.col(by).alias("by")) if by else df).agg(F.count(F.lit(1)).alias("total"), *values)
+    cells = ", ".join(f"named_struct('rule', {i}, 'value_of', {'by' if r.by else 'CAST(NULL AS STRING)'}, 'observed', r{i})" for i, r in numbered)
+    long = wide.select("total", F.expr(f"inline(array({cells}))"))
     if by:  # over the few rows of the statuses
         long = long.groupBy("rule", "value_of").agg(F.sum("observed").alias("observed"), F.sum("total").alias("total"))
     return long
@@ -140,7 +136,7 @@ def observe(star: StarSchema, rules: list[Rule]) -> DataFrame:
     names = dict.fromkeys(r.table for r in rules)
     parts = [_counts(tables[t], [x for x in numbered if x[1].table == t]) for t in names]
     seen = reduce(lambda a, b: a.unionByName(b), parts)
-    known = literal_rows(star.spark, [(i, r.check, r.table, r.column, r.metric, r.by is not None) for i, r in numbered],
+    known = values_table(star.spark, [(i, r.check, r.table, r.column, r.metric, r.by is not None) for i, r in numbered],
                          f"rule int, {OBSERVED}, split boolean")
     zero = F.lit(0).cast("bigint")
     return (

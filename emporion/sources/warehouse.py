@@ -34,6 +34,25 @@ def literal_rows(spark: SparkSession, rows: list[tuple], schema) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*structs)))
 
 
+def values_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A short literal table of whole numbers, booleans and strings, given to Spark as one SQL text (a
+    call to the JVM for the whole table, where :func:`literal_rows` makes several for each cell)."""
+    names, kinds = zip(*(f.rsplit(" ", 1) for f in schema.split(", ")))
+
+    def cell(v) -> str:
+        if v is None:
+            return "NULL"
+        if isinstance(v, str):
+            return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return str(v)
+
+    typed = ", ".join(f"CAST({n} AS {k}) AS {n}" for n, k in zip(names, kinds))
+    if not rows:
+        return spark.sql("SELECT " + ", ".join(f"CAST(NULL AS {k}) AS {n}" for n, k in zip(names, kinds)) + " WHERE false")
+    text = ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows)
+    return spark.sql(f"SELECT {typed} FROM VALUES {text} AS t({', '.join(names)})")
+
+
 def insert_if_absent(
     spark: SparkSession, base: DataFrame, rows: list[tuple], key: str
 ) -> DataFrame:
