@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emporion.functions.quantiles import exact_quantiles_of
-from emporion.operators.rules import HARD_REQUIRED, STATUS_DEPENDENT, absent_columns, observe, raw_counts, rules_of
+from emporion.operators.rules import OBSERVATION, absent_columns, observe, raw_counts, rules_of
 from emporion.schemas import TABLES
 from emporion.sources.adapter import StarSchema
 
@@ -354,6 +354,8 @@ def run_quality_suite(star: StarSchema, delivered_status: str, checks: list[str]
     from concurrent.futures import ThreadPoolExecutor
     from functools import partial
 
+    from emporion.sources.warehouse import values_table
+
     fns = {name: SUITE[name] for name in (checks or list(SUITE)) if sources is not None or name != "row_counts"}
     given = {"row_counts": {"sources": sources}, "delivered_without_date": {"delivered_status": delivered_status}}
     if reference_scope:
@@ -362,8 +364,9 @@ def run_quality_suite(star: StarSchema, delivered_status: str, checks: list[str]
     wanted = {BY_ROW[name] for name in fns if name in BY_ROW}
 
     def observed_rows():
-        seen = observe(star, rules_of(star, wanted, delivered_status=delivered_status))
-        return star.spark.createDataFrame(seen.collect(), seen.schema)  # one row a rule
+        counted = {name for name, _, _ in sources or []}
+        rules = [r for r in rules_of(star, wanted, delivered_status=delivered_status) if r.check != "C1" or r.table in counted]
+        return values_table(star.spark, [tuple(r) for r in observe(star, rules).collect()], OBSERVATION)  # one row a rule
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         seen = pool.submit(observed_rows) if wanted else None

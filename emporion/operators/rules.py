@@ -39,6 +39,7 @@ HARD_REQUIRED = [
 STATUS_DEPENDENT = ["order_approved_at", "order_delivered_carrier_date", "order_delivered_customer_date"]
 
 OBSERVED = "check_id string, table_name string, column_name string, metric string"
+OBSERVATION = f"{OBSERVED}, value_of string, observed bigint, total_rows bigint"
 
 
 @dataclass(frozen=True)
