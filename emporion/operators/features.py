@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from emporion.functions import dow_sunday0, haversine_km, is_late, whole_days_between
 from emporion.functions.quantiles import exact_median
+from emporion.session import materialize
 from emporion.sources.adapter import StarSchema
 
 LABEL = "is_late"
@@ -116,6 +117,84 @@ def split(df: DataFrame, test_pct: int = 20, seed: int = 42, keys: tuple[str, ..
     return df.filter(~test), df.filter(test)
 
 
+HASH_BITS = 60
+CLASS_BINS = 4096
+
+
+def row_hash(keys: tuple[str, ...], seed: int) -> F.Column:
+    """The first 60 bits of an MD5 of the row key."""
+    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("bigint")
+
+
+def _at_ranks(df: DataFrame, group: str, value: str, ranks: dict) -> dict:
+    """For each group the value at a 1-based rank in ascending order, and how many rows of that value
+    are among the first so many: by counting rows per bin of the interval that holds the rank.  A pass
+    is one aggregate, of which at most ``CLASS_BINS`` rows a group reach the driver."""
+    low, high = df.agg(F.min(value), F.max(value)).first()
+    left = {g: (low, high, 0) for g, k in ranks.items() if k}  # interval, rows before it
+    out = {}
+    while left:
+        part = F.lit(None).cast("bigint")
+        for g, (lo, hi, _) in left.items():
+            width = -(-(hi - lo + 1) // CLASS_BINS)
+            inside = F.col(group).eqNullSafe(F.lit(g)) & F.col(value).between(lo, hi)
+            part = F.when(inside, F.expr(f"({value} - {lo}) div {width}")).otherwise(part)
+        bins = df.select(group, part.alias("bin"), value).filter("bin IS NOT NULL").groupBy(group, "bin").agg(
+            F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")).collect()
+        for g in list(left):
+            before = left[g][2]
+            for r in sorted((r for r in bins if r[group] == g), key=lambda r: r["bin"]):
+                if before + r["n"] >= ranks[g]:
+                    if r["lo"] == r["hi"]:
+                        out[g] = (r["lo"], ranks[g] - before)
+                        del left[g]
+                    elif before + r["n"] == ranks[g]:  # the whole bin: its largest value ends the quota
+                        out[g] = (r["hi"], None)
+                        del left[g]
+                    else:
+                        left[g] = (r["lo"], r["hi"], before)
+                    break
+                before += r["n"]
+    return out
+
+
+def exact_split(df: DataFrame, label: str = LABEL, test_pct: int = 20, seed: int = 42,
+                keys: tuple[str, ...] = ("order_id", "order_item_id")) -> DataFrame:
+    """H5 with exact class quotas: ``df`` with ``test``, true for round(test_pct % of n) rows of each
+    class (halves up), those with the smallest hashes of their key.
+
+    The hash at a class's quota is found by narrowing histograms, with no sort and no window over a
+    class.  Rows beyond it with the same hash, that is the same key, are told apart by their row number
+    in the table that the split writes first, so repeated keys do not spoil a quota."""
+    rows = materialize(df.withColumn("_hash", row_hash(keys, seed)).withColumn("_row", F.monotonically_increasing_id()), "split-rows")
+    sizes = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a class
+    quota = {g: (n * test_pct + 50) // 100 for g, n in sizes.items()}
+    at = _at_ranks(rows, label, "_hash", quota)
+    tied = {g: k for g, (_, k) in at.items() if k is not None}
+    edge = F.lit(False)
+    for g in tied:
+        edge = edge | (F.col(label).eqNullSafe(F.lit(g)) & (F.col("_hash") == at[g][0]))
+    last = _at_ranks(rows.filter(edge), label, "_row", tied) if tied else {}
+    test = F.lit(False)
+    for g, (h, k) in at.items():
+        own = F.col("_hash") <= h if k is None else (F.col("_hash") < h) | ((F.col("_hash") == h) & (F.col("_row") <= last[g][0]))
+        test = F.when(F.col(label).eqNullSafe(F.lit(g)), own).otherwise(test)
+    return rows.withColumn("test", test).drop("_row")
+
+
+def exact_split_summary(star: StarSchema) -> DataFrame:
+    """H5 with exact quotas: rows per (split, class), the class's share of the split, and a checksum of
+    the hashes of the rows that went there."""
+    from pyspark.sql import Window
+
+    table = training_table_v1(star).select("order_id", "order_item_id", LABEL)
+    tagged = exact_split(table).select(F.when(F.col("test"), "test").otherwise("train").alias("split"), LABEL, "_hash")
+    counts = tagged.groupBy("split", LABEL).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("_hash") % 1_000_003).alias("hash_sum"))
+    total = F.sum("rows").over(Window.partitionBy("split"))  # over the few counted rows
+    return counts.select("split", LABEL, "rows", F.round(F.col("rows") / total, 6).alias("share"), "hash_sum")
+
+
 def fill_median(df: DataFrame, column: str, where: F.Column | None = None) -> tuple[float | None, DataFrame]:
     """Fill NULLs of ``column`` with the exact median of the rows ``where`` holds (T9: the
     training rows, so that the test rows do not leak into it)."""

@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from emporion.functions import round_money
 from emporion.operators import analytics as A
+from emporion.operators import encode as N
 from emporion.operators import features as H
+from emporion.operators import forest as T
 from emporion.operators import model as M
 from emporion.operators import quality as C
 from emporion.operators import rfm as R
@@ -193,7 +195,9 @@ QUALITY: dict[str, Query] = {
 FEATURES: dict[str, Query] = {
     "h1_training_table_v1": _q(H.training_table_v1),
     "h2_training_table_v2": _q(H.training_table_v2),
+    "h4_one_hot": _q(N.one_hot_summary),
     "h5_split_summary": _q(M.split_summary),
+    "h5b_exact_split": _q(H.exact_split_summary),
     "h7_class_weights": _q(M.class_weight_table),
     "b10_median_fill": _q(M.median_fill),
     "h9b_report_of_rule": _q(M.rule_report),
@@ -204,6 +208,7 @@ FEATURES: dict[str, Query] = {
 
 # Model training has no SQL equivalent: these entries get the driver's rows-only check.
 MODEL: dict[str, Query] = {
+    "h8_late_probability": _q(T.late_probabilities),
     "h9_classification_report": _q(M.classification_report),
     "h11_confusion_matrix": _q(M.confusion_matrix),
     "h12_feature_importances": _q(M.feature_importances),

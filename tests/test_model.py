@@ -1,5 +1,7 @@
 """Classifier on a planted signal (FIXTURES planted_signal) and metric bookkeeping."""
 
+from pyspark.sql import functions as F
+
 from emporion.operators import model as M
 from tests_support import planted_star
 
@@ -65,3 +67,64 @@ def test_a_signal_deeper_than_ten_is_learned(spark):
     assert accuracy(M.evaluate(None, "v1_naive", **kw)) > 0.99
     assert accuracy(M.evaluate(None, "v1_naive", max_depth=5, **kw)) < 0.95
     assert accuracy(M.evaluate(None, "v1_naive", max_bins=32, **kw)) < 0.99
+
+
+def test_forest_table_scores_like_the_model(spark):
+    from emporion.operators import forest as T
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql import functions as F
+
+    star = planted_star(spark)
+    M.evaluation(star, "v2_balanced", num_trees=7, max_depth=6)
+    kw = dict(num_trees=7, max_depth=6)
+    got = {r.order_id: r for r in T.late_probabilities(star, **kw).collect()}
+    ev = M.evaluation(star, "v2_balanced", **kw)
+    test = M.prepared(star, "v2").filter("test").withColumn("product_weight_g", F.coalesce(F.col("product_weight_g").cast("double"), F.lit(ev.weight_median)))
+    want = ev.model.transform(test).select("order_id", "label", "prediction", vector_to_array("probability")[1].alias("p")).collect()
+    assert len(got) == len(want) > 50
+    for r in want:
+        assert abs(got[r.order_id].p_late - r.p) < 1e-9 and got[r.order_id].prediction == r.prediction
+        assert got[r.order_id].is_late == r.label
+
+
+def test_forest_table_without_a_broadcast_gives_the_same(spark, monkeypatch):
+    from emporion.operators import forest as T
+
+    star = planted_star(spark)
+    kw = dict(num_trees=3, max_depth=4)
+    first = sorted(map(tuple, T.late_probabilities(star, **kw).collect()))
+    monkeypatch.setattr(T, "BROADCAST_NODES", 0)
+    assert sorted(map(tuple, T.late_probabilities(star, **kw).collect())) == first
+    nodes = T.node_table(M.evaluation(star, "v2_balanced", **kw).model.stages[-1], spark)
+    leaves = nodes.filter("feature < 0")
+    assert leaves.filter("late_share IS NULL OR late_share NOT BETWEEN 0 AND 1").count() == 0
+    assert nodes.count() == 2 * leaves.count() - 3  # a binary tree has one leaf more than inner nodes
+
+
+def test_levels_are_numbered_densely_in_ranges(spark):
+    from emporion.operators import encode as N
+
+    rows = [(i, f"l{i % 700:03d}", None if i % 5 else "x") for i in range(3000)]
+    train = spark.createDataFrame(rows, "id int, a string, b string")
+    levels = N.level_table(train, ["a", "b"])
+    got = [(r.slot, r.column_name, r.level) for r in levels.orderBy("slot").collect()]
+    want = [("a", f"l{i:03d}") for i in range(700)] + [("b", N.NULL_LEVEL), ("b", "x")]
+    assert got == [(i, *w) for i, w in enumerate(want)]
+    test = spark.createDataFrame([(1, "l005", "x"), (2, "unseen", None), (3, "unseen", "new"), (4, "x", "l005")], "id int, a string, b string")
+    hot = {(r.id, r.slot) for r in N.encoded(test, levels, ["a", "b"], ["id"]).collect()}
+    assert hot == {(1, 5), (1, 701), (2, 700)}  # unseen levels, and levels of the other column: all zeros
+
+
+def test_exact_split_meets_the_quota_of_every_class(spark):
+    from emporion.operators import features as H
+
+    rows = [(i, 1, i % 3 == 0) for i in range(1000)] + [(7, 1, True)] * 400 + [(5000 + i, 1, None) for i in range(13)]
+    df = spark.createDataFrame([(o, n, None if x is None else int(x)) for o, n, x in rows], "order_id int, order_item_id int, is_late int")
+    for pct in (20, 50, 0, 100):
+        out = H.exact_split(df, test_pct=pct)
+        assert out.count() == len(rows)
+        got = {r.is_late: (r.n, r.t) for r in out.groupBy("is_late").agg(F.count("*").alias("n"), F.count_if("test").alias("t")).collect()}
+        assert got == {c: (n, (n * pct + 50) // 100) for c, n in {0: 666, 1: 734, None: 13}.items()}
+    again = [r.order_id for r in H.exact_split(df).filter("test").orderBy("order_id").collect()]
+    assert again == [r.order_id for r in H.exact_split(df.repartition(3, "order_id")).filter("test").orderBy("order_id").collect()]
+    assert H.exact_split(df.limit(0)).count() == 0
