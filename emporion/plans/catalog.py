@@ -81,10 +81,12 @@ def _geolocation(star: StarSchema) -> DataFrame:
 
 def _warehouse_load_counts(star: StarSchema) -> DataFrame:
     """A1-A3, A7, A9 end to end: the adapter's tables are exported as raw CSV files (A7),
-    loaded by the ingest plan (A1 typed read, A4 patch, A5 reduce, A2 overwrite) into a
-    Parquet warehouse under the shared checkpoint folder, then raw records (A9) are
+    loaded by the ingest plan (A1 typed read, A4 patch, A5 reduce, A2 versions, independent tables
+    at the same time) into a warehouse under the shared checkpoint folder, then raw records (A9) are
     reconciled with loaded rows, and the loaded values are summed up: non-null cells and the sum
     of all integer and decimal cells of each table.  Both copies are deleted afterwards."""
+    from concurrent.futures import ThreadPoolExecutor
+
     from pyspark.sql import functions as F
     from pyspark.sql import types as T
 
@@ -92,28 +94,66 @@ def _warehouse_load_counts(star: StarSchema) -> DataFrame:
     from emporion.session import drop_folder, scratch_dir
     from emporion.sources import csv_io
     from emporion.sources.adapter import ADAPTER_MISSING_CATEGORIES
+    from emporion.sources.versions import Warehouse, refresh
 
     spark = star.spark
     root = scratch_dir(spark, "warehouse")
-    raw_dir, out_dir = f"{root}/raw", f"{root}/tables"
+    raw_dir, house = f"{root}/raw", Warehouse(spark, f"{root}/tables")
     tables = star.tables()
     tables["dim_geolocation"] = star.geolocation_raw
-    csv_io.export_raw_files(tables, raw_dir)
-    written = csv_io.load_warehouse(spark, raw_dir, out_dir, patch=ADAPTER_MISSING_CATEGORIES)
-    rows = []
-    for name in LOAD_ORDER:
+
+    def counted(name: str) -> tuple:
         path = f"{raw_dir}/{TABLES[name].raw_file}"
         raw = csv_io.count_records(spark, path, bool(TABLES[name].text_columns))
-        loaded = spark.read.parquet(written[name])
+        loaded = house.table(name)
         numbers = [f.name for f in loaded.schema if isinstance(f.dataType, (T.IntegralType, T.DecimalType))]
         cells = sum((F.count(c) for c in loaded.columns), F.lit(0))
         total = sum((F.coalesce(F.sum(F.col(c).cast("decimal(28,6)")), F.lit(0)) for c in numbers), F.lit(0))
-        n, filled, value = loaded.agg(F.count(F.lit(1)), cells, F.round(total, 2).cast("double")).first()
-        rows.append((name, raw, n, filled, value))
+        return name, raw, *loaded.agg(F.count(F.lit(1)), cells, F.round(total, 2).cast("double")).first()
+
+    with ThreadPoolExecutor(4) as pool:  # independent small jobs
+        list(pool.map(lambda x: csv_io.export_raw_files(dict([x]), raw_dir), tables.items()))
+        said = refresh(spark, raw_dir, house.root, patch=ADAPTER_MISSING_CATEGORIES)
+        if set(said.values()) != {"loaded"}:
+            raise RuntimeError(f"the load did not succeed: {said}")
+        rows = list(pool.map(counted, LOAD_ORDER))
     drop_folder(spark, root)
     return spark.createDataFrame(rows, "table_name string, raw_records bigint, loaded_rows bigint, filled_cells bigint, number_sum double")
 
 
+def _quarantined_cells(star: StarSchema) -> DataFrame:
+    """A1 + C5 on raw text: items and orders exported as CSV, with cells spoiled by rules of the order
+    id, and read with a quarantine.  One row per broken rule: records and rows that were loaded."""
+    from pyspark.sql import functions as F
+
+    from emporion.session import drop_folder, scratch_dir
+    from emporion.sources import csv_io
+
+    spark, root = star.spark, scratch_dir(star.spark, "spoiled")
+    turn = F.col("order_id") % 50
+
+    def spoil(column: str, *cells: tuple[int, str | None]) -> F.Column:
+        out = F.col(column).cast("string")
+        for at, text in cells:
+            out = F.when(turn == at, F.lit(text)).otherwise(out)
+        return out.alias(column)
+
+    items = star.items.select(
+        "order_id", "order_item_id", "product_id", spoil("seller_id", (3, None)), "shipping_limit_date",
+        spoil("price", (0, "n/a?"), (1, "123456789012.00"), (2, "-5.00")), "freight_value")
+    orders = star.orders.select(
+        "order_id", "customer_id", spoil("order_status", (4, "waiting for the carrier to come")),
+        spoil("order_purchase_timestamp", (5, "yesterday")), "order_delivered_customer_date")
+    parts = []
+    for name, df in (("fact_order_items", items), ("dim_orders", orders)):
+        good, bad = csv_io.read_checked_csv(spark, csv_io.write_csv(df, f"{root}/{name}"), name)
+        loaded = good.count()
+        found = bad.groupBy("table_name", "column_name", "rule").agg(F.count_distinct("file", "record_no").alias("records")).collect()
+        parts += [(*r, loaded) for r in found]  # a row a rule
+    drop_folder(spark, root)
+    return spark.createDataFrame(parts, "table_name string, column_name string, rule string, records bigint, loaded_rows bigint")
+
+
 def _sql_over_views(star: StarSchema) -> DataFrame:
     """A SQL text run on the star schema's views."""
     from emporion.plans.oracle import A6_SQL
@@ -181,6 +221,7 @@ QUALITY: dict[str, Query] = {
     "c4_duplicates": _q(C.duplicates),
     "c4c_people_vs_records": _q(C.people_vs_records),
     "c5_declared_constraints": _q(C.declared_constraints),
+    "c5b_quarantined_cells": _q(_quarantined_cells),
     "c6_orphans": _q(C.orphans),
     "c7_value_ranges": _q(C.value_ranges),
     "c8_delivered_without_date": _q(C.delivered_without_date, delivered_status=DELIVERED_STATUS),

@@ -298,6 +298,22 @@ class StoredStarSchema(StarSchema):
     deals = property(lambda self: self._stored("dim_closed_deals"))
 
 
+class VersionedStarSchema(StoredStarSchema):
+    """The star schema of a versioned warehouse (:mod:`emporion.sources.versions`): the tables of its
+    newest manifest, or of the one with the given number, all of the same moment."""
+
+    def __init__(self, spark: SparkSession, root: str, version: int | None = None):
+        from emporion.sources.versions import Warehouse
+
+        super().__init__(spark, root)
+        self.tables_at = Warehouse(spark, root).manifest(version)
+
+    def _stored(self, name: str) -> DataFrame:
+        from emporion.schemas import TABLES
+
+        return self.spark.read.schema(TABLES[name].spark_schema).parquet(f"{self.root}/{self.tables_at[name]['path']}")
+
+
 class FrameStar(StarSchema):
     """The same interface over DataFrames supplied directly (hand-made fixtures, or tables
     produced by an earlier job).  Missing tables raise ``KeyError`` when used."""

@@ -12,12 +12,13 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emporion.schemas import LOAD_ORDER, TABLES, Table
-from emporion.sources.warehouse import KNOWN_MISSING_CATEGORIES, full_refresh, insert_if_absent, reduce_geolocation
+from emporion.schemas import LOAD_ORDER, TABLES, Col, Table
+from emporion.session import materialize
+from emporion.sources.warehouse import KNOWN_MISSING_CATEGORIES, full_refresh, insert_if_absent, reduce_geolocation, values_table
 
 # The text cells pandas' CSV reader treats as missing by default.
 NULL_TOKENS = [
@@ -80,6 +81,97 @@ def read_table_csv(spark: SparkSession, path: str, table: str | Table, with_seq:
     return type_columns(raw, meta, keep_seq=with_seq)
 
 
+CORRUPT, FILE, BLOCK = "_corrupt", "_file", "_block"
+QUARANTINE = "table_name string, file string, record_no bigint, column_name string, rule string, value string, record string"
+
+
+def _cell(c: Col, table: Table) -> Column:
+    """A raw cell with its NULL tokens gone."""
+    v = F.col(f"`{c.name}`")
+    return F.when(~(v == "" if c.name in table.text_columns else v.isin(NULL_TOKENS)), v)
+
+
+def cell_rules(table: Table, present: set[str]) -> list[tuple[str, str, Column]]:
+    """(column, rule, broken) for the raw text cells of a table: what an INSERT into the declared
+    table would refuse, judged without raising."""
+    rules = []
+    for c in table.columns:
+        if c.name not in present:
+            continue
+        v = _cell(c, table)
+        if c.not_null:
+            rules.append((c.name, "not_null", v.isNull()))
+        if c.max_len:
+            rules.append((c.name, f"max_length_{c.max_len}", F.length(v) > c.max_len))
+        if isinstance(c.dtype, T.DecimalType):
+            rules.append((c.name, f"decimal_{c.dtype.precision}_{c.dtype.scale}", v.isNotNull() & v.try_cast(c.dtype).isNull()))
+        elif not isinstance(c.dtype, T.StringType):
+            rules.append((c.name, f"type_{c.dtype.simpleString()}", v.isNotNull() & v.try_cast(c.dtype).isNull()))
+    for name, low in table.min_values:
+        if name in present:
+            rules.append((name, f"at_least_{low:g}", _cell(table.col(name), table).try_cast(table.col(name).dtype) < low))
+    for name, low, high in table.ranges:
+        if name in present:
+            rules.append((name, f"between_{low:g}_and_{high:g}", ~_cell(table.col(name), table).try_cast(table.col(name).dtype).between(low, high)))
+    return rules
+
+
+def read_checked_csv(spark: SparkSession, path: str, table: str | Table, for_load: bool = False,
+                     patch: list[tuple[str, str]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """A1 that does not stop at bad records: (typed rows, quarantine).
+
+    A record that cannot be parsed (too many or too few cells, an open quote) or breaks a rule of the
+    registry is left out of the rows and listed in the quarantine, once for each broken rule, with its
+    file and its number in that file (the header is not counted), the cell and the whole record.
+    Columns that a file lacks are NULL; one that is declared NOT NULL is listed once, without a record,
+    and breaks no record.  The parsed text is written once to the shared folder, so that rows, quarantine
+    and record numbers come from one reading."""
+    meta = TABLES[table] if isinstance(table, str) else table
+    free = bool(meta.text_columns)
+    names = read_raw_text(spark, path, free).columns
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
+    raw = _reader(spark, free).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).schema(schema).csv(path)
+    raw = materialize(raw.select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias(BLOCK),
+                                 F.monotonically_increasing_id().alias(SEQ)), "raw-text")
+    rules = cell_rules(meta, set(names))
+    fine = F.col(CORRUPT).isNull()
+    cells = {c.name: _cell(c, meta) for c in meta.columns if c.name in names}
+    broken = [F.when(fine & F.coalesce(bad, F.lit(False)), F.struct(F.lit(c).alias("c"), F.lit(r).alias("r"), cells[c].alias("v"))) for c, r, bad in rules]
+    broken.append(F.when(~fine, F.struct(F.lit(None).cast("string").alias("c"), F.lit("malformed").alias("r"), F.lit(None).cast("string").alias("v"))))
+    judged = raw.withColumn("_broken", F.filter(F.array(*broken), lambda b: b.isNotNull()))
+    good = judged.filter(F.size("_broken") == 0)
+
+    blocks = raw.groupBy(FILE, BLOCK).agg(F.count(F.lit(1)).alias("n"), F.min(SEQ).alias("first"))  # a row a split
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(FILE).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = blocks.select(FILE, BLOCK, (before - F.col("first") + 1).alias("offset"))
+    record = F.coalesce(CORRUPT, F.to_json(F.struct(*[F.col(f"`{n}`") for n in names])))
+    bad = judged.filter(F.size("_broken") > 0).join(offsets, [FILE, BLOCK]).select(
+        F.lit(meta.name).alias("table_name"), F.col(FILE).alias("file"), (F.col("offset") + F.col(SEQ)).alias("record_no"),
+        F.explode("_broken").alias("b"), record.alias("record"),
+    ).select("table_name", "file", "record_no", F.col("b.c").alias("column_name"), F.col("b.r").alias("rule"), F.col("b.v").alias("value"), "record")
+    absent = [(meta.name, path, None, c.name, "absent", None, None) for c in meta.columns if c.not_null and c.name not in names]
+    bad = bad.unionByName(values_table(spark, absent, QUARANTINE))
+    if for_load:
+        seq = F.struct(F.col(FILE), F.col(BLOCK), F.col(SEQ))
+        return _shaped(spark, type_columns(good.withColumn(SEQ, seq), meta, keep_seq=meta.name == "dim_geolocation"), meta, patch), bad
+    return type_columns(good, meta), bad
+
+
+def _shaped(spark: SparkSession, df: DataFrame, meta: Table, patch: list[tuple[str, str]] | None) -> DataFrame:
+    """A table on its way into the warehouse: geolocation reduced (A5), translations patched (A4)."""
+    if meta.name == "dim_geolocation":
+        return reduce_geolocation(df)
+    if meta.name == "dim_product_category_translation":
+        return insert_if_absent(spark, df, patch if patch is not None else KNOWN_MISSING_CATEGORIES, "product_category_name")
+    return df
+
+
+def read_for_load(spark: SparkSession, path: str, name: str, patch: list[tuple[str, str]] | None = None) -> DataFrame:
+    """A raw file as it goes into the warehouse."""
+    meta = TABLES[name]
+    return _shaped(spark, read_table_csv(spark, path, meta, with_seq=name == "dim_geolocation"), meta, patch)
+
+
 def count_records(spark: SparkSession, path: str, free_text: bool = True) -> int:
     """Records (not lines, if ``free_text``) in a raw file; no column is materialised."""
     return read_raw_text(spark, path, free_text).count()
@@ -109,21 +201,15 @@ def load_warehouse(spark: SparkSession, raw_dir: str, out_dir: str,
     """A2 + A3 (+ A4, A5): load every raw file into a Parquet table, parents first.
 
     ``raw_files`` maps a table to its source file name inside ``raw_dir`` (default: the
-    registry's name).  Each table is an ``overwrite`` of its own folder, so a rerun
+    registry's name).  Each table replaces its own folder, so a rerun
     replaces rather than appends; the category patch is applied right after the
     translation table, and the geolocation file is reduced to one row per zip prefix on
-    the way in."""
+    the way in.  :func:`emporion.sources.versions.refresh` does the same with versions, resumably and
+    with independent tables at the same time."""
     written = {}
     for name in LOAD_ORDER:
-        meta = TABLES[name]
-        src = os.path.join(raw_dir, (raw_files or {}).get(name, meta.raw_file))
-        if name == "dim_geolocation":
-            df = reduce_geolocation(read_table_csv(spark, src, meta, with_seq=True))
-        else:
-            df = read_table_csv(spark, src, meta)
-        if name == "dim_product_category_translation":
-            df = insert_if_absent(spark, df, patch if patch is not None else KNOWN_MISSING_CATEGORIES,
-                                  "product_category_name")
+        src = os.path.join(raw_dir, (raw_files or {}).get(name, TABLES[name].raw_file))
+        df = read_for_load(spark, src, name, patch)
         written[name] = full_refresh(df, os.path.join(out_dir, name))
     return written
 

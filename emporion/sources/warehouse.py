@@ -2,14 +2,18 @@
 
 * :func:`insert_if_absent` — A4/F6: add known rows whose key is missing, never overwrite.
 * :func:`reduce_geolocation` — A5: one row per zip prefix (mean coordinates, first city/state).
-* :func:`full_refresh` — A2: overwrite a table so that a rerun yields the same table.
+* :func:`full_refresh` — A2: replace a table so that a rerun yields the same table and a failure keeps the old one.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emporion.session import drop_folder
+
 # The two category translations the raw translation file lacks
 # (Portuguese name, English name), inserted if absent after the load.
 KNOWN_MISSING_CATEGORIES = [
@@ -107,12 +111,30 @@ def reduce_geolocation(
 
 
 def full_refresh(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> str:
-    """A2: truncate-and-load.  ``overwrite`` replaces the folder's content as one job, so a
-    rerun produces the same table; a failed task is retried by Spark without duplicates."""
-    w = df.write.mode("overwrite").format(fmt)
+    """A2: truncate-and-load.  The new content is written beside the folder and takes its place when
+    it is complete: a job that fails leaves the old table as it was, a rerun produces the same table, and a
+    failed task is retried by Spark without duplicates.  (Between the two renames there is a moment
+    without a table; :class:`emporion.sources.versions.Warehouse` has none.)"""
+    spark = df.sparkSession
+    head, _, name = path.rstrip("/").rpartition("/")
+    mark = uuid.uuid4().hex[:12]
+    staged, old = f"{head}/.{name}.staged-{mark}", f"{head}/.{name}.old-{mark}"
+    w = df.write.format(fmt)
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.save(path)
+    try:
+        w.save(staged)
+    except BaseException:
+        drop_folder(spark, staged)
+        raise
+    jpath = spark._jvm.org.apache.hadoop.fs.Path
+    fs = jpath(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(jpath(path)) and not fs.rename(jpath(path), jpath(old)):
+        raise OSError(f"cannot move {path} away")
+    if not fs.rename(jpath(staged), jpath(path)):
+        raise OSError(f"cannot move {staged} to {path}; the old table is in {old}")
+    fs.delete(jpath(old), True)
+    spark.catalog.refreshByPath(path)  # file lists that this session keeps
     return path
 
 
