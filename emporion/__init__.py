@@ -9,7 +9,6 @@ Layers:
                   seller funnel, KPIs, data-quality checks, features and model evaluation.
 * ``plans``     — the named query catalogue (what ``__spark_entry__`` exposes) and the
                   equivalent DuckDB SQL used as a correctness oracle.
-* ``streaming`` — intentionally empty: the analysed application has no stream processing.
 """
 
 from emporion.session import build_session, scratch_dir

@@ -16,6 +16,7 @@ import sys
 import time
 from collections import Counter
 
+from emporion.session import drop_all_scratch
 from emporion.sources.adapter import DRIVER_TABLES, driver_path
 
 
@@ -60,6 +61,7 @@ def compare(spark, sf_dir: str, names: list[str] | None = None, verbose: bool =
         try:
             df = qs[name](spark, sf_dir)
             s_cols, s_rows = df.columns, [tuple(r) for r in df.collect()]
+            drop_all_scratch(spark)
         except Exception as e:  # pragma: no cover - reported
             report[name] = {"status": "spark_error", "error": repr(e)[:400]}
             if verbose:

@@ -87,7 +87,9 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint root."""
     root = checkpoint_root(spark)
     sep = "" if root.endswith("/") else "/"
-    return f"{root}{sep}{name}-{uuid.uuid4().hex[:12]}"  # the writer creates it
+    path = f"{root}{sep}{name}-{uuid.uuid4().hex[:12]}"  # the writer creates it
+    spark.__dict__.setdefault("_emporion_folders", []).append(path)
+    return path
 
 
 def materialize(df, name: str):
@@ -113,6 +115,15 @@ def drop_folder(spark: SparkSession, path: str) -> None:
         pass
 
 
+def drop_all_scratch(spark: SparkSession) -> int:
+    """Delete every scratch folder of this session, once none of its results is read any more
+    (results are lazy: only their reader knows when).  How many there were."""
+    folders = spark.__dict__.pop("_emporion_folders", [])
+    for path in folders:
+        drop_folder(spark, path)
+    return len(folders)
+
+
 def drop_scratch(df) -> None:
     """Delete the folder behind a :func:`materialize`d DataFrame once nothing reads it."""
     path = getattr(df, "_emporion_scratch", None)
