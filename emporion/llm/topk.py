@@ -4,8 +4,8 @@ Vectors become whole numbers, floor(scale * x).  The largest inner product is th
 once every candidate has a further coordinate that brings all to the same norm: the squared
 distance to a query is then |q|^2 + R - 2 q.x, with R the largest squared norm.
 
-Index: equal vectors are one class (with the k + 1 smallest ids, all that can ever be among a
-query's best k).  A class belongs to its nearest pivot; the classes of a pivot, sorted by their
+Index: equal vectors are one class (with its k + 1 smallest ids, each at most k times, all that
+can ever be among a query's best k).  A class belongs to its nearest pivot; the classes of a pivot, sorted by their
 distance from it, are cut into annuli, each stored in packed pages of at most ``page_rows``
 rows.  Pivots are a bounded sample; they steer the search and never its result.
 
@@ -18,9 +18,10 @@ as pivots, since an annulus of a large table spans several stored pages.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part;
 shorter vectors count as filled up with zeros; an empty vector scores 0 with everything; of
-rows with equal ids the one with the smallest vector takes part; a null id takes no part; fewer
-candidates than k give all; an empty table gives an empty result.  Components and scores must
-fit 64-bit numbers.
+rows with equal ids each is a candidate, and of a query id all its rows ask together (the best
+pairs of any of them), none of them being a candidate for that id; a null id takes no part; fewer
+candidates than k give all; other columns are not read; an empty table gives an empty result.
+Components and scores must fit 64-bit numbers.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emporion.llm.common import materialize, ship_code
+from emporion.session import drop_scratch
 
 SCALE, TOP_K, EVERY = 256, 5, 50  # fixed values
 PIVOTS = 64
@@ -50,8 +52,6 @@ def whole_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     fine = fine & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
     v = F.transform(x, lambda c: F.floor(c * F.lit(scale)).cast("long"))
     rows = table.where(F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
-    if not rows.groupBy("vec_id").count().where("count > 1").isEmpty():
-        rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
     last = F.size("v") - F.array_position(F.reverse(F.transform("v", lambda c: c != 0)), True) + 1
     return rows.withColumn("v", F.when(F.array_contains(F.transform("v", lambda c: c != 0), True), F.slice("v", 1, last.cast("int"))).otherwise(F.array().cast("array<long>")))
 
@@ -63,6 +63,15 @@ def classes_of(rows: DataFrame, k: int) -> DataFrame:
     return few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
 
 
+def classes_of_repeated(rows: DataFrame, k: int) -> DataFrame:
+    """As :func:`classes_of`, where ids may have several rows: the k + 1 smallest ids, each as often as
+    it has the vector, at most k times."""
+    few = rows.groupBy("v", "vec_id").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    held = few.withColumn("rank", rank).where(F.col("rank") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list(F.struct("vec_id", "n"))).alias("x"))
+    return held.select("v", F.flatten(F.transform("x", lambda x: F.array_repeat(x["vec_id"], x["n"]))).alias("ids"))
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     """A list column as rows of a matrix, filled up with zeros."""
     lens = np.asarray(column.value_lengths().to_numpy(zero_copy_only=False), np.int64)
@@ -135,8 +144,8 @@ def build_index(classes: DataFrame, dim: int, most: int, pivots: np.ndarray, pag
     return materialize(packed.mapInArrow(pack, schema), "topk-index")
 
 
-def _scored(k: int, dim: int, exact_float: bool):
-    """The k + 1 best rows of a page for every query that asks for it."""
+def _scored(keep: int, most: int | None, dim: int, exact_float: bool):
+    """The ``keep`` best rows of a page for every query that asks for it, at most ``most`` of one id."""
 
     def run(batches):
         for b in batches:
@@ -151,14 +160,20 @@ def _scored(k: int, dim: int, exact_float: bool):
                 else:
                     score = q @ x.T
                 for qid, row in zip(np.frombuffer(qids, np.int64).tolist(), score):
-                    if len(row) > k + 1:  # classes at least as good as the (k + 1)-th
-                        few = np.flatnonzero(row >= np.partition(row, len(row) - k - 1)[len(row) - k - 1])
+                    if most is None and len(row) > keep:  # classes at least as good as the last to keep
+                        few = np.flatnonzero(row >= np.partition(row, len(row) - keep)[len(row) - keep])
                     else:
                         few = np.arange(len(row))
                     n = counts[few]
                     who = ids[np.repeat(first[few] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
                     own = np.repeat(row[few], n)
-                    order = np.lexsort((who, -own))[: k + 1]
+                    order = np.lexsort((who, -own))
+                    if most is not None:  # the first rows of each id
+                        by = np.argsort(who[order], kind="stable")
+                        first_of = np.concatenate([[True], np.diff(who[order][by]) != 0])
+                        nth = np.arange(len(by)) - np.maximum.accumulate(np.where(first_of, np.arange(len(by)), 0))
+                        order = order[np.sort(by[nth < most])]
+                    order = order[:keep]
                     out_q.append(qid)
                     out_best.append([{"minus": -int(own[i]), "id": int(who[i])} for i in order.tolist()])
             if out_q:
@@ -171,7 +186,7 @@ BEST = pa.list_(pa.struct([("minus", pa.int64()), ("id", pa.int64())]))
 BEST_SQL = "array<struct<minus:long,id:long>>"
 
 
-def _asker(outlines: np.ndarray, most: int, dim: int, k: int, width: int):
+def _asker(outlines: np.ndarray, most: int, dim: int, keep: int, width: int):
     """For queries (qid, v, d, best, upto), ``d`` their distances to the pivots: the next annuli
     of each that may hold one of its best, as rows (annulus, qids, queries)."""
     annulus, pivot = outlines["annulus"], outlines["pivot"]
@@ -189,8 +204,8 @@ def _asker(outlines: np.ndarray, most: int, dim: int, k: int, width: int):
                 for i, (best, upto) in enumerate(zip(part.column(3).to_pylist(), part.column(4).to_pylist())):
                     bound = np.maximum(0, np.maximum(low - d[i, pivot], d[i, pivot] - high))
                     order = np.lexsort((annulus, bound))[upto : upto + width]
-                    if len(best) > k:  # the (k + 1)-th best is known: annuli beyond it are passed over
-                        reach = np.sqrt(max(0.0, norm[i] + most + 2.0 * best[k]["minus"])) + slack[i]
+                    if len(best) >= keep:  # the last to keep is known: annuli beyond it are passed over
+                        reach = np.sqrt(max(0.0, norm[i] + most + 2.0 * best[keep - 1]["minus"])) + slack[i]
                         order = order[bound[order] <= reach]
                     for a in order.tolist():
                         asked.setdefault(a, []).append(i)
@@ -218,7 +233,10 @@ def top_k(
     if not count:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     dim = max(1, dim)
-    classes = materialize(classes_of(rows, k), "topk-classes")
+    # A query's own rows are left out at the end: so many more than k are kept, and no more of any id.
+    again = min(k, rows.groupBy("vec_id").count().agg(F.max("count")).first()[0])
+    keep = k + again
+    classes = materialize(classes_of(rows, k) if again == 1 else classes_of_repeated(rows, k), "topk-classes")
     sample = classes.orderBy(F.xxhash64("v")).limit(n_pivots).select("v").collect()  # at most n_pivots rows
     pivots = np.array([list(r["v"]) + [0] * (dim - len(r["v"])) for r in sample], np.int64)
     p_left = np.maximum(0, most - (pivots.astype(np.float64) ** 2).sum(1))
@@ -241,20 +259,30 @@ def top_k(
     state = asked.select("v").distinct().mapInArrow(measure, "v array<long>, d array<double>")
     state = state.select(F.monotonically_increasing_id().alias("qid"), "v", "d", F.array().cast(BEST_SQL).alias("best"), F.lit(0).cast("long").alias("upto"))
     state = materialize(state, "topk-state")  # fixes the numbers of the queries and their distances
-    score = _scored(k, dim, float(most) < 2**52)
+    score = _scored(keep, k if again > 1 else None, dim, float(most) < 2**52)
     ask_schema, hit_schema = "annulus long, qids binary, q binary", f"qid long, best {BEST_SQL}"
     width, upto = first, 0
     while upto < len(outlines):
-        ask = materialize(state.mapInArrow(_asker(outlines, most, dim, k, width), ask_schema), "topk-asks")
+        ask = materialize(state.mapInArrow(_asker(outlines, most, dim, keep, width), ask_schema), "topk-asks")
         if ask.isEmpty():
             break
         met = index.select("annulus", "vectors", "ids", "id_counts").join(ask, "annulus").select("vectors", "ids", "id_counts", "qids", "q")
         hits = met.mapInArrow(score, hit_schema).groupBy("qid").agg(F.flatten(F.collect_list("best")).alias("more"))
         upto += width
-        best = F.slice(F.array_sort(F.concat("best", F.coalesce("more", F.array().cast(BEST_SQL)))), 1, k + 1)
-        state = materialize(state.join(hits, "qid", "left").select("qid", "v", "d", best.alias("best"), F.lit(upto).cast("long").alias("upto")), "topk-state")
+        joined = state.join(hits, "qid", "left").withColumn("all", F.array_sort(F.concat("best", F.coalesce("more", F.array().cast(BEST_SQL)))))
+        every_id = F.filter("all", lambda x, i: F.size(F.filter(F.slice("all", 1, i), lambda y: y["id"] == x["id"])) < k) if again > 1 else F.col("all")
+        before = state
+        state = materialize(joined.select("qid", "v", "d", F.slice(every_id, 1, keep).alias("best"), F.lit(upto).cast("long").alias("upto")), "topk-state")
+        drop_scratch(ask)  # nothing reads the round before any more
+        drop_scratch(before)
         width *= GROWTH
+    drop_scratch(index)
+    drop_scratch(classes)
     found = asked.join(state.select("v", "best"), "v")
     mine = F.slice(F.filter("best", lambda x: x["id"] != F.col("vec_id")), 1, k)
     found = found.select(F.col("vec_id").alias("query_id"), F.posexplode(mine).alias("pos", "hit"))
-    return found.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.id").alias("vec_id"), (-F.col("hit.minus")).alias("score"))
+    found = found.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.id").alias("vec_id"), (-F.col("hit.minus")).alias("score"))
+    if again > 1:  # several rows of a query id: the best pairs of all of them
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        found = found.withColumn("rank", place).where(F.col("rank") <= k)
+    return found

@@ -239,3 +239,25 @@ def test_top_k(spark):
     few = [(0, [1.0, 2.0]), (50, [0.5, 0.5])]
     assert rows_of(topk.top_k(spark.createDataFrame(few, "vec_id long, embedding array<float>")), *columns) == brute_top(few)
     assert topk.top_k(table.limit(0)).count() == 0
+
+
+def test_top_k_keeps_every_row_of_repeated_ids(spark):
+    import duckdb
+    import pyarrow as pa
+
+    from emporion.llm.queries import OP10
+
+    def both(rows):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS v", "2 AS qid", "3 AS best", "4 AS ids")
+        con = duckdb.connect()
+        con.register("embeddings", pa.table({"vec_id": pa.array([r[0] for r in rows], pa.int64()), "embedding": pa.array([r[1] for r in rows], pa.list_(pa.float64()))}))
+        got = sorted(tuple(r) for r in topk.top_k(df, n_pivots=5, page_rows=16, first=2).select("query_id", "rank", "vec_id", "score").collect())
+        return got, sorted(con.execute(OP10).fetchall())
+
+    got, want = both([(0, [1.0, 0.0]), (1, [0.2, 0.0]), (2, [-1.0, 0.0]), (2, [51.0, 0.0]), (3, [0.1, 0.0])])
+    assert got == want and got[0] == (0, 1, 2, 256 * 256 * 51)
+    rng = random.Random(4)
+    rows = [(rng.randrange(120), [rng.gauss(0, 0.3) for _ in range(6)]) for _ in range(600)]
+    rows += [(50, rows[7][1])] * 9 + [(77, [2.0] * 6)] * 40 + [(100, [3.0, 2.0, 2.0, 2.0, 2.0, float(i)]) for i in range(30)]
+    got, want = both(rows)
+    assert got == want
