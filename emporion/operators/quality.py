@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emporion.functions.quantiles import exact_quantiles_of
+from emporion.functions.quantiles import quantiles_and
 from emporion.operators.rules import OBSERVATION, absent_columns, observe, raw_counts, rules_of
 from emporion.schemas import TABLES
 from emporion.sources.adapter import StarSchema
@@ -191,6 +191,24 @@ def people_vs_records(star: StarSchema) -> DataFrame:
     ).withColumn("returning_records", F.col("total_records") - F.col("distinct_people"))
 
 
+def people_by_state(star: StarSchema) -> DataFrame:
+    """C4c per state, from bitmaps that merge: customer records and distinct people of two loads (by
+    the parity of the customer id), each kept as bitmaps over one dictionary of people and merged
+    without reading either load again.  A person may live in several states, or come in both loads."""
+    from emporion.functions import distinct as D
+    from emporion.session import materialize
+
+    customers = star.customers.select("customer_id", F.col("customer_unique_id").alias("key"), "customer_state")
+    even = F.pmod(F.xxhash64("customer_id"), F.lit(2)) == 0
+    first, second = customers.filter(even), customers.filter(~even)
+    known = D.extended(None, first.select("key"))
+    loads = [materialize(D.bitmaps(first, known, ["customer_state"]), "people-bitmaps")]
+    known = D.extended(known, second.select("key"))
+    loads.append(materialize(D.bitmaps(second, known, ["customer_state"]), "people-bitmaps"))
+    merged = D.counted(D.merged(loads, ["customer_state"]), ["customer_state"])
+    return merged.select("customer_state", F.col("rows").alias("records"), F.col("distinct_keys").alias("people"))
+
+
 # ---- C5 column rules ----------------------------------------------------------------------
 def declared_constraints(star: StarSchema, observed: DataFrame | None = None) -> DataFrame:
     """NOT NULL, VARCHAR length and decimal-fit rules of the registry, one scan per table, and
@@ -283,10 +301,10 @@ def delivered_without_date(star: StarSchema, delivered_status: str, observed: Da
 def describe(df: DataFrame, columns: list[str], scale: int = 6) -> DataFrame:
     """Count, mean, sample std, min, exact quartiles, max per column (long format).
 
-    Moments are one aggregate; quartiles come from narrowing histograms, never from a sort or
-    from one task holding all values."""
+    Moments come from the pass that sketches the quartiles, which a counting pass settles: never from a
+    sort or from one task holding all values."""
     spark = df.sparkSession
-    moments = df.agg(*[
+    quartiles, moments = quantiles_and(df, columns, [0.25, 0.5, 0.75], [
         e for c in columns for e in (
             F.count(c).cast("bigint").alias(f"{c}__count"),
             F.avg(F.col(c).cast("double")).alias(f"{c}__mean"),
@@ -294,8 +312,7 @@ def describe(df: DataFrame, columns: list[str], scale: int = 6) -> DataFrame:
             F.min(F.col(c).cast("double")).alias(f"{c}__min"),
             F.max(F.col(c).cast("double")).alias(f"{c}__max"),
         )
-    ]).first()
-    quartiles = exact_quantiles_of(df, columns, [0.25, 0.5, 0.75])
+    ])
     rows = []
     for c in columns:
         q = quartiles[c]

@@ -220,6 +220,7 @@ QUALITY: dict[str, Query] = {
     "c3_status_dependent_nulls": _q(C.status_dependent_nulls),
     "c4_duplicates": _q(C.duplicates),
     "c4c_people_vs_records": _q(C.people_vs_records),
+    "c4d_people_by_state": _q(C.people_by_state),
     "c5_declared_constraints": _q(C.declared_constraints),
     "c5b_quarantined_cells": _q(_quarantined_cells),
     "c6_orphans": _q(C.orphans),

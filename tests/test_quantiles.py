@@ -45,3 +45,37 @@ def test_several_columns_at_once(spark):
     bb = [y for i, y in enumerate(b) if i % 7]
     assert np.allclose(q["a"], np.quantile(a, [0.1, 0.5, 0.9]))
     assert np.allclose(q["b"], np.quantile(bb, [0.1, 0.5, 0.9]))
+
+
+def test_a_sketch_and_one_count_settle_values_without_large_ties(spark):
+    from pyspark.sql import functions as F
+
+    from emporion.functions import quantiles as Q
+
+    df = spark.range(0, 60_000, 1, 6).select((F.xxhash64("id") % 1_000_000_007).cast("double").alias("x"), (F.col("id") % 7).alias("few"), F.lit(None).cast("int").alias("none"))
+    passes, count = [], Q._values_at
+
+    def counted(*a):
+        got = count(*a)
+        passes.append(got[1])
+        return got
+
+    Q._values_at = counted
+    try:
+        got = Q.exact_quantiles_of(df, ["x", "few", "none"], [0.0, 0.25, 0.5, 0.75, 1.0])
+    finally:
+        Q._values_at = count
+    assert passes == [1]  # beside the sketch: two scans in all
+    rows = sorted(r.x for r in df.select("x").collect())
+    at = lambda p: rows[int((len(rows) - 1) * p)] + ((len(rows) - 1) * p % 1) * (rows[min(len(rows) - 1, int((len(rows) - 1) * p) + 1)] - rows[int((len(rows) - 1) * p)])
+    assert got["x"] == [at(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0)]
+    assert got["few"] == [0, 1, 3, 5, 6] and got["none"] == [None] * 5
+
+
+def test_brackets_that_miss_their_rank_only_cost_passes(spark):
+    from emporion.functions import quantiles as Q
+
+    df = spark.range(0, 5000, 1, 3).selectExpr("CAST(id * id AS DOUBLE) AS x")
+    wrong = {("x", 10): (1e6, 2e6), ("x", 2500): (0.0, 1.0), ("x", 4999): (5.0, 5.0), ("x", 3000): (9e6, 9e6)}
+    got, passes = Q._values_at(df, wrong)
+    assert got == {("x", r): float(r * r) for r in (10, 2500, 4999, 3000)} and 1 < passes <= 4
