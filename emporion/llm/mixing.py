@@ -102,7 +102,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """One row per document: ``doc_id, oid, rk, source, size, source_size, target, copies,
     taken``.
 
-    Only the per-source sums (a row a source) reach the driver, to share out the targets."""
+    Only the per-source sums (a row a source) reach the driver, to share out the targets: some 100
+    bytes a source, so the number of sources must be one that the driver can hold (tested with
+    100,000)."""
     rows = materialize(sized(docs, id_col, text_col, source_col), "mix-sizes")
     sums = [(r["source"], r["n"]) for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()]
     aim = targets(sums, weights, share, most)

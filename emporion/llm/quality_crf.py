@@ -6,15 +6,18 @@ chain's transitions couple neighbouring labels.  Trained by maximum likelihood o
 documents, each of whose lines carries the document's label.  The score of a document is the
 mean of its lines' forward-backward marginals for "good", weighted by line length.
 
-The model is fitted on a bounded sample of labelled documents (``TRAIN_DOCS``, those with the
-smallest hash of their id) by a fixed number of gradient steps; features of the sample are
-computed by Spark and are the only thing that reaches the driver.  Scoring is one pass over all
+The model is fitted on a bounded sample of labelled documents (at most ``TRAIN_DOCS``, those with the
+smallest hash of their id, one row of each id, and of these whole documents in that order that have
+``TRAIN_LINES`` lines or fewer together) by a fixed number of gradient steps; features of the sample are
+computed by Spark and are, with the sample's ids, the only thing that reaches the driver.  Scoring is one pass over all
 documents without a shuffle; ids, sources, languages and labels are no inputs of a score.
 
 Defined cases: a null or empty text is one empty line; documents without a label, or with a null
 one, are scored but not learned from; of several labels of a document the smallest counts; with
-labels of one kind only, or none, every score is 0.5; null and repeated ids give a row each; an
-empty table gives an empty result.
+labels of one kind only, or none, every score is 0.5; null and repeated ids give a row each, and of a
+repeated id the text with the smallest hash is learned from; a document of more than ``TRAIN_LINES``
+lines is scored whole but not learned from; other columns are not read; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -26,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emporion.llm.common import ship_code, text_or_empty
+from emporion.llm.common import materialize, ship_code, text_or_empty
 from emporion.llm.substring_dedup import _word_hashes
 
 TRAIN_DOCS = 4000
+TRAIN_LINES = 500_000  # 64 bytes each on the driver
 STEPS = 120
 CUTOFF = 0.3  # fixed value
 FOLDS = 5  # fixed value
@@ -208,9 +212,13 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(text.cast("binary")) % FOLDS == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Crf | None:
-    """Fit on at most ``train_docs`` labelled documents outside the test fold."""
-    ship_code(docs.sparkSession)
+def train(
+    docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+    train_lines: int = TRAIN_LINES,
+) -> Crf | None:
+    """Fit on at most ``train_docs`` labelled documents outside the test fold, ``train_lines`` lines."""
+    spark = docs.sparkSession
+    ship_code(spark)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(F.col(label_col).cast("int")).alias("y"))
     own = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).cast("binary").alias("text"))
@@ -219,14 +227,26 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_c
 
     def measure(batches):
         for b in batches:
-            for at in range(0, b.num_rows, DOCS_AT_ONCE):
-                part = b.slice(at, DOCS_AT_ONCE)
-                x, _, lines = line_features(part.column(2).to_pylist())
+            texts = b.column(2).to_pylist()
+            for s, e in _groups(texts):
+                part = b.slice(s, e - s)
+                x, _, lines = line_features(texts[s:e])
                 ends = np.cumsum(lines)
                 rows = [x[e - n : e].astype(np.float32).tobytes() for e, n in zip(ends, lines)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, pa.binary())], ["id", "y", "x"])
 
-    rows = own.join(F.broadcast(chosen), "id").select("id", "y", "text").mapInArrow(measure, "id long, y int, x binary").collect()
+    # One row of each id, combined where the rows are: a repeated id costs a text a task.
+    sample = own.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("y").alias("y"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = materialize(sample.withColumn("lines", F.regexp_count(F.col("text").cast("string"), F.lit("\n")) + 1), "crf-sample")
+    left, fits = train_lines, []
+    for r in sample.select("id", "lines").orderBy(F.xxhash64("id"), "id").collect():  # at most train_docs rows
+        if r["lines"] <= left:
+            left -= r["lines"]
+            fits.append((r["id"],))
+    if not fits:
+        return None
+    sample = sample.join(F.broadcast(spark.createDataFrame(fits, "id long")), "id")
+    rows = sample.select("id", "y", "text").mapInArrow(measure, "id long, y int, x binary").collect()
     rows.sort(key=lambda r: (r["id"], bytes(r["x"])))
     label = np.array([r["y"] > 0 for r in rows])
     if not len(label) or label.all() or not label.any():

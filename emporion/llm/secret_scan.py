@@ -61,6 +61,7 @@ MORE = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", needs="."),
 )
 RULES = (*BASE, *MORE)
+BROADCAST_BLOBS = 10_000  # rows of a hash, an id and some rule names
 LEDGER = "blob string, kind string, version int, spans array<struct<start:int,end:int>>"
 
 
@@ -89,7 +90,8 @@ def _scanner(rules: Sequence[Rule]):
             for at in range(0, b.num_rows, 256):
                 out = []
                 part = b.slice(at, 256)
-                for blob, pairs, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
+                for blob, pairs, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
+                    text = text.as_py()  # one at a time
                     for key in pairs:
                         r = by_key[key]
                         out.append((blob, r.kind, r.version, [{"start": s, "end": e} for s, e in r.spans(text)]))
@@ -117,8 +119,13 @@ def scan(docs: DataFrame, ledger: str, rules: Sequence[Rule] = RULES, id_col: st
     pairs = F.array(*[F.lit(f"{r.kind}:{r.version}") for r in rules])
     unseen = blobs.join(seen, "blob", "left").select("blob", "oid", "n", F.array_except(pairs, F.coalesce("seen", F.array().cast("array<string>"))).alias("pairs"))
     unseen = materialize(unseen.where(F.size("pairs") > 0), "secret-unseen")
+    new = unseen.count()
+    if not new:  # the ledger has them all: no text is read
+        return paths
+    # A few new blobs go to the texts; many meet them by (id, blob).
+    asked = F.broadcast(unseen) if new <= BROADCAST_BLOBS else unseen.hint("shuffle_hash")
     texts = docs.select(id_order(id_col).alias("oid"), F.sha2(text_or_empty(text_col).cast("binary"), 256).alias("blob"), text_or_empty(text_col).alias("text"))
-    todo = texts.join(unseen.hint("shuffle_hash"), ["oid", "blob"]).select("blob", "pairs", "text", "n")
+    todo = texts.join(asked, ["oid", "blob"]).select("blob", "pairs", "text", "n")
     if not unseen.where("n > 1").isEmpty():  # repeated rows: one is scanned
         todo = todo.where("n = 1").unionByName(todo.where("n > 1").dropDuplicates(["blob"]))
     todo = todo.drop("n")

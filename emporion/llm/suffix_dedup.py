@@ -1,18 +1,21 @@
-"""Operator 9, dedup of repeated byte strings by prefix doubling.
+"""Operator 9, dedup of repeated byte strings by names of doubled length.
 
 A byte string of ``length`` bytes is repeated if a document with a smaller id has it; every
 byte that a repeated string covers is removed.  Whether two positions share ``length`` bytes is
-decided by names of growing prefixes: the name of 2h bytes at i is the pair of the names of h
-bytes at i and at i + h; positions are sorted by their names, those whose name only one
-document has are dropped, and the others are named again at twice the offset until the
-threshold is passed.
+decided by names of growing prefixes: the name of 2h bytes at i is a hash of the names of h
+bytes at i and at i + h.  No rank is assigned or carried, and Spark does not sort the positions once a
+round, as plain prefix doubling would: the README says why.
 
 Spark deals the positions out so that this needs one shuffle: each position goes to the bucket
 of the smallest 8-byte hash in its ``length`` bytes, and neighbours with the same smallest
 place share one packed string (see ``passages``), so positions with equal strings always meet.
-In a bucket the strings are first sorted by rank pairs at that place (its 8 bytes with the 16
-after, and with the 16 before), then the positions left by the names of 32 bytes and of
-``length`` bytes.  Names are 64-bit hashes; bytes are compared before anything is removed.
+In a bucket strings are left out that no other document can share, judged by the 8 bytes at that
+place with the 16 after, and with the 16 before; then positions whose name of 32 bytes one document
+alone has; what is left is sorted by the name of ``length`` bytes.  Names are 64-bit hashes; bytes are
+compared before anything is removed.
+
+A run of few letters has the same string at very many places: a text is hashed in slices, and equal
+strings right after one another travel as one place with a number of copies.
 
 Defined cases: a null text is empty; a text shorter than ``length`` keeps all its bytes;
 matches never cross documents; kept bytes need not be valid UTF-8; null ids come last and are
