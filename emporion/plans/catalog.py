@@ -50,6 +50,7 @@ ANALYTICS: dict[str, Query] = {
     "e4d_review_histogram": _q(A.review_histogram),
     "e5_repeat_purchase": _q(A.repeat_purchase),
     "e6_rfm_base": _q(A.rfm_top_spenders),
+    "e6b_rfm_recency_interval": _q(A.rfm_recency_intervals),
     "e10_channel_funnel": _q(A.channel_funnel),
     "e10b_channel_funnel_dashboard": _q(A.channel_funnel, keep_null_origin=False, with_orders=False),
     "e11_kpis": _q(A.kpis),
