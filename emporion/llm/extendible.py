@@ -70,3 +70,15 @@ def split_overfull(rows: DataFrame, h: str, weight: str, limit: int, doubling: i
     for more in done[1:]:
         out = out.unionByName(more)
     return out
+
+
+def route(rows: DataFrame, h: str, directory: DataFrame) -> DataFrame:
+    """``rows`` plus ``bucket`` and ``depth``: the bucket of ``directory`` (one row of these two
+    columns for each) that owns the hash.  A row is looked up once for each local depth there is
+    (65 at most); exactly one bucket owns its prefix."""
+    depths = sorted(r["depth"] for r in directory.select("depth").distinct().collect())
+    at = [F.struct(F.lit(d).alias("depth"), prefix(h, d).alias("bucket")) for d in depths]
+    if not at:  # no bucket: no row has ever been seen
+        return rows.withColumns({"bucket": F.lit(0).cast("long"), "depth": F.lit(0)}).limit(0)
+    tried = rows.select("*", F.inline(F.array(*at)))
+    return tried.join(directory, ["bucket", "depth"]).select(*rows.columns, "bucket", "depth")

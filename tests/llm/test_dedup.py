@@ -35,6 +35,40 @@ def test_exact_dedup(docs, messy):
     assert sorted(re.sub(r"[\x20\x09-\x0D]+", " ", r["text"] or "") for r in kept.collect()) == sorted(groups)
 
 
+def test_exact_dedup_index_is_read_by_bucket(spark, docs, monkeypatch):
+    columns = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    want = rows_of(exact_dedup.exact_dedup(docs), *columns)
+    # Small buckets: a deep directory of several local depths.
+    assert rows_of(exact_dedup.exact_dedup(docs, bucket_entries=3), *columns) == want
+    rows = exact_dedup.hashed(docs)
+    posted = exact_dedup.postings(rows)
+    index, directory = exact_dedup.build_index(rows, posted, 3)
+    buckets = [(r["bucket"], r["depth"]) for r in directory.collect()]
+    assert len(buckets) == len(set(buckets)) and len({d for _, d in buckets}) > 1
+    size = defaultdict(int)
+    for r in index.collect():
+        assert r["bucket"] == (r["key"] % 2**64) >> (64 - r["depth"]) and (r["bucket"], r["depth"]) in buckets
+        size[r["bucket"], r["depth"]] += 1
+    assert max(size.values()) <= 3
+    # Without an index entry's bucket nothing is found: the lookup goes through the directory.
+    moved = index.withColumn("bucket", index["bucket"] + 1)
+    assert exact_dedup.probe(posted, moved, directory).count() < posted.count()
+    # More shared hashes than may be sent to all tasks: the same rows.
+    monkeypatch.setattr(exact_dedup, "BROADCAST_KEYS", 0)
+    assert rows_of(exact_dedup.exact_dedup(docs, hash_bits=2), *columns) == want
+
+
+def test_equal_hashes_and_digests_are_not_enough(spark, monkeypatch):
+    from pyspark.errors import PySparkException
+    from pyspark.sql import functions as F
+
+    rows = [(i, t) for i, t in enumerate(["one", "two", "three", "four", "five"] * 2)]  # two of them share a bit
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(exact_dedup, "digest", lambda: F.lit("same").alias("text_sha256"))
+    with pytest.raises(PySparkException, match="other bytes"):
+        exact_dedup.exact_dedup(docs, hash_bits=1).collect()
+
+
 def test_exact_dedup_stays_in_the_jvm(docs):
     plan = exact_dedup.exact_dedup(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
