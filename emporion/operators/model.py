@@ -147,13 +147,10 @@ def class_weights(train: DataFrame) -> dict[float, float]:
     return {label: sum(counts.values()) / (len(counts) * n) for label, n in counts.items()}
 
 
-def evaluate(star: StarSchema, key: str, num_trees: int = 100, max_depth: int = MAX_DEPTH, max_bins: int = MAX_BINS,
-             train_rows: int = TRAIN_ROWS, seed: int = 42, table: DataFrame | None = None) -> Evaluation:
-    """Train one variant on the 80 % split and evaluate it on the 20 % split.  ``table`` is the
-    :func:`prepared` table, where several variants share one."""
-    v = VARIANTS[key]
-    own = table is None
-    table = prepared(star, v.table, seed) if own else table
+def fit(table: DataFrame, v: Variant, num_trees: int = 100, max_depth: int = MAX_DEPTH, max_bins: int = MAX_BINS,
+        train_rows: int = TRAIN_ROWS, seed: int = 42) -> tuple[float | None, DataFrame, PipelineModel]:
+    """A variant's encoder and forest, fitted on the training rows of its :func:`prepared` table; with the
+    training median of the weight and the table's test rows, filled in like the training rows."""
     med, data = H.fill_median(table, "product_weight_g", where=~F.col("test"))
     data = data.na.fill(NULL_LEVEL, subset=list(v.categorical))
     train, test = data.filter(~F.col("test")), data.filter(F.col("test"))
@@ -167,14 +164,25 @@ def evaluate(star: StarSchema, key: str, num_trees: int = 100, max_depth: int =
     # Rows in several partitions by their key: each pass over them is a job of its own.
     rows = encoder.transform(train).repartition(TRAIN_PARTS, "order_id", "order_item_id")
     forest = _forest(v, num_trees, max_depth, max_bins, seed).fit(rows)
-    model = PipelineModel([*encoder.stages, forest])
+    drop_scratch(train)
+    return med, test, PipelineModel([*encoder.stages, forest])
+
+
+def evaluate(star: StarSchema, key: str, num_trees: int = 100, max_depth: int = MAX_DEPTH, max_bins: int = MAX_BINS,
+             train_rows: int = TRAIN_ROWS, seed: int = 42, table: DataFrame | None = None) -> Evaluation:
+    """Train one variant on the 80 % split and evaluate it on the 20 % split.  ``table`` is the
+    :func:`prepared` table, where several variants share one."""
+    v = VARIANTS[key]
+    own = table is None
+    table = prepared(star, v.table, seed) if own else table
+    med, test, model = fit(table, v, num_trees, max_depth, max_bins, train_rows, seed)
     pred = model.transform(test).withColumn("p_late", vector_to_array("probability")[1])
     pred = materialize(pred.select("label", "prediction", "p_late"), "model-predictions")
     confusion, auc = confusion_counts(pred), roc_auc(pred, "p_late")
     rf = model.stages[-1]
     names = _feature_names(model.transform(test.limit(0)), v)  # slot names from the schema only
     imp = sorted(zip(names, rf.featureImportances.toArray().tolist()), key=lambda t: (-t[1], t[0]))
-    for done in (train, pred, *([table] if own else [])):  # nothing reads them any more
+    for done in (pred, *([table] if own else [])):  # nothing reads them any more
         drop_scratch(done)
     return Evaluation(v, med, confusion, auc, imp, model)
 
