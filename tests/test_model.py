@@ -128,3 +128,42 @@ def test_exact_split_meets_the_quota_of_every_class(spark):
     again = [r.order_id for r in H.exact_split(df).filter("test").orderBy("order_id").collect()]
     assert again == [r.order_id for r in H.exact_split(df.repartition(3, "order_id")).filter("test").orderBy("order_id").collect()]
     assert H.exact_split(df.limit(0)).count() == 0
+
+
+def test_forest_arrays_walk_like_the_joins_on_every_kind_of_split(spark, monkeypatch):
+    import math
+
+    from emporion.operators import forest as T
+    from pyspark.ml.linalg import Vectors
+
+    leaf = lambda t, n, share: (t, n, -1, None, None, -1, -1, share)
+    nodes = spark.createDataFrame([
+        (0, 0, 1, None, 2.5, 1, 2, None), (0, 1, 0, [0.0, 3.0], None, 3, 4, None), leaf(0, 2, 0.9), leaf(0, 3, 0.1), leaf(0, 4, None),
+        (1, 0, 2, [1.0], None, 1, 2, None), leaf(1, 1, 0.25), (1, 2, 1, None, -1.0, 3, 4, None), leaf(1, 3, 0.5), leaf(1, 4, 0.75),
+    ], "tree int, node int, feature int, categories array<double>, threshold double, left int, right int, late_share double")
+    rows = [(i, Vectors.dense([i % 5, x, i % 2, 0, 0, 7]) if i % 3 else Vectors.sparse(6, [(0, i % 5), (1, x), (2, i % 2), (5, 7)]))
+            for i in range(400) for x in (2.5, 2.6, -1.0, 0.0, math.inf, math.nan)]
+    rows = spark.createDataFrame(rows, ["id", "features"]).repartition(3)
+    near = lambda df: sorted(map(str, df.collect()))
+    for few in (256, 0):  # by nodes only, and row by row
+        monkeypatch.setattr(T, "FEW_ROWS", few)
+        monkeypatch.setattr(T, "BROADCAST_NODES", 1_000_000)
+        found = T.score(nodes, rows, 2)
+        assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()  # no row a tree
+        got = near(found)
+        monkeypatch.setattr(T, "BROADCAST_NODES", 0)
+        assert got == near(T.score(nodes, rows, 2)) and len(got) == 2400
+    binary = nodes.withColumn("categories", F.when(F.size("categories") > 1, F.array(F.lit(0.0))).otherwise(F.col("categories")))
+    want = near(T.score(binary, rows, 2))
+    monkeypatch.setattr(T, "BROADCAST_NODES", 1_000_000)
+    for few in (256, 0):
+        monkeypatch.setattr(T, "FEW_ROWS", few)
+        assert near(T.score(binary, rows, 2)) == want
+
+
+def test_variants_of_a_family_share_their_table(spark, monkeypatch):
+    star, made, real = planted_star(spark), [], M.prepared
+    monkeypatch.setattr(M, "prepared", lambda star, which, seed=42: made.append(which) or real(star, which, seed))
+    first = M.evaluations(star, list(M.VARIANTS), num_trees=2, max_depth=3)
+    assert made == ["v1", "v2"] and [e.variant for e in first] == list(M.VARIANTS.values())
+    assert M.evaluation(star, "v1_balanced", num_trees=2, max_depth=3) is first[1] and made == ["v1", "v2"]
