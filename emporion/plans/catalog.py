@@ -125,6 +125,8 @@ def _warehouse_load_counts(star: StarSchema) -> DataFrame:
 def _quarantined_cells(star: StarSchema) -> DataFrame:
     """A1 + C5 on raw text: items and orders exported as CSV, with cells spoiled by rules of the order
     id, and read with a quarantine.  One row per broken rule: records and rows that were loaded."""
+    from concurrent.futures import ThreadPoolExecutor
+
     from pyspark.sql import functions as F
 
     from emporion.session import drop_folder, scratch_dir
@@ -145,12 +147,15 @@ def _quarantined_cells(star: StarSchema) -> DataFrame:
     orders = star.orders.select(
         "order_id", "customer_id", spoil("order_status", (4, "waiting for the carrier to come")),
         spoil("order_purchase_timestamp", (5, "yesterday")), "order_delivered_customer_date")
-    parts = []
-    for name, df in (("fact_order_items", items), ("dim_orders", orders)):
+
+    def judged(name: str, df: DataFrame) -> list[tuple]:
         good, bad = csv_io.read_checked_csv(spark, csv_io.write_csv(df, f"{root}/{name}"), name)
         loaded = good.count()
         found = bad.groupBy("table_name", "column_name", "rule").agg(F.count_distinct("file", "record_no").alias("records")).collect()
-        parts += [(*r, loaded) for r in found]  # a row a rule
+        return [(*r, loaded) for r in found]  # a row a rule
+
+    with ThreadPoolExecutor(2) as pool:  # independent tables
+        parts = [r for rows in pool.map(judged, ("fact_order_items", "dim_orders"), (items, orders)) for r in rows]
     drop_folder(spark, root)
     return spark.createDataFrame(parts, "table_name string, column_name string, rule string, records bigint, loaded_rows bigint")
 

@@ -11,6 +11,7 @@ zip prefixes stay text, so ``01037`` keeps its zero (T10).
 from __future__ import annotations
 
 import os
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -81,7 +82,8 @@ def read_table_csv(spark: SparkSession, path: str, table: str | Table, with_seq:
     return type_columns(raw, meta, keep_seq=with_seq)
 
 
-CORRUPT, FILE, BLOCK = "_corrupt", "_file", "_block"
+CORRUPT, FILE, BLOCK, BROKEN = "_corrupt", "_file", "_block", "_broken"
+RULE_BITS = 60
 QUARANTINE = "table_name string, file string, record_no bigint, column_name string, rule string, value string, record string"
 
 
@@ -124,30 +126,39 @@ def read_checked_csv(spark: SparkSession, path: str, table: str | Table, for_loa
     registry is left out of the rows and listed in the quarantine, once for each broken rule, with its
     file and its number in that file (the header is not counted), the cell and the whole record.
     Columns that a file lacks are NULL; one that is declared NOT NULL is listed once, without a record,
-    and breaks no record.  The parsed text is written once to the shared folder, so that rows, quarantine
-    and record numbers come from one reading."""
+    and breaks no record.  The parsed text is written once to the shared folder, with the rules that each
+    record breaks, so that rows, quarantine and record numbers come from one reading and one judgement."""
     meta = TABLES[table] if isinstance(table, str) else table
     free = bool(meta.text_columns)
     names = read_raw_text(spark, path, free).columns
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
     raw = _reader(spark, free).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).schema(schema).csv(path)
-    raw = materialize(raw.select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias(BLOCK),
-                                 F.monotonically_increasing_id().alias(SEQ)), "raw-text")
     rules = cell_rules(meta, set(names))
     fine = F.col(CORRUPT).isNull()
     cells = {c.name: _cell(c, meta) for c in meta.columns if c.name in names}
-    broken = [F.when(fine & F.coalesce(bad, F.lit(False)), F.struct(F.lit(c).alias("c"), F.lit(r).alias("r"), cells[c].alias("v"))) for c, r, bad in rules]
-    broken.append(F.when(~fine, F.struct(F.lit(None).cast("string").alias("c"), F.lit("malformed").alias("r"), F.lit(None).cast("string").alias("v"))))
-    judged = raw.withColumn("_broken", F.filter(F.array(*broken), lambda b: b.isNotNull()))
-    good = judged.filter(F.size("_broken") == 0)
+    rules = [(c, r, fine & F.coalesce(bad, F.lit(False)), cells[c]) for c, r, bad in rules]
+    rules.append((None, "malformed", ~fine, F.lit(None).cast("string")))
+    marks = {}  # a bit a rule, RULE_BITS in a column: the list is made for broken records only
+    for i, (_, _, bad, _) in enumerate(rules):
+        bit = F.when(bad, F.lit(1 << i % RULE_BITS).cast("long")).otherwise(F.lit(0).cast("long"))
+        at = f"{BROKEN}{i // RULE_BITS}"
+        marks[at] = marks[at].bitwiseOR(bit) if at in marks else bit
+    raw = materialize(raw.select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias(BLOCK),
+                                 F.monotonically_increasing_id().alias(SEQ), *[x.alias(c) for c, x in marks.items()]), "raw-text")
+    unbroken = reduce(lambda x, y: x & y, [F.col(c) == 0 for c in marks])
+    good = raw.filter(unbroken)
+    broken = F.array(*[
+        F.when(F.col(f"{BROKEN}{i // RULE_BITS}").bitwiseAND(F.lit(1 << i % RULE_BITS)) != 0,
+               F.struct(F.lit(c).cast("string").alias("c"), F.lit(r).alias("r"), v.alias("v")))
+        for i, (c, r, _, v) in enumerate(rules)])
 
     blocks = raw.groupBy(FILE, BLOCK).agg(F.count(F.lit(1)).alias("n"), F.min(SEQ).alias("first"))  # a row a split
     before = F.coalesce(F.sum("n").over(Window.partitionBy(FILE).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = blocks.select(FILE, BLOCK, (before - F.col("first") + 1).alias("offset"))
     record = F.coalesce(CORRUPT, F.to_json(F.struct(*[F.col(f"`{n}`") for n in names])))
-    bad = judged.filter(F.size("_broken") > 0).join(offsets, [FILE, BLOCK]).select(
+    bad = raw.filter(~unbroken).join(offsets, [FILE, BLOCK]).select(
         F.lit(meta.name).alias("table_name"), F.col(FILE).alias("file"), (F.col("offset") + F.col(SEQ)).alias("record_no"),
-        F.explode("_broken").alias("b"), record.alias("record"),
+        F.explode(F.array_compact(broken)).alias("b"), record.alias("record"),
     ).select("table_name", "file", "record_no", F.col("b.c").alias("column_name"), F.col("b.r").alias("rule"), F.col("b.v").alias("value"), "record")
     absent = [(meta.name, path, None, c.name, "absent", None, None) for c in meta.columns if c.not_null and c.name not in names]
     bad = bad.unionByName(values_table(spark, absent, QUARANTINE))
