@@ -9,8 +9,8 @@ passage of very many documents sends one string a chunk.  Equal strings right af
 in a document, as in a run of one letter, are one place: a first unit, a step and a number of copies.
 
 Buckets: a task reads its buckets one after the other.  A bucket over its limit is not
-compared: its windows are dealt out again one by one, by their whole content, with equal ones
-combined as before, until every bucket fits.
+compared: its strings are cut again by longer minimisers, in the last turn into single windows by
+their whole content, with equal ones combined as before, until every bucket fits.
 
 Finishing: texts, compressed in groups, and the covered spans meet in partitions by row.
 """
@@ -23,7 +23,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +32,10 @@ from emporion.llm.common import LAST_ID, materialize, partitions_for, row_keyed,
 CHUNK_BYTES = 8 << 20  # text that a task cuts at a time
 BUCKET_BYTES = 6 << 20  # aimed size of a bucket, unpacked
 MOST_BUCKET_BYTES = 16 << 20  # a larger bucket is dealt out again
-DEAL_WINDOWS = 1 << 17  # windows that are dealt out at a time
+DEAL_BYTES = 1 << 20  # text of strings that is cut again at a time
+DEAL_PLACES = 1 << 17  # places of strings that are dealt out again at a time
 ROUNDS = 4  # by then a bucket holds a window or two, with the places of one document each
+FAN, LAST_FAN = 4, 16  # times the buckets when strings, and when single windows are dealt out again
 BUCKETS_A_TASK = 3
 ROW = "part long, payload binary, raw long, oid long, rk long, a long, b long"
 NAMES = [c.split()[0] for c in ROW.split(", ")]
@@ -64,10 +65,15 @@ class Method:
     pieces: Callable[[bytes], Iterator[tuple[int, bytes]]]  # (first unit, text) of bounded size
     cut: Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray], Strings]  # texts, oid, rk, first unit
     repeated: Callable[[list[bytes], np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]  # strings, oid, extra -> (string, window)
-    split: Callable[[bytes], list[bytes]]  # the windows of a string
+    recut: Callable[[int], Callable]  # turn (1, 2, ...) -> a cut by longer minimisers, from ROUNDS - 1 by whole windows; copies are 1
     expansion: float  # bytes of strings for each byte of text
 
 
+def longer(least: int, window: int, turn: int) -> int:
+    """Units of the minimiser of a turn: ``least`` in the first cut, a whole window in the last turn."""
+    return least + (window - least) * min(turn, ROUNDS - 1) // (ROUNDS - 1)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A finaliser for 64-bit hashes."""
     h = h ^ (h >> np.uint64(31))
@@ -191,33 +197,38 @@ def _comparer(m: Method, parts: int, salt: int, most_bytes: int):
             yield _batch(oid=spans[0], rk=spans[1], a=spans[2], b=spans[3])
 
     def deal(blobs):
-        """The windows of the strings one by one, at most DEAL_WINDOWS places of windows at a time."""
-        flat, own = [], []  # windows; (string, place, first window, number of windows)
+        """The strings cut again, at most DEAL_PLACES places of strings at a time."""
+        cut, held, n = m.recut(salt), [], 0  # columns of Strings
 
-        def flush(oid, rk, start, step, copies):
-            i, p, first, n = (np.repeat([x[c] for x in own], [x[3] for x in own]) for c in range(4))
-            at = start[p] + first + np.arange(len(p)) - np.repeat(np.cumsum([x[3] for x in own]) - [x[3] for x in own], [x[3] for x in own])
-            mini = np.fromiter(map(xxhash.xxh64_intdigest, flat), np.uint64, len(flat))
-            one = np.ones(len(flat), np.int64)
-            yield from _ship(Strings(flat, mini, 0 * one - 1, one, oid[i], rk[p], at, step[p], copies[p]), parts, salt, m.window)
+        def flush():
+            text, *cols = zip(*held)
+            yield from _ship(Strings([t for own in text for t in own], *map(np.concatenate, cols)), parts, salt, m.window)
 
         for x in blobs:
             texts, _, oid, count, *places = bucket([x])
-            place = 0
-            for i, (text, c) in enumerate(zip(texts, count.tolist())):
-                windows = m.split(text)
-                for p in range(place, place + c):
-                    for first in range(0, len(windows), DEAL_WINDOWS):
-                        some = windows[first : first + DEAL_WINDOWS]
-                        flat += some
-                        own.append((i, p, first, len(some)))
-                        if len(flat) >= DEAL_WINDOWS:
-                            yield from flush(oid, *places)
-                            flat, own = [], []
-                place += c
-            if flat:
-                yield from flush(oid, *places)
-                flat, own = [], []
+            rk, start, step, copies = places
+            first = np.cumsum(count) - count
+            size = np.cumsum([len(t) for t in texts])
+            edge = [0, *(np.searchsorted(size, np.arange(DEAL_BYTES, size[-1], DEAL_BYTES)) + 1).tolist(), len(texts)]
+            for lo, hi in zip(edge, edge[1:]):
+                if lo == hi:
+                    continue
+                own = np.arange(lo, hi)
+                s = cut(texts[lo:hi], own, 0 * own, 0 * own)
+                some = count[s.oid]  # a new string comes wherever its document has the old one
+                end = np.cumsum(some)
+                for at in range(0, int(end[-1]), DEAL_PLACES):
+                    each = np.arange(at, min(at + DEAL_PLACES, int(end[-1])))
+                    k = np.searchsorted(end, each, side="right")
+                    i = s.oid[k]
+                    p = first[i] + each - (end - some)[k]
+                    held.append(([s.text[j] for j in k.tolist()], s.mini[k], s.extra[k], s.windows[k], oid[i], rk[p], start[p] + s.start[k], step[p], copies[p]))
+                    n += len(each)
+                    if n >= DEAL_PLACES:
+                        yield from flush()
+                        held, n = [], 0
+        if held:
+            yield from flush()
 
     def run(batches):
         now, held, size, large = None, [], 0, False
@@ -264,12 +275,11 @@ def covered_spans(
     raw = int(total * m.expansion)
     parts = partitions_for(raw, bucket_bytes)
     dealt = rows.mapInArrow(_cutter(m, parts, chunk_bytes), ROW)
-    parts *= 16  # for windows that are dealt out one by one: room for all of them
     found, salt = None, 0
     while True:
         salt += 1
         met = dealt.repartition(partitions_for(raw, BUCKETS_A_TASK * bucket_bytes), "part").sortWithinPartitions("part")
-        out = materialize(met.mapInArrow(_comparer(m, parts, salt, most_bytes if salt < ROUNDS else 1 << 62), ROW), "passages")
+        out = materialize(met.mapInArrow(_comparer(m, parts * (FAN if salt + 1 < ROUNDS else LAST_FAN), salt, most_bytes if salt < ROUNDS else 1 << 62), ROW), "passages")
         spans = out.where("payload IS NULL").select("oid", "rk", "a", "b")
         found = spans if found is None else found.unionByName(spans)
         dealt = out.where("payload IS NOT NULL")

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 
-from emporion.llm.passages import Method, Strings, covered_spans, finish, keyed, mixed
+from emporion.llm.passages import Method, Strings, covered_spans, finish, keyed, longer, mixed
 
 WINDOW_WORDS = 13  # fixed value
 PIECE_BYTES = 8 << 20
@@ -77,7 +77,15 @@ def _pieces(window: int):
     return run
 
 
-def _cut(window: int):
+def _names(h: np.ndarray, gram: int) -> np.ndarray:
+    """Hashes of the ``gram`` words from every word, by the hashes of the words."""
+    name = np.zeros(len(h) - gram + 1, np.uint64)
+    for k in range(gram):
+        name = name * _MULT + h[k : k + len(name)]
+    return mixed(name)
+
+
+def _cut(window: int, gram: int = 1):
     def run(texts: list[bytes], oid: np.ndarray, rk: np.ndarray, first: np.ndarray) -> Strings:
         big = b"\n".join(texts) + b"\n"
         starts, ends, h = _word_hashes(big)
@@ -85,13 +93,16 @@ def _cut(window: int):
         last = np.searchsorted(ends, line_ends)  # last word of each text
         begin = np.concatenate([[0], last[:-1] + 1])
         doc = np.repeat(np.arange(len(texts)), last - begin + 1)
-        # Short words come last: they are the frequent ones, which would fill a few buckets.
-        short = (ends - starts <= SHORT_BYTES).astype(np.uint64) << np.uint64(63)
-        low = _sliding_min((h >> np.uint64(1)) | short, window)
+        if gram == 1:  # short words come last: they are the frequent ones, which would fill a few buckets
+            short = (ends - starts <= SHORT_BYTES).astype(np.uint64) << np.uint64(63)
+            low = _sliding_min((h >> np.uint64(1)) | short, window)
+        else:
+            low = _sliding_min(_names(h, gram), window - gram + 1)
         whole = doc[: len(low)] == doc[window - 1 :]
         at = np.flatnonzero(whole)
         new = np.ones(len(at), bool)
-        new[1:] = (at[1:] != at[:-1] + 1) | (low[at[1:]] != low[at[:-1]]) | (doc[at[1:]] != doc[at[:-1]])
+        if gram < window:
+            new[1:] = (at[1:] != at[:-1] + 1) | (low[at[1:]] != low[at[:-1]]) | (doc[at[1:]] != doc[at[:-1]])
         run_at = np.flatnonzero(new)
         n = np.diff(np.append(run_at, len(at)))
         head = at[run_at]
@@ -109,13 +120,11 @@ def _repeated(window: int):
         last = np.searchsorted(ends, np.cumsum([len(t) + 1 for t in texts]) - 1)
         begin = np.concatenate([[0], last[:-1] + 1])
         n = last - begin + 2 - window  # windows of each string
-        name = np.zeros(len(h) - window + 1, np.uint64)
-        for k in range(window):
-            name = name * _MULT + h[k : k + len(name)]
+        name = _names(h, window)
         which = np.repeat(np.arange(len(texts)), n)
         at = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
         word = begin[which] + at
-        name = mixed(name[word])
+        name = name[word]
         order = np.argsort(name)
         a, z = starts[word], ends[word + window - 1]
         hit = order[_later(name[order], oid[which[order]], big, a[order], z[order])]
@@ -163,16 +172,9 @@ def _same_bytes(big: bytes, a: np.ndarray, z: np.ndarray, c: np.ndarray, y: np.n
     return same
 
 
-def _split(window: int):
-    def run(text: bytes) -> list[bytes]:
-        words = text.split(b" ")
-        return [b" ".join(words[i : i + window]) for i in range(len(words) - window + 1)]
-
-    return run
-
-
 def word_method(window: int = WINDOW_WORDS) -> Method:
-    return Method(window, _pieces(window), _cut(window), _repeated(window), _split(window), 1 + 2 * (window - 1) / window)
+    recut = lambda turn: _cut(window, longer(1, window, turn))
+    return Method(window, _pieces(window), _cut(window), _repeated(window), recut, 1 + 2 * (window - 1) / window)
 
 
 def _kept_words(text: bytes, spans: list[tuple[int, int]]) -> tuple:

@@ -7,8 +7,8 @@ bytes at i and at i + h.  No rank is assigned or carried, and Spark does not sor
 round, as plain prefix doubling would: the README says why.
 
 Spark deals the positions out so that this needs one shuffle: each position goes to the bucket
-of the smallest 8-byte hash in its ``length`` bytes, and neighbours with the same smallest
-place share one packed string (see ``passages``), so positions with equal strings always meet.
+of the smallest hash of 8 bytes (12 or 16 of a large input) in its ``length`` bytes, and
+neighbours with the same smallest place share one packed string (see ``passages``), so positions with equal strings always meet.
 In a bucket strings are left out that no other document can share, judged by the 8 bytes at that
 place with the 16 after, and with the 16 before; then positions whose name of 32 bytes one document
 alone has; what is left is sorted by the name of ``length`` bytes.  Names are 64-bit hashes; bytes are
@@ -31,13 +31,14 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 
-from emporion.llm.passages import Method, Strings, covered_spans, finish, keyed, mixed
+from emporion.llm.passages import Method, Strings, covered_spans, finish, keyed, longer, mixed
 from emporion.llm.substring_dedup import _later, _sliding_min
 
 LENGTH = 50  # fixed value
 PIECE_BYTES = 8 << 20
 SLICE_BYTES = 1 << 20  # places that are hashed at a time
 GRAM, SIDE = 8, 16
+MORE_BYTES = (1 << 30, 256 << 30)  # over so much text the first cut takes grams four bytes longer: frequent ones would overfill their bucket
 
 
 def _words(big: bytes) -> np.ndarray:
@@ -58,12 +59,21 @@ def _pieces(length: int):
     return run
 
 
-def _heads(big: bytes, x: int, y: int, stop: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def _grams(part: bytes, gram: int) -> np.ndarray:
+    """Hashes of the ``gram`` bytes from every place."""
+    word, n = _words(part), len(part) - gram + 1
+    h = mixed(word[:n].astype(np.uint64))
+    for off in [*range(GRAM, gram - GRAM, GRAM), gram - GRAM] if gram > GRAM else []:
+        h = _pair(h, word[off : off + n])
+    return h
+
+
+def _heads(big: bytes, x: int, y: int, stop: np.ndarray, length: int, gram: int, runs: bool) -> tuple[np.ndarray, ...]:
     """The strings of the windows that start at places [x, y): first window, smallest hash, place
-    of that hash, windows, and how often the string comes again right after itself."""
+    of that hash, windows, and how often the string comes again right after itself (1 without ``runs``)."""
     part = big[x : y + length - 1]
-    h = mixed(_words(part)[: len(part) - GRAM + 1].astype(np.uint64))
-    low = _sliding_min(h, length - GRAM + 1)
+    h = _grams(part, gram)
+    low = _sliding_min(h, length - gram + 1)
     whole = np.ones(len(low), bool)
     for e in (stop[np.searchsorted(stop, x, side="right") : np.searchsorted(stop, y + length)] - x).tolist():
         whole[max(0, e - length + 1) : max(0, e)] = False
@@ -86,6 +96,7 @@ def _heads(big: bytes, x: int, y: int, stop: np.ndarray, length: int) -> tuple[n
     again = np.zeros(len(head), bool)  # the string before is the same, and ends where this one begins
     again[1:] = (head[1:] == head[:-1] + n[:-1]) & (n[1:] == n[:-1]) & (least[1:] == least[:-1]) & (place[1:] == place[:-1])
     byte = np.frombuffer(part, np.uint8)
+    again &= runs
     for step in np.unique(n[again]).tolist():
         own = np.flatnonzero(again & (n == step))
         same = np.concatenate([[0], np.cumsum(byte[:-step] == byte[step:], dtype=np.int32)])
@@ -95,13 +106,13 @@ def _heads(big: bytes, x: int, y: int, stop: np.ndarray, length: int) -> tuple[n
     return head[kept] + x, least[kept], place[kept], n[kept], np.diff(np.append(kept, len(head)))
 
 
-def _cut(length: int):
+def _cut(length: int, gram: int = GRAM, runs: bool = True):
     def run(texts: list[bytes], oid: np.ndarray, rk: np.ndarray, first: np.ndarray) -> Strings:
         big = b"".join(texts)
         stop = np.cumsum([len(t) for t in texts])
         begin = np.concatenate([[0], stop[:-1]])
         last = len(big) - length + 1
-        slices = [_heads(big, x, min(x + SLICE_BYTES, last), stop, length) for x in range(0, last, SLICE_BYTES)]
+        slices = [_heads(big, x, min(x + SLICE_BYTES, last), stop, length, gram, runs) for x in range(0, last, SLICE_BYTES)]
         head, least, place, n, copies = map(np.concatenate, zip(*slices))
         d = np.searchsorted(stop, head, side="right")
         s, e = head.tolist(), (head + n + length - 1).tolist()
@@ -170,11 +181,16 @@ def _repeated(length: int):
     return run
 
 
-def byte_method(length: int = LENGTH) -> Method:
+def first_gram(total: int, length: int = LENGTH) -> int:
+    """Bytes of the first cut's grams for ``total`` bytes of text."""
+    return min(length, GRAM + 4 * sum(total > more for more in MORE_BYTES))
+
+
+def byte_method(length: int = LENGTH, gram: int = GRAM) -> Method:
     if length < GRAM:
         raise ValueError(f"length must be {GRAM} bytes or more")
-    split = lambda t: [t[i : i + length] for i in range(len(t) - length + 1)]
-    return Method(length, _pieces(length), _cut(length), _repeated(length), split, 1 + 2 * (length - 1) / (length - GRAM + 2))
+    recut = lambda turn: _cut(length, longer(gram, length, turn), runs=False)
+    return Method(length, _pieces(length), _cut(length, gram), _repeated(length), recut, 1 + 2 * (length - 1) / (length - gram + 2))
 
 
 def _kept(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, bytes]:
@@ -197,7 +213,7 @@ def _kept_text(text: bytes, spans: list[tuple[int, int]]) -> tuple:
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", **sizes) -> DataFrame:
     """One row per document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``."""
     rows, total = keyed(docs, id_col, text_col)
-    spans = covered_spans(rows, byte_method(length), total, **sizes)
+    spans = covered_spans(rows, byte_method(length, first_gram(total, length)), total, **sizes)
     return finish(rows, spans, _digest, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", total)
 
 
@@ -205,4 +221,4 @@ def kept_texts(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", te
     """One row per document: ``doc_id`` and ``text``, the bytes that stay; parts of characters
     that a cut leaves are dropped."""
     rows, total = keyed(docs, id_col, text_col)
-    return finish(rows, covered_spans(rows, byte_method(length), total), _kept_text, "text string", total)
+    return finish(rows, covered_spans(rows, byte_method(length, first_gram(total, length)), total), _kept_text, "text string", total)
