@@ -3,7 +3,8 @@ small-world graph for each shard, stored as flat neighbour arrays, with shard re
 
 Shards: equal vectors are one node (with the k + 1 smallest ids, all that can ever be among a
 query's best k), so a vector that fills a third of the table does not cut the graph apart; nodes
-are dealt out by a hash of the vector into shards of about ``shard_rows``.
+are dealt out by a hash of the vector into shards of about ``shard_rows``, which grows with the root
+of the rows (up to SHARD_BYTES of vectors), since every query visits every shard.
 
 Graph: a task builds the graph of one shard.  Levels are drawn from a hash of the vector; nodes are
 numbered from the highest level down, so level l is a flat array of neighbour numbers for the
@@ -14,7 +15,7 @@ best, and get links back, pruned the same way.  Inner products become distances
 coordinate that brings all vectors of the shard to one norm; the search itself needs none.
 
 Search: blocks of queries are sent to every shard, where a whole block walks the graph in step
-with a beam of ``ef`` nodes a query.  Scores are inner products of the original vectors in double
+with a beam of ``ef`` nodes a query, fewer (down to SHARD_EF) where many shards share a query's best.  Scores are inner products of the original vectors in double
 precision, added up in a fixed order, so equal vectors have equal scores in every shard.  A
 shard's best are one packed row a block; the merge keeps a running best for each block.
 
@@ -27,6 +28,7 @@ other columns are not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,9 +41,10 @@ from emporion.llm.common import materialize, partitions_for, ship_code
 from emporion.llm.topk import classes_of
 
 TOP_K, EVERY = 20, 20  # fixed values
-SHARD_ROWS = 4096
+SHARD_ROWS, SHARD_ROOT = 4096, 160  # rows of a shard: so many, or the root of so many times all rows if that is more
+SHARD_BYTES = 32 << 20  # vectors of a shard that is over SHARD_ROWS
 LINKS = 16  # neighbours of a node, twice as many on the lowest level
-BUILD_EF, EF = 96, 128
+BUILD_EF, EF, SHARD_EF = 96, 128, 96
 EXPAND = 4  # nodes of a beam whose neighbours are looked at together
 BLOCK = 256  # nodes or queries that walk in step
 QUERIES_A_TASK = 1 << 16  # queries that one task takes to a shard
@@ -385,8 +388,18 @@ def search(index: DataFrame, shards: int, asked: DataFrame, dim: int, k: int, ef
     return found.repartition("block").sortWithinPartitions("block").mapInArrow(_merger(k), "query_id long, rank int, vec_id long, score double")
 
 
+def rows_a_shard(n: int, dim: int) -> int:
+    """Building costs a little more a row in larger shards, searching as many times less as there are fewer."""
+    return max(SHARD_ROWS, min(math.isqrt(SHARD_ROOT * n), SHARD_BYTES // (8 * dim)))
+
+
+def beam(ef: int, shards: int) -> int:
+    """Nodes of a walk: a shard has about k / shards of the best k rows."""
+    return min(ef, max(SHARD_EF, 2 * ef // shards))
+
+
 def nearest(
-    table: DataFrame, k: int = TOP_K, every: int = EVERY, shard_rows: int = SHARD_ROWS, links: int = LINKS,
+    table: DataFrame, k: int = TOP_K, every: int = EVERY, shard_rows: int | None = None, links: int = LINKS,
     build_ef: int = BUILD_EF, ef: int = EF, id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for every query, a row whose id is
@@ -397,5 +410,5 @@ def nearest(
     n, dim = rows.agg(F.count("*"), F.max(F.size("v"))).first()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    index, shards = build_index(rows, dim, n, k, shard_rows, links, build_ef)
-    return search(index, shards, rows.where(F.col("vec_id") % every == 0), dim, k, ef)
+    index, shards = build_index(rows, dim, n, k, shard_rows or rows_a_shard(n, dim), links, build_ef)
+    return search(index, shards, rows.where(F.col("vec_id") % every == 0), dim, k, beam(ef, shards))
