@@ -4,14 +4,14 @@ A forest is one row for each node: ``tree, node, feature, categories, threshold,
 late_share`` (``feature`` -1 for a leaf).  P(late) is the mean, over the trees and in their order, of
 the late class's share among the (weighted) training rows of the leaf that a row falls into.
 
-The table's size has a bound that does not depend on the data to score: a tree has fewer than twice
-as many nodes as the forest has training rows (``TRAIN_ROWS``).  Up to ``BROADCAST_NODES`` nodes it is
+The forest is fitted on all training rows, so the table grows with them.  Up to ``BROADCAST_NODES`` nodes it is
 sent to all tasks as arrays, and each task passes its rows, ``SCORE_ROWS`` at a time, down the trees:
 the rows at a node are split in two by one column until only ``FEW_ROWS`` are there; from then on
 each of them looks its node up, a level at a time.  A cell is coded as the number of thresholds below
-it, which decides every split.
+it, which decides every split.  A larger forest is not made a table of nodes: the rows are sent to its cells
+(:func:`emporion.operators.grow.scored_in_cells`).
 
-Beyond that bound the joins deal out rows and nodes by (tree, node): each (row, tree) starts at node 0
+A table of more nodes is scored by joins, which deal out rows and nodes by (tree, node): each (row, tree) starts at node 0
 and walks one level for each join with the node table.  A row travels with its features other than
 zero only (a one-hot row has one for each categorical column, plus the numeric ones).
 """
@@ -24,14 +24,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from emporion.operators import features as H
-from emporion.session import drop_folder, materialize, scratch_dir
+from emporion.operators.grow import Forest, nodes_of, scored_in_cells
+from emporion.session import materialize
 from emporion.sources.adapter import StarSchema
 
 BROADCAST_NODES = 1_000_000
@@ -40,24 +40,9 @@ SCORE_CELLS = 1 << 26  # and the most cells of them
 FEW_ROWS = 256  # at a node: they go on one by one, together with those of other nodes
 
 
-def node_table(forest: RandomForestClassificationModel, spark) -> DataFrame:
-    """The nodes of a fitted forest, from the table that Spark saves a model as."""
-    path = scratch_dir(spark, "forest-model")
-    forest.write().save(path)
-    n, split = F.col("nodeData"), F.col("nodeData.split")
-    ordered = split["numCategories"] < 0
-    stats = n["impurityStats"]
-    nodes = spark.read.parquet(f"{path}/data").select(
-        F.col("treeID").alias("tree"), n["id"].alias("node"),
-        F.when(n["leftChild"] < 0, F.lit(-1)).otherwise(split["featureIndex"]).alias("feature"),
-        F.when(~ordered, split["leftCategoriesOrThreshold"]).alias("categories"),
-        F.when(ordered & (n["leftChild"] >= 0), split["leftCategoriesOrThreshold"][0]).alias("threshold"),
-        n["leftChild"].alias("left"), n["rightChild"].alias("right"),
-        F.try_divide(stats[1], F.aggregate(stats, F.lit(0.0), lambda a, x: a + x)).alias("late_share"),
-    )
-    nodes = materialize(nodes, "forest-nodes")
-    drop_folder(spark, path)
-    return nodes
+def node_table(forest: Forest, spark) -> DataFrame:
+    """The nodes of a fitted forest."""
+    return materialize(nodes_of(forest), "forest-nodes")
 
 
 def _walker(nodes: DataFrame, keys: list[str], schema: pa.Schema) -> Callable:
@@ -218,7 +203,7 @@ def score(nodes: DataFrame, rows: DataFrame, depth: int, features: str = "featur
     result leaves out.  ``depth``: levels below the roots."""
     keys = [c for c in rows.columns if c != features]
     trees, size = nodes.agg(F.max("tree") + 1, F.count(F.lit(1))).first()
-    if size > BROADCAST_NODES:  # a bound of the training rows, not of the rows to score
+    if size > BROADCAST_NODES:
         late = _joined(nodes, rows, keys, trees, depth, features)
         return late.withColumn("prediction", (F.col("p_late") > 0.5).cast("double"))
     given = rows.select(*keys, features)
@@ -229,15 +214,23 @@ def score(nodes: DataFrame, rows: DataFrame, depth: int, features: str = "featur
     return given.mapInArrow(_walker(nodes, keys, arrow), out)
 
 
+def scored(forest: Forest, rows: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """``rows`` without the forest's coded columns and features, with ``p_late`` and ``prediction``, and the
+    tables that this reads."""
+    if forest.size > BROADCAST_NODES:
+        return scored_in_cells(forest, rows)
+    nodes = node_table(forest, rows.sparkSession)
+    return score(nodes, rows.drop(*forest.columns), forest.depth, forest.features), [nodes]
+
+
 def late_probabilities(star: StarSchema, key: str = "v2_balanced", seed: int = 42, **kw) -> DataFrame:
-    """H8: label, P(late) and predicted class of every row of the test split.  The fitted forest leaves
-    the driver as soon as its node table is written: nothing is evaluated, and no session keeps it."""
+    """H8: label, P(late) and predicted class of every row of the test split, by a forest that is fitted on
+    every row of the training split."""
     from emporion.operators import model as M
 
     v = M.VARIANTS[key]
     _, test, model = M.fit(M.prepared(star, v.table, seed), v, seed=seed, **kw)
-    encoded = PipelineModel(model.stages[:-1]).transform(test)
     forest = model.stages[-1]
-    nodes, depth = node_table(forest, star.spark), max(t.depth for t in forest.trees)
-    rows = encoded.select("order_id", "order_item_id", F.col("label").cast("int").alias(H.LABEL), "features")
-    return score(nodes, rows, depth)
+    encoded = PipelineModel(model.stages[:-1]).transform(test)
+    rows = encoded.select("order_id", "order_item_id", F.col("label").cast("int").alias(H.LABEL), "features", *forest.columns)
+    return scored(forest, rows)[0]

@@ -1,17 +1,17 @@
 """Late-delivery classifier with ``pyspark.ml``.
 
 Pipeline per variant: NULL categories become their own level, ``StringIndexer`` ->
-``OneHotEncoder`` -> ``VectorAssembler`` with the numeric columns -> ``RandomForestClassifier``
-(100 trees, √features per split, seed 42).  A level first seen in the test rows gets all zeros.
-Training is distributed (per-node statistics are aggregated across executors); only the 2x2
-confusion counts, the AUC and the importance vector reach the driver.
-
-Differences from a single-machine forest, stated rather than hidden: trees are at most
-``MAX_DEPTH`` deep (Spark's own maximum), continuous features are binned (``MAX_BINS``), the forest
-alone is fitted on at most ``TRAIN_ROWS`` labelled rows (those with the smallest hash of their key),
-and the 80/20 split is a key hash, stratified in expectation (see
-:func:`emporion.operators.features.in_test`).  All three are parameters.  Every row of the test
-split is evaluated, and medians, class weights and the encoder's levels come from all training rows.
+``OneHotEncoder`` -> ``VectorAssembler`` with the numeric columns -> a random forest (100 trees, √features
+per split, seed 42; :mod:`emporion.operators.grow`).  A level first seen in the test rows gets all zeros.
+Everything is fitted on all training rows and evaluated on all test rows; trees grow in the tasks, and only
+counts, the few nodes of the forest's top, the 2x2 confusion counts, the AUC and the importance vector reach
+the driver.  ``pyspark.ml``'s own forest is not used: it draws its cuts from a sample of the rows and keeps every
+node on the driver.
+
+Differences from a single-machine forest, stated rather than hidden: trees are at most ``MAX_DEPTH`` deep,
+continuous features are binned (``MAX_BINS``), a node whose drawn features offer no gain is a leaf, and the
+80/20 split is a key hash, stratified in expectation (see :func:`emporion.operators.features.in_test`).
+``max_depth`` and ``max_bins`` are parameters; ``train_rows`` bounds the forest's rows only if a caller asks for it.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, Window
@@ -27,14 +26,13 @@ from pyspark.sql import functions as F
 
 from emporion.operators import features as H
 from emporion.operators import forest as T
+from emporion.operators import grow as G
 from emporion.session import drop_scratch, materialize
 from emporion.sources.adapter import StarSchema
 
 NULL_LEVEL = "__null__"
 MAX_DEPTH = 30
 MAX_BINS = 128
-TRAIN_ROWS = 5_000
-TRAIN_PARTS = 8
 # Class names of the report.
 CLASS_NAMES = {0: "on_time", 1: "late"}
 
@@ -108,13 +106,6 @@ def _encoder(v: Variant) -> Pipeline:
     ])
 
 
-def _forest(v: Variant, num_trees: int, max_depth: int, max_bins: int, seed: int) -> RandomForestClassifier:
-    return RandomForestClassifier(
-        featuresCol="features", labelCol="label", numTrees=num_trees, maxDepth=max_depth, maxBins=max_bins,
-        featureSubsetStrategy="sqrt", seed=seed, cacheNodeIds=True, **({"weightCol": "weight"} if v.balanced else {}),
-    )
-
-
 def _feature_names(pred: DataFrame, v: Variant) -> list[str]:
     """Slot names from the assembler's metadata, in the exported format
     ``cat__<column>_<level>`` / ``remainder__<column>``."""
@@ -148,42 +139,39 @@ def class_weights(train: DataFrame) -> dict[float, float]:
 
 
 def fit(table: DataFrame, v: Variant, num_trees: int = 100, max_depth: int = MAX_DEPTH, max_bins: int = MAX_BINS,
-        train_rows: int = TRAIN_ROWS, seed: int = 42) -> tuple[float | None, DataFrame, PipelineModel]:
-    """A variant's encoder and forest, fitted on the training rows of its :func:`prepared` table; with the
-    training median of the weight and the table's test rows, filled in like the training rows."""
+        train_rows: int | None = None, seed: int = 42) -> tuple[float | None, DataFrame, PipelineModel]:
+    """A variant's encoder and forest, fitted on all training rows of its :func:`prepared` table (the forest on
+    ``train_rows`` of them, if given); with the training median of the weight and the table's test rows, filled
+    in like the training rows."""
     med, data = H.fill_median(table, "product_weight_g", where=~F.col("test"))
     data = data.na.fill(NULL_LEVEL, subset=list(v.categorical))
     train, test = data.filter(~F.col("test")), data.filter(F.col("test"))
-    if v.balanced:
-        weights = F.create_map(*[F.lit(x) for pair in class_weights(train).items() for x in pair])
-        train = train.withColumn("weight", weights[F.col("label")])
+    weights = class_weights(train) if v.balanced else {}
     encoder = _encoder(v).fit(train)  # levels of all training rows, counted where they are
-    # The bound of the forest's rows; written before the many passes of tree induction.
-    train = train.orderBy(F.xxhash64("order_id", "order_item_id"), "order_id", "order_item_id").limit(train_rows)
-    train = materialize(train, "model-train")
-    # Rows in several partitions by their key: each pass over them is a job of its own.
-    rows = encoder.transform(train).repartition(TRAIN_PARTS, "order_id", "order_item_id")
-    forest = _forest(v, num_trees, max_depth, max_bins, seed).fit(rows)
-    drop_scratch(train)
+    if train_rows is not None:
+        train = train.orderBy(F.xxhash64("order_id", "order_item_id"), "order_id", "order_item_id").limit(train_rows)
+    levels = [len(x) for x in encoder.stages[0].labelsArray]
+    forest = G.fit(
+        encoder.transform(train), [*[f"{c}__idx" for c in v.categorical], *v.numeric], [*levels, *[None] * len(v.numeric)],
+        ["order_id", "order_item_id"], "label", (weights.get(0.0, 1.0), weights.get(1.0, 1.0)), num_trees, max_depth, max_bins, seed)
     return med, test, PipelineModel([*encoder.stages, forest])
 
 
 def evaluate(star: StarSchema, key: str, num_trees: int = 100, max_depth: int = MAX_DEPTH, max_bins: int = MAX_BINS,
-             train_rows: int = TRAIN_ROWS, seed: int = 42, table: DataFrame | None = None) -> Evaluation:
+             train_rows: int | None = None, seed: int = 42, table: DataFrame | None = None) -> Evaluation:
     """Train one variant on the 80 % split and evaluate it on the 20 % split.  ``table`` is the
     :func:`prepared` table, where several variants share one."""
     v = VARIANTS[key]
     own = table is None
     table = prepared(star, v.table, seed) if own else table
     med, test, model = fit(table, v, num_trees, max_depth, max_bins, train_rows, seed)
-    rf = model.stages[-1]
-    nodes = T.node_table(rf, table.sparkSession)
-    rows = PipelineModel(model.stages[:-1]).transform(test).select("label", "features")
-    pred = materialize(T.score(nodes, rows, max(t.depth for t in rf.trees)), "model-predictions")
+    forest, encoded = model.stages[-1], PipelineModel(model.stages[:-1]).transform(test)
+    late, read = T.scored(forest, encoded.select("label", "features", *forest.columns))
+    pred = materialize(late, "model-predictions")
     confusion, auc = confusion_counts(pred), roc_auc(pred, "p_late")
-    names = _feature_names(model.transform(test.limit(0)), v)  # slot names from the schema only
-    imp = sorted(zip(names, rf.featureImportances.toArray().tolist()), key=lambda t: (-t[1], t[0]))
-    for done in (pred, nodes, *([table] if own else [])):  # nothing reads them any more
+    names = _feature_names(encoded, v)  # slot names from the schema only
+    imp = sorted(zip(names, forest.featureImportances.toArray().tolist()), key=lambda t: (-t[1], t[0]))
+    for done in (pred, *read, *([table] if own else [])):  # nothing reads them any more
         drop_scratch(done)
     return Evaluation(v, med, confusion, auc, imp, model)
 
