@@ -34,7 +34,7 @@ from emporion.operators.grow import Forest, nodes_of, scored_in_cells
 from emporion.session import materialize
 from emporion.sources.adapter import StarSchema
 
-BROADCAST_NODES = 1_000_000
+BROADCAST_NODES = 100_000  # the driver holds them as Python objects for a moment
 SCORE_ROWS = 1 << 18  # rows that a task passes down the trees at a time
 SCORE_CELLS = 1 << 26  # and the most cells of them
 FEW_ROWS = 256  # at a node: they go on one by one, together with those of other nodes
