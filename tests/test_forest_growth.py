@@ -126,3 +126,12 @@ def test_cells_grow_and_score_the_same_forest(spark, monkeypatch):
     cut_up, again, score = fitted()
     assert len(cut_up.ends) > 50 and again == nodes and score() == late
     np.testing.assert_allclose(cut_up.featureImportances.toArray(), forest.featureImportances.toArray(), rtol=1e-9)
+
+
+def test_importances_and_comparison_see_a_signal_past_the_first_rows(spark):
+    table = rows_of(spark, 8000, F.col("hash") > F.lit(int(0.8 * 2**63)))
+    kw = dict(num_trees=10, table=table)
+    every, few = M.evaluate(None, "v1_naive", **kw), M.evaluate(None, "v1_naive", train_rows=5000, **kw)
+    assert every.importances[0][0] == "remainder__freight_value" and every.importances[0][1] > 0.5  # h12
+    assert {x for _, x in few.importances} == {0.0}
+    assert every._pr(1)[1] > 0.95 and every.auc > 0.99 and few._pr(1)[1] == 0 and few.auc == 0.5  # h13
